@@ -418,7 +418,7 @@ def spine_split(spark, sf):
 
 
 @query(f"""with {SEEDS}, lower_ as (select mesh_id, vertex_id from vert where vertex_id < 12 or vertex_id = 24),
-inner_ as (select * from face f where v0 in (range(12) || [24]) and v1 in (range(12) || [24]) and v2 in (range(12) || [24])),
+inner_ as (select * from face f where (v0 < 12 or v0 = 24) and (v1 < 12 or v1 = 24) and (v2 < 12 or v2 = 24)),
 e as (select mesh_id, least(p, q) as a, greatest(p, q) as b from (select mesh_id, unnest([v0, v1, v2]) as p, unnest([v1, v2, v0]) as q from inner_))
 select mesh_id, a::int as a, b::int as b from e group by all having count(*) = 1""")
 def border_loops(spark, sf):
