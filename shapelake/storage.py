@@ -21,6 +21,7 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files when the driver collects what refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
