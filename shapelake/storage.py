@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def discard(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_counted(rows: DataFrame, small: DataFrame, on: str, most: int = 1 << 20) -> DataFrame:
+    """rows joined with a materialized ``small``, which is broadcast if it has at most ``most`` rows."""
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on)
