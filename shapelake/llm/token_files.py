@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_values, map_arrow, pieces
+from ..storage import join_counted
+from .common import binary_values, map_arrow, materialize, pieces
 from .tokens import END, text_ids, word_ids
 
 SCHEMA = "doc_id long, n_tokens long, shard int, at long, tokens array<int>"
@@ -51,7 +52,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     base = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))  # one row a shard
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "tokens")
+    return join_counted(rows, materialize(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "tokens")
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
