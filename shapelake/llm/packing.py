@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import join_counted
 from .common import binary_values, map_arrow, materialize, pieces
 from .tokens import END, text_ids, word_ids
 
@@ -90,8 +91,7 @@ def pack_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    # a row a read split; Spark broadcasts it where its measured size allows, else it joins by chunk
-    cuts = map_arrow(encoded.join(bases, "chunk").select("doc_id", "base", "at", "total", "ids"), cut, PIECE)
+    cuts = map_arrow(join_counted(encoded, materialize(bases), "chunk").select("doc_id", "base", "at", "total", "ids"), cut, PIECE)
     return cuts if with_ids else cuts.drop("ids")
 
 
