@@ -218,6 +218,27 @@ def test_repeated_passages(spark, docs):
     assert substring.remove_repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_overlapping_passages(spark):
+    """Short windows over few words: runs that start and end anywhere, loops, ids shared by different texts."""
+    rnd = random.Random(8)
+    stock = [[rnd.choice("abcde") for _ in range(rnd.randint(3, 30))] for _ in range(12)]
+    texts = [[w for _ in range(rnd.randint(0, 5)) for s in [rnd.choice(stock)] for w in s[rnd.randint(0, 3) : rnd.randint(4, 30)]] for _ in range(80)] + [list("ab") * 40, list("ab") * 31, list("a") * 50]
+    rows = [(i // 2 if i < 20 else i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 5):
+            first.setdefault(tuple(w[a : a + 6]), i)
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {p for a in range(len(w) - 5) if first[tuple(w[a : a + 6])] < i for p in range(a, a + 6)}
+        want[(i, len(w), " ".join(x for p, x in enumerate(w) if p not in gone))] += 1
+    found = substring.remove_repeated_passages(df, width=6, gram=3).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["kept_text"]) for r in found) == want
+
+
 def test_language(spark, docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = catalog.op9_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
