@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import classify, cluster, features, graph, groups, mesh, pairs, voxels
+from .operators import classify, cluster, features, graph, groups, mesh, pairs, rays, voxels
 from .plans import tables as T
 from .streaming import edits
 
@@ -222,6 +222,26 @@ def latest_edits(spark, sf):
     return edits.latest_labels(e)
 
 
+@query("""with p as (select c_custkey as item, c_mktsegment as label, c_nationkey % 2 as side from customer)
+select 'train/' || item as item, label from p where side = 0 union all select 'test/' || item, label from p where side = 1""")
+def union_groupings(spark, sf):
+    c = T.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("item"), F.col("c_mktsegment").alias("label"), "c_nationkey")
+    return groups.union_groupings({"train/": c.filter("c_nationkey % 2 = 0"), "test/": c.filter("c_nationkey % 2 = 1")})
+
+
+@query(f"with {T.FEATURES} select item, f.label, l.quality::bigint as quality, l.toxic::bigint as toxic from feat f join labels l on l.doc_id = f.item")
+def features_with_grouping(spark, sf):
+    g = T.table(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return T.features(spark, sf).select("item", "label").join(g, "item")
+
+
+@query("select s_suppkey as item, n_name as parent, r_name as parent_of_parent from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def parent_lookup(spark, sf):
+    s, n, g = (T.table(spark, sf, t) for t in ("supplier", "nation", "region"))
+    out = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(g, n["n_regionkey"] == g["r_regionkey"])
+    return out.select(F.col("s_suppkey").alias("item"), F.col("n_name").alias("parent"), F.col("r_name").alias("parent_of_parent"))
+
+
 # --- distances -----------------------------------------------------------------------------------------------------
 
 def _pairs(name):
@@ -383,6 +403,29 @@ def rotate_mesh(spark, sf):
     return out.select("mesh_id", "vertex_id", *((F.round(c, 3) + 0.0).alias(c) for c in "xyz"))
 
 
+HALVES = f"""{T.PRISMS}, tri as (select f.mesh_id, face_id, [a.x, a.y, a.z] as p0, [b.x, b.y, b.z] as p1, [c.x, c.y, c.z] as p2 from face f join vert a on a.mesh_id = f.mesh_id and a.vertex_id = f.v0
+  join vert b on b.mesh_id = f.mesh_id and b.vertex_id = f.v1 join vert c on c.mesh_id = f.mesh_id and c.vertex_id = f.v2),
+mid as (select *, list_transform(list_zip(p0, p1), lambda p: (p[1] + p[2]) / 2) as m0, list_transform(list_zip(p1, p2), lambda p: (p[1] + p[2]) / 2) as m1, list_transform(list_zip(p2, p0), lambda p: (p[1] + p[2]) / 2) as m2 from tri),
+four as (select mesh_id, face_id, unnest([0, 1, 2, 3]) as part, unnest([[p0, m0, m2], [m0, p1, m1], [m2, m1, p2], [m0, m1, m2]]) as t from mid)"""
+
+
+@query(f"with {HALVES} select mesh_id, face_id::int as face_id, part::bigint as part, round((t[1][1] + t[2][1] + t[3][1]) / 3, 3) + 0 as x, round((t[1][2] + t[2][2] + t[3][2]) / 3, 3) + 0 as y, round((t[1][3] + t[2][3] + t[3][3]) / 3, 3) + 0 as z from four")
+def subdivide_midpoint(spark, sf):
+    out = rays.with_centres(rays.subdivided(rays.triangles(*T.prisms(spark, sf)), 1))
+    return out.select("mesh_id", "face_id", "part", *((F.round(f"centre.{c}", 3) + 0.0).alias(c) for c in "xyz"))
+
+
+@query(f"with {T.PRISMS} select * from (select mesh_id, vertex_id::int as a, lead(vertex_id) over (partition by mesh_id order by vertex_id)::int as b from vert) where b is not null")
+def polyline_segments(spark, sf):
+    return graph.polyline_segments(T.prisms(spark, sf)[0].withColumnsRenamed({"mesh_id": "line_id", "vertex_id": "seq"})).select(F.col("line_id").alias("mesh_id"), F.col("seq").alias("a"), F.col("next").alias("b"))
+
+
+@query(f"with {T.PRISMS} select mesh_id, vertex_id::int as vertex_id, round(avg(z) over w, 6) as mean, round(max(z) over w, 4) as most from vert window w as (partition by mesh_id order by vertex_id rows between 2 preceding and 2 following)")
+def path_window(spark, sf):
+    out = graph.path_statistics(T.prisms(spark, sf)[0].select(F.col("mesh_id").alias("line_id"), F.col("vertex_id").alias("seq"), "z"), "z", 2)
+    return out.select(F.col("line_id").alias("mesh_id"), F.col("seq").alias("vertex_id"), r("mean", digits=6), r("most"))
+
+
 # --- mesh graphs ---------------------------------------------------------------------------------------------------
 
 SEEDS = f"""{T.PRISMS}, side as (select distinct mesh_id, unnest([v0, v1, v2, v1, v2, v0]) as a, unnest([v1, v2, v0, v0, v1, v2]) as b from face),

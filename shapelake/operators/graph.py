@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
@@ -89,3 +89,16 @@ def border_edges(faces: DataFrame) -> DataFrame:
     """(mesh_id, a, b): edges of one face only."""
     edge = F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0")))))
     return faces.select("mesh_id", edge.alias("e")).groupBy("mesh_id", "e.a", "e.b").count().filter("count = 1").select("mesh_id", "a", "b")
+
+
+def polyline_segments(points: DataFrame) -> DataFrame:
+    """Each point of a line (line_id, seq, x, y, z) with the one after it: next, x1, y1, z1; the last has none."""
+    row = Window.partitionBy("line_id").orderBy("seq")
+    ahead = {"next": F.lead("seq").over(row)} | {f"{c}1": F.lead(c).over(row) for c in "xyz"}
+    return points.withColumns(ahead).filter("next is not null")
+
+
+def path_statistics(path: DataFrame, value: str, half: int) -> DataFrame:
+    """(line_id, seq, mean, most) of ``value`` over the points up to ``half`` before and after each."""
+    near = Window.partitionBy("line_id").orderBy("seq").rowsBetween(-half, half)
+    return path.select("line_id", "seq", F.avg(value).over(near).alias("mean"), F.max(value).over(near).alias("most"))

@@ -107,3 +107,17 @@ def purity(truth: DataFrame, clusters: DataFrame) -> DataFrame:
     sums = per.groupBy("c").agg(F.max("n").alias("most"), F.first("all").alias("all"), F.sum(-F.col("r") * F.ln(F.col("r") + 1e-20)).alias("h"))
     k = truth.agg(F.count_distinct("label").alias("k"))
     return sums.join(F.broadcast(k), F.lit(True)).agg((F.sum("most") / F.sum("all")).alias("purity"), (F.sum(F.col("h") * F.col("all") / F.ln("k")) / F.sum("all")).alias("entropy"))
+
+
+def union_groupings(parts: dict[str, DataFrame]) -> DataFrame:
+    """(item, label) of groupings of different items in one, items marked by each part's prefix."""
+    out = [g.select(F.concat(F.lit(p), "item").alias("item"), "label") for p, g in parts.items()]
+    for g in out[1:]:
+        out[0] = out[0].unionByName(g)
+    return out[0]
+
+
+def best_parameter(scores: DataFrame, param: str, score: str) -> DataFrame:
+    """One row: the parameter with the best score, ties to the smallest; scores that are null or no number don't count."""
+    good = scores.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    return good.agg(F.min_by(param, F.struct(-F.col(score), F.col(param))).alias(param), F.max(score).alias(score))

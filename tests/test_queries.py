@@ -5,7 +5,7 @@ import math
 import pytest
 
 from shapelake import catalog
-from shapelake.operators import cluster, graph, groups, mesh, pairs, voxels
+from shapelake.operators import cluster, graph, groups, harmonics, mesh, pairs, rays, voxels
 from shapelake.functions import vectors as V
 from shapelake.sources.off import read_off, write_off
 from shapelake.storage import scratch_dir
@@ -67,3 +67,41 @@ def test_solid_block(spark):
     assert {x["size"] for x in voxels.voxel_components(v).collect()} == {125}
     full = spark.createDataFrame([("a", i, j, k, 7) for i in range(4) for j in range(4) for k in range(4)], "image_id string, i int, j int, k int, value int")
     assert all(math.isclose(x["value"], 7) for x in voxels.gaussian_smooth(full, (4, 4, 4)).collect())
+
+
+def cube(spark, half=1.0):
+    c = [(x * half, y * half, z * half) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    f = [t for a, b, d, e in quads for t in ((a, b, d), (a, d, e))]
+    v = spark.createDataFrame([("c", i, *map(float, p)) for i, p in enumerate(c)], "mesh_id string, vertex_id int, x double, y double, z double")
+    return v, spark.createDataFrame([("c", i, *t) for i, t in enumerate(f)], "mesh_id string, face_id int, v0 int, v1 int, v2 int")
+
+
+def test_chords_of_a_cube(spark):
+    v, f = cube(spark)
+    parts = rays.with_centres(rays.subdivided(rays.triangles(v, f), 2))
+    assert parts.count() == 12 * 16 and parts.agg({"area": "sum"}).first()[0] == pytest.approx(24)
+    lines = rays.random_chords(parts, 200)
+    found = rays.chord_lengths(lines, parts).toPandas()
+    assert lines.count() == 200 and 0 < len(found) < 400 and found["length"].max() <= 2 * math.sqrt(3)
+    out = rays.chord_distribution(v, f, chords=200, bins=10, rounds=1).toPandas()
+    assert len(out) == 10 and out["density"].mean() == pytest.approx(1) and out["bin"].nunique() == 10
+
+
+def test_harmonics(spark):
+    d = harmonics.sphere_sample(spark, 40).cache()
+    b = d.select(harmonics.basis(3, d["azimuth"], d["elevation"]).alias("b")).toPandas()["b"]
+    gram = sum([[x * y for y in row] for x in row][i][j] for row in b for i, j in [(4, 4)]) * 4 * math.pi / len(b)
+    assert gram == pytest.approx(1, abs=0.05)
+    assert abs(sum(row[4] * row[6] for row in b)) * 4 * math.pi / len(b) < 0.05
+    v, f = cube(spark, 2.0)
+    c = harmonics.coefficients(v, f, d, degrees=5)
+    r = harmonics.radii(v, f, d).toPandas()["r"]
+    assert r.min() >= 2 - 1e-9 and r.max() <= 2 * math.sqrt(3) and len(r) == 1600
+    assert c.first()["coefficients"][0] == pytest.approx(r.mean() * math.sqrt(4 * math.pi))
+    assert harmonics.surface(c, d, degrees=5).toPandas()["r"].mean() == pytest.approx(r.mean(), rel=0.02)
+
+
+def test_best_parameter(spark):
+    rows = [(2, 0.5), (3, float("nan")), (5, 0.7), (4, 0.7), (9, None)]
+    assert tuple(groups.best_parameter(spark.createDataFrame(rows, "k int, s double"), "k", "s").first()) == (4, 0.7)
