@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import classify, cluster, features, graph, groups, mesh, pairs, rays, voxels
+from .operators import classify, cluster, features, graph, groups, mesh, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
 from .streaming import edits
 
@@ -270,6 +270,7 @@ _sql["dist_ks"] = f"""with {T.HISTOGRAMS}, e as (select item, unnest(x) as x, un
 c as (select item, list(s order by pos) as x from s group by item)
 select a.item as a, b.item as b, round(list_max(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2]))), 4) as d from c a join c b on a.item < b.item"""
 
+EPS = (1.05, 1.1, 1.15)
 L2 = f"{T.FEATURES}, p as (select a.item as a, b.item as b, list_distance(a.x, b.x) as d from feat a join feat b on a.item <> b.item)"
 
 
@@ -287,6 +288,12 @@ def knn_elbow(spark, sf):
     return pairs.knn_elbow(_l2(spark, sf), 4).select("item", r("kth"))
 
 
+@query(f"""with {L2}, k as (select a, d from p qualify row_number() over (partition by a order by d, b) = 3)
+select eps, sum((d >= eps)::int)::bigint as n from k, (values {", ".join(f"({e}::double)" for e in EPS)}) t(eps) group by eps""")
+def dbscan_elbow(spark, sf):
+    return pairs.beyond(pairs.knn_elbow(_l2(spark, sf), 4), spark.createDataFrame([(e,) for e in EPS], "eps double"))
+
+
 @query(f"""with {L2}, m as (select p.a, x.label as la, y.label as lb, avg(d) as d from p join feat x on x.item = p.a join feat y on y.item = p.b group by all),
 s as (select a, la, max(d) filter (la = lb) as own, min(d) filter (la <> lb) as nxt from m group by all)
 select a as item, la as label, round(coalesce((nxt - own) / greatest(nxt, own), 0), 4) as s from s""")
@@ -295,9 +302,6 @@ def silhouette(spark, sf):
     return pairs.silhouette(_l2(spark, sf), f.select("item", "label")).select("item", "label", r("s"))
 
 
-EPS = (1.05, 1.1, 1.15)
-
-
 @query(f"""with recursive {T.FEATURES}, eps(eps) as (values {", ".join(f"({e}::double)" for e in EPS)}),
 p as (select a.item as a, b.item as b, eps from feat a join feat b on a.item <> b.item join eps on list_distance(a.x, b.x) <= eps),
 core as (select eps, a from p group by all having count(*) >= 2),
@@ -426,6 +430,44 @@ def path_window(spark, sf):
     return out.select(F.col("line_id").alias("mesh_id"), F.col("seq").alias("vertex_id"), r("mean", digits=6), r("most"))
 
 
+@query()
+def hull_ratio(spark, sf):
+    return shape.hull_ratios(*T.prisms(spark, sf)).select("mesh_id", r("hull_volume"), r("hull_ratio"))
+
+
+@query()
+def orient_meshes(spark, sf):
+    return shape.oriented(*T.prisms(spark, sf)).select("mesh_id", "vertex_id", r("x"), r("y"), r("z"))
+
+
+@query()
+def light_field(spark, sf):
+    m = views.light_field(*T.prisms(spark, sf), views=3, order=6, side=100)
+    return m.select("mesh_id", "view", F.posexplode("moments").alias("pos", "m")).select("mesh_id", "view", "pos", r("m.re", "re"), r("m.im", "im"))
+
+
+@query(f"""with {T.PRISMS}, s as (select mesh_id, vertex_id, vertex_id % 12 as node, round(z + vertex_id % 7 * 0.5, 6) as d from vert),
+c as (select mesh_id, quantile_cont(d, 0.75) as cut from s where node < 6 group by 1)
+select mesh_id, vertex_id::int as vertex_id from s join c using (mesh_id) where node >= 6 or d > cut""")
+def segment_by_distance(spark, sf):
+    v = T.prisms(spark, sf)[0].select("mesh_id", "vertex_id", (F.col("vertex_id") % 12).alias("node"), F.round(F.col("z") + F.col("vertex_id") % 7 * 0.5, 6).alias("d"))
+    return skeleton.segment_by_distance(v, v.filter("node < 6").select("mesh_id", "node"))
+
+
+@query(f"with {T.PRISMS} select distinct round_even(x, 2) + 0 as x, round_even(y, 2) + 0 as y, round_even(z * 1.37::double, 2) + 0 as z from vert")
+def mesh_points(spark, sf):
+    p = skeleton.points_of(mesh.scaled(T.prisms(spark, sf)[0], 1.0, 1.0, 1.37))
+    return p.select(*((F.col(f"point.{c}") + 0.0).alias(c) for c in "xyz")).distinct()
+
+
+@query(f"""with {T.PRISMS}, p as (select mesh_id, vertex_id, round_even(x, 2) + 0 as x, round_even(y, 2) + 0 as y, round_even(z * 1.37::double, 2) + 0 as z from vert),
+g as (select x, y, z, min(mesh_id) as label from p where mesh_id % 3 = 0 group by all) select p.mesh_id, vertex_id::int as vertex_id, label from p left join g using (x, y, z)""")
+def vertex_groups(spark, sf):
+    v = mesh.scaled(T.prisms(spark, sf)[0], 1.0, 1.0, 1.37)  # keeps heights off the ties of rounding to two decimals
+    parts = v.filter("mesh_id % 3 = 0").select("x", "y", "z", F.col("mesh_id").alias("label"))
+    return skeleton.vertex_groups(v, parts).select("mesh_id", "vertex_id", "label")
+
+
 # --- mesh graphs ---------------------------------------------------------------------------------------------------
 
 SEEDS = f"""{T.PRISMS}, side as (select distinct mesh_id, unnest([v0, v1, v2, v1, v2, v0]) as a, unnest([v1, v2, v0, v0, v1, v2]) as b from face),
@@ -492,6 +534,29 @@ def surface_voxels(spark, sf):
     return voxels.surface_voxels(_binary(spark, sf))
 
 
+SURFACE = f"""{THRESHOLD}, f as (select * from bin where value > 0), surf as (select image_id, i, j, k from f where
+(select count(*) from f g where abs(f.i - g.i) + abs(f.j - g.j) + abs(f.k - g.k) = 1) < 6)"""
+
+
+@query(f"""with {SURFACE}, g as (select b.*, {", ".join(f"(coalesce({a}0.value, b.value) - coalesce({a}1.value, b.value)) / (case when {a}0.value is null or {a}1.value is null then 1.0::double else 2.0 end) as n{c}" for a, c in zip("ijk", "xyz"))}
+from bin b {" ".join(f"left join bin {a}{n} on {' and '.join(f'{a}{n}.{o} = b.{o}' + ((' - 1', ' + 1')[n] if o == a else '') for o in 'ijk')}" for a in "ijk" for n in (0, 1))})
+select image_id, i, j, k, round(nx, 4) as nx, round(ny, 4) as ny, round(nz, 4) as nz from g semi join surf using (image_id, i, j, k)""")
+def gradient_normals(spark, sf):
+    return voxels.gradient_normals(_binary(spark, sf)).select("image_id", "i", "j", "k", r("nx"), r("ny"), r("nz"))
+
+
+@query(f"""with {SURFACE}, s as (select surf.image_id, surf.i, surf.j, surf.k, coalesce(sum(surf.i - f.i), 0)::double as a, coalesce(sum(surf.j - f.j), 0)::double as b, coalesce(sum(surf.k - f.k), 0)::double as c
+  from surf left join f on abs(surf.i - f.i) <= 1 and abs(surf.j - f.j) <= 1 and abs(surf.k - f.k) <= 1 group by surf.image_id, surf.i, surf.j, surf.k), t as (select *, sqrt(a * a + b * b + c * c) as size from s)
+select image_id, i, j, k, round(case when size > 0 then a / size else 0 end, 4) as nx, round(case when size > 0 then b / size else 1 end, 4) as ny, round(case when size > 0 then c / size else 0 end, 4) as nz from t""")
+def neighbour_normals(spark, sf):
+    return voxels.neighbour_normals(_binary(spark, sf)).select("image_id", "i", "j", "k", r("nx"), r("ny"), r("nz"))
+
+
+@query(f"with {SURFACE} select image_id, i * 0.5::double as x, j * 0.5::double as y, k * 2.0::double as z from surf")
+def sampled_surface(spark, sf):
+    return voxels.spaced(voxels.surface_voxels(_binary(spark, sf)), (0.5, 0.5, 2.0)).select("image_id", "x", "y", "z")
+
+
 @query()
 def voxel_components(spark, sf):
     return voxels.voxel_components(_binary(spark, sf))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
 from ..storage import materialize
 
+#: Metrics by the name of the feature set they make up.
+FEATURE_SETS = {"classic": ["volume", "areas", "lengths", "open_angle"], "chord": ["chords"], "combined": ["volume", "areas", "lengths", "open_angle", "chords"]}
+
 
 def fit_svm(train: DataFrame, key: str, vector: str, label: str, costs: tuple[float, ...] = (1.0, 10.0), folds: int = 4):
     """(indexer, model): the best of ``costs`` by cross-validated accuracy."""
@@ -54,3 +61,21 @@ def ratio_sweep(items: DataFrame, key: str, vector: str, label: str, ratios: lis
 
 def accuracy_trend(curve: DataFrame) -> DataFrame:
     return curve.agg(F.regr_slope("accuracy", "ratio").alias("slope"), F.regr_intercept("accuracy", "ratio").alias("intercept"))
+
+
+def transfer_accuracy(train: DataFrame, test: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(accuracy) on one table of a classifier fitted on another."""
+    hit = predict(fit_svm(train, key, vector, label), test, key, vector).withColumnRenamed("label", "p").join(test.select(key, F.col(label).alias("t")), key)
+    return hit.agg(F.avg((F.col("p") == F.col("t")).cast("double")).alias("accuracy"))
+
+
+def fourier_features(x: Column, length: int, n: int, gamma: float | None = None, kind: str = "rbf", seed: int = 0) -> Column:
+    """``n`` random features whose dot products near exp(-gamma d) of the squared Euclidean (rbf) or L1 (laplacian) distance d.
+
+    gamma is 1 / length unless given; a linear classifier on them stands for one with the kernel.
+    """
+    gamma, r = gamma or 1 / length, np.random.default_rng(seed)
+    w = r.normal(size=(n, length)) * math.sqrt(2 * gamma) if kind == "rbf" else r.standard_cauchy(size=(n, length)) * gamma
+    shift = r.uniform(0, 2 * math.pi, n)
+    rows = F.array(*(F.struct(F.lit(a.tolist()).alias("w"), F.lit(float(b)).alias("b")) for a, b in zip(w, shift, strict=True)))
+    return F.transform(rows, lambda e: F.cos(dot(x, e["w"]) + e["b"]) * math.sqrt(2 / n))

@@ -44,6 +44,12 @@ def knn_elbow(pairs: DataFrame, k: int) -> DataFrame:
     return both_sides(pairs).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == k - 1).select(F.col("a").alias("item"), F.col("d").alias("kth"))
 
 
+def beyond(kth: DataFrame, eps: DataFrame) -> DataFrame:
+    """(eps, n): how many items' k-th neighbour is at ``eps`` or farther, for every value in the small table ``eps``."""
+    hit = F.sum(F.when(F.col("kth") >= F.col("eps"), 1).otherwise(0))
+    return kth.join(F.broadcast(eps), F.lit(True)).groupBy("eps").agg(hit.alias("n"))
+
+
 def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """(item, label, s): labels (item, label), null labels left out; alone in its group: 0."""
     labels = labels.filter("label is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -51,6 +51,36 @@ def surface_voxels(voxels: DataFrame) -> DataFrame:
     return filled.drop("value").join(inner, ["image_id", "i", "j", "k"], "left").filter("coalesce(n, 0) < 6").drop("n")
 
 
+def gradient_normals(voxels: DataFrame) -> DataFrame:
+    """(image_id, i, j, k, nx, ny, nz) of the surface: minus the image's gradient, one-sided where a neighbour is missing.
+
+    Differences are signed, whatever the values' width.
+    """
+    for axis, name in zip("ijk", ("nx", "ny", "nz"), strict=True):
+        row = Window.partitionBy("image_id", *(c for c in "ijk" if c != axis)).orderBy(axis)
+        before = F.when(F.lag(axis).over(row) == F.col(axis) - 1, F.lag("value").over(row))
+        after = F.when(F.lead(axis).over(row) == F.col(axis) + 1, F.lead("value").over(row))
+        width = F.when(before.isNotNull() & after.isNotNull(), 2.0).otherwise(1.0)
+        voxels = voxels.withColumn(name, (F.coalesce(before, "value") - F.coalesce(after, "value")) / width)
+    return voxels.join(surface_voxels(voxels), ["image_id", "i", "j", "k"], "left_semi").select("image_id", "i", "j", "k", "nx", "ny", "nz")
+
+
+def neighbour_normals(voxels: DataFrame) -> DataFrame:
+    """(image_id, i, j, k, nx, ny, nz) of the surface: the unit vector away from the filled ones of 26 neighbours, else (0, 1, 0)."""
+    span = (-1, 0, 1)
+    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in span for b in span for c in span if a or b or c))
+    near = voxels.filter("value > 0").select("image_id", "i", "j", "k", F.explode(offsets).alias("o"))
+    away = near.groupBy("image_id", *((F.col(x) + F.col(f"o.{y}")).alias(x) for x, y in zip("ijk", "abc", strict=True))).agg(*(F.sum(f"o.{y}").alias(y) for y in "abc"))
+    s = surface_voxels(voxels).join(away, ["image_id", "i", "j", "k"], "left").fillna(0, ["a", "b", "c"])
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    return s.withColumn("size", size).select("image_id", "i", "j", "k", *(F.when(F.col("size") > 0, F.col(y) / F.col("size")).otherwise(d).alias(n) for y, d, n in zip("abc", (0.0, 1.0, 0.0), ("nx", "ny", "nz"), strict=True)))
+
+
+def spaced(points: DataFrame, density: tuple[float, float, float]) -> DataFrame:
+    """points with x, y, z: the voxel coordinates times the sampling density."""
+    return points.withColumns({c: F.col(a) * float(d) for c, a, d in zip("xyz", "ijk", density, strict=True)})
+
+
 def voxel_components(voxels: DataFrame, least: int = 10) -> DataFrame:
     """(image_id, i, j, k, part): components of filled voxels over faces with at least ``least`` voxels."""
     filled = voxels.filter("value > 0").select("image_id", "i", "j", "k")

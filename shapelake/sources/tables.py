@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import parse_vector
+from ..operators.groups import intersection_ratios
 
 KEY = "Spine File"
 
@@ -40,3 +41,39 @@ def read_groupings(spark: SparkSession, path: str) -> DataFrame:
     own = own.select("grouping_id", norm(F.col("item_id")).alias("item_id"), "label")
     rest = raw.select("grouping_id", F.explode("samples").alias("item_id")).select("grouping_id", norm(F.col("item_id")).alias("item_id")).distinct()
     return own.union(rest.join(own, ["grouping_id", "item_id"], "left_anti").withColumn("label", F.lit(None).cast("string")))
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(grouping_id, item_id, label) of files that hold only groups; every member is a sample."""
+    return read_groupings(spark, path).filter("label is not null")
+
+
+def write_flat_vectors(df: DataFrame, path: str, vector: str, key: str = "item_id") -> None:
+    """Rows ``key, v0, v1, ...`` as CSV without a header; vectors may differ in length."""
+    df.select(F.concat_ws(",", F.col(key), F.array_join(F.transform(vector, lambda x: x.cast("string")), ",", "")).alias("value")).write.text(path)
+
+
+def write_ratios(a: DataFrame, b: DataFrame, labels: list[str], path: str, normalize: bool = False) -> None:
+    """Contingency table of two groupings (item, label) as CSV: a row a group of a, a column a label of b."""
+    r = intersection_ratios(a, b, normalize).filter("a_label is not null")
+    wide = r.groupBy(F.col("a_label").alias("denominator_group")).pivot("b_label", labels).agg(F.first("ratio"))
+    numeric = F.col("denominator_group").try_cast("double")
+    wide.orderBy(numeric.asc_nulls_last(), "denominator_group").coalesce(1).write.option("header", True).csv(path)  # labels x labels
+
+
+def write_long(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Result tables (score graphs, per-group distributions, reduced coordinates) as CSV with a header, in a folder a value of ``by``."""
+    out = df.write.option("header", True)
+    (out.partitionBy(by) if by else out).csv(path)
+
+
+def write_segmentation(segment: DataFrame, path: str) -> None:
+    """{point: true} with one JSON line a mesh (mesh_id=...), from (mesh_id, point: text)."""
+    marks = F.map_from_entries(F.collect_list(F.struct("point", F.lit(True).alias("in"))))
+    segment.select("mesh_id", "point").distinct().groupBy("mesh_id").agg(F.to_json(marks).alias("value")).write.partitionBy("mesh_id").text(path)
+
+
+def read_segmentation(spark: SparkSession, path: str) -> DataFrame:
+    """(mesh_id, point): the points that are marked true."""
+    raw = spark.read.text(path).select("mesh_id", F.explode(F.from_json("value", "map<string,boolean>")).alias("point", "in"))
+    return raw.filter("in").select("mesh_id", "point")
