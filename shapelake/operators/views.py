@@ -115,6 +115,9 @@ def light_field(vertices: DataFrame, faces: DataFrame, views: int = 5, order: in
     flat = F.flatten(F.collect_list(F.array(*(F.col(f"p{i}.{c}") for i in range(3) for c in "xyz"))))
     rows = triangles(vertices, faces).groupBy("mesh_id").agg(flat.alias("tri"))  # a mesh is one row
     rows = rows.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1))))
+    # drawing costs far more than the few bytes a mesh has, by which small partitions would be merged
+    tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "mesh_id", "view")
 
     def measure(batches):
         inside, values = zernike_basis(side, order)
