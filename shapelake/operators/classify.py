@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..storage import materialize
 
-#: Metrics by the name of the feature set they make up.
-FEATURE_SETS = {"classic": ["volume", "areas", "lengths", "open_angle"], "chord": ["chords"], "combined": ["volume", "areas", "lengths", "open_angle", "chords"]}
-
 
 def fit_svm(train: DataFrame, key: str, vector: str, label: str, costs: tuple[float, ...] = (1.0, 10.0), folds: int = 4):
     """(indexer, model): the best of ``costs`` by cross-validated accuracy."""
