@@ -150,6 +150,30 @@ def test_lines(spark, docs):
     assert gone and lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """Every pair at edit similarity 0.8 or more is found, whatever its SimHashes, in chunked buckets too."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for n in [*range(5, 40), 79, 81, 120, 181, 420] * 2:
+        base = [rnd.choice(vocabulary) for _ in range(n)]
+        for k in (0, 1, n // 5, n // 5, n // 5 + 1):
+            w = list(base)
+            for p in rnd.sample(range(n), k):
+                w[p] = rnd.choice(vocabulary)
+            if k and rnd.random() < 0.5:
+                del w[rnd.randrange(len(w))]
+            rows.append(" ".join(w))
+    rows += [" ".join(["same"] * 9 + [rnd.choice("abc")]) for _ in range(3)]
+    h = [substring.word_hashes(lines.normalised(x.encode())).tolist() for x in rows]
+    pair = [(a, b) for a in range(len(h)) for b in range(a) if min(len(h[a]), len(h[b])) >= 5 and lines.edit_similarity(h[a], h[b], 0.8) >= 0.8]
+    root = stars(len(h), *np.array(pair).T)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for most in (16, 1024):
+        found = table(lines.dedup_lines(df, most=most))
+        assert [found[i]["n_removed"] for i in range(len(rows))] == [int(root[i] != i) for i in range(len(rows))]
+
+
 def test_edit_similarity():
     rnd = random.Random(2)
 
