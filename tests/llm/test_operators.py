@@ -127,6 +127,23 @@ def test_vectors(spark):
     assert embeddings.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_block_schemes_find_links_at_the_threshold():
+    """Every scheme, on codes of random 64-d pairs whose cosine is 0.95 to 0.96."""
+    rnd = np.random.default_rng(2)
+    u, v = rnd.normal(size=(2, 20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v -= (u * v).sum(axis=1, keepdims=True) * u
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = rnd.uniform(0.95, 0.96, size=(len(u), 1))
+    v = c * u + np.sqrt(1 - c * c) * v
+    mean, axes = embeddings.learn_rotation(u[:10_000], 64)
+    unlike = embeddings.codes(u, mean, axes) ^ embeddings.codes(v, mean, axes)
+    for n in (1, 1 << 18, 1 << 24, 1 << 32):
+        blocks, agree = embeddings.block_scheme(n)
+        met = np.any([unlike & m == 0 for m in np.array(hamming.block_masks(blocks - agree, blocks), np.int64)], axis=0)
+        assert met.mean() >= 0.9
+
+
 def test_lines(spark, docs):
     found = table(lines.dedup_lines(docs))
     seen, gone = {}, {}
