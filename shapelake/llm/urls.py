@@ -2,7 +2,7 @@
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give each URL a log-likelihood
 difference per character. The rules' own verdicts are the training labels. The threshold is calibrated on URLs kept
-out of training. Contexts are hashed into a fixed number of buckets, which bounds the model.
+out of training. Every n-gram has its exact count, so the models grow with the distinct n-grams of the labelled URLs.
 """
 
 from __future__ import annotations
@@ -39,62 +39,61 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def context_buckets(url: bytes, orders: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(orders x characters) buckets of the contexts of 0, 1, ... bytes before each byte, and of those with the byte."""
-    code = np.frombuffer(b"\x02" * orders + url + b"\x03", np.uint8).astype(np.uint64) + np.uint64(1)
-    n, rows = len(url) + 1, []
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for order in range(orders):
-            if order:
-                h = (h + code[orders - order : orders - order + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            rows.append(h + np.uint64(order + 1))
-        context = np.stack(rows) * np.uint64(0xD6E8FEB86659FD93)
-        full = (context ^ code[orders:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    place = lambda x: ((x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9) >> np.uint64(40)) % np.uint64(buckets)
-    with np.errstate(over="ignore"):
-        return place(context).astype(np.int64), place(full).astype(np.int64)
+def ngram_keys(url: bytes, orders: int) -> np.ndarray:
+    """(context or with next x orders x characters) numbers of the contexts of 0, 1, ... bytes before each byte, and of
+    those with the byte. Different n-grams have different numbers: nine bits a symbol, and the order and kind on top."""
+    code = np.concatenate([np.ones(orders, np.int64), np.frombuffer(url, np.uint8).astype(np.int64) + 3, [2]])
+    n = len(url) + 1
+    out = np.zeros((2, orders, n), np.int64)
+    h = np.zeros(n, np.int64)
+    for order in range(orders):
+        if order:
+            h = h | code[orders - order : orders - order + n] << 9 * (order - 1)
+        out[0, order] = h | order << 56
+        out[1, order] = h << 9 | code[orders:] | order << 56 | 1 << 60
+    return out
+
 
+def fit_url_models(labelled: DataFrame, url_col: str, label_col: str, orders: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the n-grams in order, counts (rejected or accepted, n-gram)) over all rows whose label isn't null.
 
-def fit_url_models(labelled: DataFrame, url_col: str, label_col: str, orders: int = 6, buckets: int = 1 << 17) -> np.ndarray:
-    """Counts (rejected or accepted, context or with next, bucket) over all rows whose label isn't null."""
+    Every n-gram has its own exact count, so the model grows with the distinct n-grams: 16 bytes each. At most 6 orders.
+    """
 
     def count(batches):
-        n = np.zeros((2, 2, buckets), np.int64)
         for batch in batches:
-            for url, label in zip(batch.column("url").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                for kind, at in enumerate(context_buckets(url.encode(), orders, buckets)):
-                    np.add.at(n[int(label), kind], at.ravel(), 1)
-        for label, kind in np.ndindex(2, 2):
-            at = np.flatnonzero(n[label, kind])
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2 * label + kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[label, kind][at])], ["part", "bucket", "n"])
+            for label in (False, True):
+                urls = [u for u, x in zip(batch.column("url").to_pylist(), batch.column("label").to_pylist(), strict=True) if x == label]
+                for a in range(0, len(urls), 4096):
+                    key, n = np.unique(np.concatenate([ngram_keys(u.encode(), orders).ravel() for u in urls[a : a + 4096]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), label)), pa.array(key), pa.array(n.astype(np.int64))], ["label", "key", "n"])
 
     source = labelled.select(F.col(url_col).alias("url"), F.col(label_col).alias("label")).filter("url is not null and label is not null")
-    rows = map_arrow(source, count, "part int, bucket int, n long").groupBy("part", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((4, buckets), np.float32)  # at most 4 x buckets rows come to the driver
-    out[rows["part"].to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out.reshape(2, 2, buckets)
+    both = (F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).cast("float") for x in (False, True))
+    rows = map_arrow(source, count, "label boolean, key long, n long").groupBy("key").agg(*(n.alias(f"n{i}") for i, n in enumerate(both))).toArrow()
+    key = rows.column("key").to_numpy().astype(np.int64)
+    way = np.argsort(key)
+    return key[way], np.stack([rows.column(c).to_numpy().astype(np.float32)[way] for c in ("n0", "n1")])
 
 
-def url_scores(pages: DataFrame, url_col: str, model: np.ndarray, orders: int = 6, strength: float = 1.0) -> DataFrame:
+def url_scores(pages: DataFrame, url_col: str, model: tuple[np.ndarray, np.ndarray], orders: int = 6, strength: float = 1.0) -> DataFrame:
     """``pages`` with ``score``: log-likelihood per character as accepted less that as rejected; 0 for a null URL."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    buckets = model.shape[-1]
 
     @F.pandas_udf("double")
     def score(urls):
         out = np.zeros(len(urls))
-        n = shared.value
+        known, counts = shared.value
         for i, url in enumerate(urls):
-            if url is None:
+            if url is None or not len(known):
                 continue
-            context, full = context_buckets(url.encode(), orders, buckets)
-            chance = np.full((2, context.shape[1]), 1 / 256)
+            key = ngram_keys(url.encode(), orders)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            n = np.where(known[at] == key, counts[:, at], np.float32(0))
+            chance = np.full((2, key.shape[2]), 1 / 256)
             for order in range(orders):  # each order falls back on the one below
-                chance = (n[:, 1][:, full[order]] + strength * chance) / (n[:, 0][:, context[order]] + strength)
-            mean = np.log(np.minimum(chance, 1)).mean(axis=1)
+                chance = (n[:, 1, order] + strength * chance) / (n[:, 0, order] + strength)
+            mean = np.log(chance).mean(axis=1)
             out[i] = mean[1] - mean[0]
         return __import__("pandas").Series(out)
 

@@ -301,6 +301,23 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_models_count_every_ngram_exactly(spark):
+    """More distinct n-grams than any fixed table of 131,072 buckets keeps apart."""
+    rnd = random.Random(4)
+    rows = [("".join(chr(rnd.randint(33, 126)) for _ in range(40)) + "é", i % 2 == 0) for i in range(2500)]
+    key, counts = urls.fit_url_models(spark.createDataFrame(rows, "url string, label boolean"), "url", "label")
+    want = Counter()
+    for url, label in rows:
+        x = [-1] * 6 + list(url.encode()) + [-2]
+        for t in range(6, len(x)):
+            for order in range(6):
+                want[(label, 0, tuple(x[t - order : t]))] += 1
+                want[(label, 1, order, tuple(x[t - order : t + 1]))] += 1
+    assert len(key) == len({k[1:] for k in want}) > 1 << 17 and (np.diff(key) > 0).all()
+    for label in (0, 1):
+        assert Counter(counts[label][counts[label] > 0].tolist()) == Counter(n for k, n in want.items() if k[0] == label)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_sql(spark, name):
     assert compare(spark, catalog.queries()[name], catalog.oracle_sql()[name], "/root/testdata/sf0.001") == ""
