@@ -1,16 +1,18 @@
-"""Mixing sources to target weights by Pfair scheduling: DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling: DataFrame functions, and one period laid out on the driver.
 
 A source's documents, in a fixed pseudo-random order, are cut into blocks of equal length. Its weight is a whole number
 of slots in a period; its j-th block is released at floor(j / w) and due at ceil((j + 1) / w), and the slots go to the
 released block with the earliest deadline. As the weights fill the period exactly, every deadline is met: at any slot
 each source has had its share to within less than one block, until a source runs out; the others then go on in
-proportion. The schedule repeats with the period, so one period is worked out (slots x sources, both parameters' size)
-and every block's place follows from its number alone. Prefix sums within a source run over hashed parts of it, so a
+proportion. The schedule repeats with the period, so one period is worked out, and a block's position is its rank among all blocks
+by period and slot. Prefix sums within a source run over hashed parts of it, so a
 hot source is spread over ``parts`` groups.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +37,35 @@ def period_schedule(sources: DataFrame) -> DataFrame:
 
     ``sources``: name, share (slots in a period, at least 1), blocks.
     """
-    one = sources.agg(F.sort_array(F.collect_list(F.struct("name", "share", "blocks"))).alias("s"), F.sum("share").cast("int").alias("period"))
-    one = one.filter("period is not null").select("s", "period", F.transform("s", lambda x: x["share"]).alias("shares"))
-    share = lambda i: F.get(F.col("shares"), i)
-
-    def step(a, t):
-        due = F.transform(a["done"], lambda j, i: F.when((j < share(i)) & (F.floor(j * F.col("period") / share(i)) <= t), F.struct(F.ceil((j + 1) * F.col("period") / share(i)).alias("due"), i.alias("i"))))
-        pick = F.array_min(due)["i"]
-        return F.struct(F.transform(a["done"], lambda j, i: F.when(i == pick, j + 1).otherwise(j)).alias("done"), F.concat(a["slots"], F.array(pick)).alias("slots"))
-
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
-    slots = F.aggregate(F.sequence(F.lit(0), F.col("period") - 1), start, step)["slots"]
-    return one.select(F.transform("s", lambda x: x["name"]).alias("names"), "shares", F.transform("s", lambda x: x["blocks"]).alias("blocks"), slots.alias("slots"))
-
-
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 0.7, slots: int = 1000, block: int = 1 << 16, parts: int = 1024) -> DataFrame:
+    rows = sorted(tuple(r) for r in sources.select("name", "share", "blocks").collect())  # one a source
+    names, shares, blocks = ([r[k] for r in rows] for k in range(3))
+    period = sum(shares)
+    waiting, released, slots = [(0, i) for i in range(len(rows))], [], []
+    done = [0] * len(rows)
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(released, (-(-(done[i] + 1) * period // shares[i]), i))
+        i = heapq.heappop(released)[1]
+        slots.append(i)
+        done[i] += 1
+        if done[i] < shares[i]:
+            heapq.heappush(waiting, (done[i] * period // shares[i], i))
+    one = [(names, shares, blocks, slots)] if rows else []
+    return sources.sparkSession.createDataFrame(one, "names array<string>, shares array<long>, blocks array<long>, slots array<int>")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 0.7, slots: int = 1000, least: int = 10, block: int = 1 << 16, parts: int = 1024) -> DataFrame:
     """One row per input row: id, source, size (characters and one), block (in its source), share (of the source in a
     period), position (of the block in the mix, 0, 1, ...).
 
     ``weights`` are target weights by source; a source not among them gets 1. Without weights they are the sources'
-    total sizes to the power ``power``. A source gets round(slots * weight / sum) slots a period, one at least. No row
+    total sizes to the power ``power``. A source gets round(slots * weight / sum) slots a period; there are
+    ``slots``, or more where the smallest weight would else get fewer than ``least``, so that shares are within
+    1 / (2 * least) of the target weights. A weight of 0 gets one slot. No row
     is left out or repeated: a source that runs out frees its slots. Null is a source of its own, and a null text has
-    size 1. Equal ids are ordered by size. No rows give none. The period is as many slots as the shares add up to, so
-    the number of sources should be in the thousands at most.
+    size 1. Equal ids are ordered by size. No rows give none. The period, laid out on the driver, is about
+    ``least`` times the sum of the weights by the smallest.
     """
     blocks = materialize(source_blocks(docs, id_col, text_col, source_col, block, parts))
     each = blocks.groupBy("name").agg((F.max("block") + 1).alias("blocks"), F.sum("size").cast("double").alias("total"))
@@ -65,17 +73,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     if weights is not None:
         weight = F.coalesce(F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit("=" + k), F.lit(float(v))))), F.col("name")), F.lit(1.0)) if weights else F.lit(1.0)
     each = each.withColumn("weight", weight)
-    total = each.agg(F.sum("weight").alias("all"))
-    sources = each.join(F.broadcast(total), F.lit(True)).select("name", "blocks", F.greatest(F.lit(1), F.round(slots * F.col("weight") / F.col("all"))).cast("long").alias("share"))
+    total = each.agg(F.sum("weight").alias("all"), F.min(F.when(F.col("weight") > 0, F.col("weight"))).alias("lowest"))
+    sources = each.join(F.broadcast(total), F.lit(True)).select("name", "blocks", F.greatest(F.lit(1), F.round(F.greatest(F.lit(slots), F.ceil(least * F.col("all") / F.col("lowest"))) * F.col("weight") / F.col("all"))).cast("long").alias("share"))
     plan = materialize(period_schedule(sources))
-    slot = plan.select("names", "shares", "blocks", "slots", F.posexplode("slots").alias("slot", "i"))
-    count = lambda i: F.size(F.filter(F.slice("slots", F.lit(1), F.col("slot")), lambda x: x == i))
-    slot = slot.select(F.get("names", F.col("i")).alias("name"), F.get("shares", F.col("i")).alias("share"), count(F.col("i")).cast("long").alias("turn"), F.transform("shares", lambda s, i: F.struct(s.alias("share"), F.get(F.col("blocks"), i).alias("blocks"), count(i).alias("before"))).alias("others"))
+    slot = plan.select("names", "shares", F.posexplode("slots").alias("slot", "i")).select(F.get("names", F.col("i")).alias("name"), F.get("shares", F.col("i")).alias("share"), "slot")
+    slot = slot.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy("slot")).cast("long") - 1)
     shares = slot.select("name", "share").distinct()
     numbered = blocks.select("name", "block").distinct().join(shares, "name")
-    numbered = numbered.select("name", "block", "share", F.floor(F.col("block") / F.col("share")).alias("cycle"), (F.col("block") % F.col("share")).alias("turn"))
-    ahead = F.aggregate("others", F.lit(0).cast("long"), lambda a, x: a + F.least(x["blocks"], F.col("cycle") * x["share"] + x["before"]))
-    places = numbered.join(slot.drop("share"), ["name", "turn"]).select("name", "block", "share", ahead.alias("position"))
+    numbered = numbered.select("name", "block", F.floor(F.col("block") / F.col("share")).alias("cycle"), (F.col("block") % F.col("share")).alias("turn"))
+    placed = materialize(numbered.join(slot, ["name", "turn"]).select("name", "block", "share", "cycle", "slot"))
+    cycles = placed.groupBy("cycle").agg(F.count("*").alias("n"))
+    cycles = cycles.select("cycle", (F.sum("n").over(Window.orderBy("cycle")) - F.col("n")).alias("before"))  # one row a period
+    rank = F.row_number().over(Window.partitionBy("cycle").orderBy("slot")).cast("long") - 1
+    places = placed.withColumn("rank", rank).join(cycles, "cycle").select("name", "block", "share", (F.col("before") + F.col("rank")).alias("position"))
     out = blocks.join(places, ["name", "block"])
     return out.select(F.col("id").alias(id_col), F.when(F.col("name") != "", F.substring("name", 2, 1 << 30)).alias("source"), "size", "block", "share", "position")
 

@@ -220,6 +220,19 @@ def test_schedule_deviates_less_than_a_block(spark):
     assert done == Counter(shares)
 
 
+def test_many_small_sources_leave_the_hot_one_its_weight(spark):
+    """One source of a third of the weight and 600 that share the rest: less than 1.1 blocks off the real target."""
+    rows = [(i, "x" * 63, "hot") for i in range(400)] + [(1000 + 2 * i + k, "x" * 63, f"s{i}") for i in range(600) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"hot": 1 / 3} | {f"s{i}": 2 / 1800 for i in range(600)}
+    out = mixing.mix_sources(df, weights=weights, block=64, parts=4).select("source", "position").collect()
+    order = [r["source"] for r in sorted(out, key=lambda r: r["position"])]
+    seen = Counter()
+    for t, name in enumerate(order[:900]):
+        seen[name] += 1
+        assert abs(seen["hot"] - (t + 1) / 3) < 1.1
+
+
 def test_mixing(spark, docs):
     out = mixing.mix_sources(docs, block=64, parts=4).collect()
     assert len(out) == len(passages())
