@@ -191,6 +191,13 @@ def test_lines_by_edit_similarity_alone(spark):
         assert [found[i]["n_removed"] for i in range(len(rows))] == [int(root[i] != i) for i in range(len(rows))]
 
 
+def test_lines_of_texts_without_id(spark):
+    line = "a line of some ten words that is seen twice"
+    rows = [(None, line), (1, line.replace("seen", "read")), (2, line)]
+    found = table(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["n_removed"] for i, r in found.items()} == {None: 0, 1: 1, 2: 1}
+
+
 def test_edit_similarity():
     rnd = random.Random(2)
 
