@@ -144,31 +144,58 @@ def test_block_schemes_find_links_at_the_threshold():
         assert met.mean() >= 0.9
 
 
-def test_lines(spark, docs):
-    found = table(lines.dedup_lines(docs))
-    seen, gone = {}, {}
-    for i, t in enumerate(passages()):
-        for j, line in enumerate((t or "").encode().split(b"\n")):
-            w = lines.normalised(line)
+def word_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        q = [i + 1]
+        for j, y in enumerate(b):
+            q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+        p = q
+    return p[-1]
+
+
+def lines_gone(texts):
+    """Brute force, without the operator's own functions: for each (id, text) the numbers of the lines to go, and links."""
+    at = {}
+    for i, t in texts:
+        for j, line in enumerate((t or "").split("\n")):
+            w = tuple(x.decode() for x in line.encode().lower().split())
             if len(w) >= 5:
-                seen.setdefault(b" ".join(w), []).append((i, j))
-    keys = list(seen)
-    h = [substring.word_hashes(k.split()) for k in keys]
-    fp = np.array([lines._majority(x) for x in h], np.uint64)
-    pair = [(a, b) for a in range(len(keys)) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 4 and lines.edit_similarity(h[a].tolist(), h[b].tolist(), 0.8) >= 0.8]
+                at.setdefault(w, []).append((i is not None, i or 0, j))
+    keys = list(at)
+    pair = [(a, b) for a in range(len(keys)) for b in range(a) if abs(len(keys[a]) - len(keys[b])) <= 0.2 * max(len(keys[a]), len(keys[b])) and 5 * word_distance(keys[a], keys[b]) <= max(len(keys[a]), len(keys[b]))]
     root = stars(len(keys), np.array([p[0] for p in pair], int), np.array([p[1] for p in pair], int))
+    gone = {}
     for r in set(root.tolist()):
-        places = sorted(p for k in np.flatnonzero(root == r) for p in seen[keys[k]])
-        for i, j in places[1:]:
-            gone.setdefault(i, set()).add(j)
-    for i, t in enumerate(passages()):
-        want = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ()))
-        assert found[i]["text"] == want and found[i]["n_removed"] == len(gone.get(i, ()))
-    assert gone and lines.dedup_lines(docs.limit(0)).count() == 0
+        places = sorted(p for k in np.flatnonzero(root == r) for p in at[keys[k]])
+        for there, i, j in places:
+            if (there, i, j) != places[0]:
+                gone.setdefault(i if there else None, set()).add(j)
+    return gone, len(pair)
+
+
+def check_lines(spark, texts, **how):
+    gone, links = lines_gone(texts)
+    found = lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), **how).collect()
+    assert len(found) == len(texts)
+    by_id = dict(texts)
+    for r in found:
+        t = by_id[r["doc_id"]]
+        want = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(r["doc_id"], ()))
+        assert r["text"] == want and r["n_removed"] == len(gone.get(r["doc_id"], ()))
+    return links
+
+
+def test_lines(spark, docs):
+    assert check_lines(spark, [(i, t) for i, t in enumerate(passages()) if len(t or "") < 20_000]) == 1
+    found = table(lines.dedup_lines(docs))  # with other columns of clashing names, and a line of 9,000 words
+    assert len(found) == len(passages()) and found[10]["n_lines"] == 1 and found[0]["text"] is None
+    assert lines.dedup_lines(docs.limit(0)).count() == 0
+    assert lines.without_repeated_lines(docs).columns == docs.columns
 
 
 def test_lines_by_edit_similarity_alone(spark):
-    """Every pair at edit similarity 0.8 or more is found, whatever its SimHashes, in chunked buckets too."""
+    """Every pair at edit similarity 0.8 or more is found, in chunked buckets and cells too, and none below it."""
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = []
@@ -181,40 +208,35 @@ def test_lines_by_edit_similarity_alone(spark):
             if k and rnd.random() < 0.5:
                 del w[rnd.randrange(len(w))]
             rows.append(" ".join(w))
-    rows += [" ".join(["same"] * 9 + [rnd.choice("abc")]) for _ in range(3)]
-    h = [substring.word_hashes(lines.normalised(x.encode())).tolist() for x in rows]
-    pair = [(a, b) for a in range(len(h)) for b in range(a) if min(len(h[a]), len(h[b])) >= 5 and lines.edit_similarity(h[a], h[b], 0.8) >= 0.8]
-    root = stars(len(h), *np.array(pair).T)
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for most in (16, 1024):
-        found = table(lines.dedup_lines(df, most=most))
-        assert [found[i]["n_removed"] for i in range(len(rows))] == [int(root[i] != i) for i in range(len(rows))]
+    rows += [" ".join(["same"] * 9 + [rnd.choice("abc")]) for _ in range(3)] + ["12 34 56 78 90", "99 11 45 20 33"]
+    for most, cell in ((16, 8), (1024, 128)):
+        assert check_lines(spark, list(enumerate(rows)), most=most, cell=cell) > 500
 
 
-def test_lines_of_texts_without_id(spark):
+def test_lines_of_texts_without_id_and_of_repeated_rows(spark):
     line = "a line of some ten words that is seen twice"
-    rows = [(None, line), (1, line.replace("seen", "read")), (2, line)]
-    found = table(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert {i: r["n_removed"] for i, r in found.items()} == {None: 0, 1: 1, 2: 1}
+    check_lines(spark, [(None, line), (1, line.replace("seen", "read")), (2, line)])
+    df = spark.createDataFrame([(1, line)] * 20_000 + [(2, line.replace("seen", "read"))], "doc_id long, text string")
+    found = lines.dedup_lines(df).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 20_000), (2, 1, 1)]
 
 
-def test_edit_similarity():
-    rnd = random.Random(2)
+def test_lines_of_a_very_long_text(spark):
+    """One text of over 8 MB, more than a slice: its repeats go, the rest stays."""
+    rnd = random.Random(6)
+    own = [" ".join(str(rnd.getrandbits(40)) for _ in range(8)) for _ in range(90_000)]
+    df = spark.createDataFrame([(1, "\n".join([*own, *own[:7]])), (2, own[5] + "\nshort")], "doc_id long, text string")
+    found = table(lines.dedup_lines(df))
+    assert found[1]["text"] == "\n".join(own) and found[1]["n_removed"] == 7 and found[2]["text"] == "short"
 
-    def distance(a, b):
-        p = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            q = [i + 1]
-            for j, y in enumerate(b):
-                q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
-            p = q
-        return p[-1]
 
+def test_edit_similarity():
+    rnd = random.Random(2)
     for _ in range(300):
         a, b = ([rnd.randint(0, 3) for _ in range(rnd.randint(1, 9))] for _ in range(2))
-        assert lines.edit_similarity(a, b, 0.0) == pytest.approx(1 - distance(a, b) / max(len(a), len(b)))
+        assert lines.edit_similarity(a, b, 0.0) == pytest.approx(1 - word_distance(a, b) / max(len(a), len(b)))
         a, b = sorted((a, b), key=len)
-        assert lines._few_edits(np.array(a), np.array(b), 9) == distance(a, b)
+        assert lines._few_edits(np.array(a), np.array(b), 9) == word_distance(a, b)
 
 
 def test_schedule_deviates_less_than_a_block(spark):
