@@ -9,13 +9,20 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: A letter or digit before other ASCII than an apostrophe: a word's pieces meet there whatever follows.
-SEAM = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+#: The pieces of a lower-cased word of Latin-1 characters: the vocabulary file's own pattern, its letters and numbers spelt out.
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+LATIN = re.compile("[\\x00-\\x84\\x86-\\x9f\\xa1-\\xff]+")  # without the two blanks among them
+#: Byte-level vocabularies write printable bytes as they are and the others, in order, as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+BYTE_LEVEL = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
 #: Texts with these strings are encoded as they are: the vocabulary looks for them before anything else.
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
@@ -35,13 +42,18 @@ class WordIds(dict):
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, text: str) -> bytes:
+        ids = [x.id for x in self.bpe(text)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if len(parts := SEAM.split(word)) > 1:
-                ids = b"".join(map(self.__getitem__, parts))
-            elif word.isalpha():  # ASCII letters only: one piece that normalization leaves as it is
-                ids = b"".join(x.id.to_bytes(4, "little") for x in self.bpe(word.decode()))
+            if word.isalpha():  # ASCII letters only: one piece that normalization leaves as it is
+                ids = self.piece(word.decode())
+            elif LATIN.fullmatch(text := word.decode()):
+                parts = PIECES.findall(text.lower())
+                ids = b"".join([self[x.encode()] for x in parts]) if len(parts) > 1 else self.piece(parts[0].encode().decode("latin-1").translate(BYTE_LEVEL))
             else:
                 ids = self.whole(word)
         if len(word) <= 64:  # very long words are rare and would make the memo's size unbounded
