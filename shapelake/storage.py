@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below the temp folder where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``. Unset, it is the temp folder on a local master and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.gettempdir()}/shapelake"
     return f"{base.rstrip('/')}/shapelake-{uuid.uuid4().hex}"
@@ -38,3 +40,16 @@ def discard(df: DataFrame) -> None:
 def join_counted(rows: DataFrame, small: DataFrame, on: str, most: int = 1 << 20) -> DataFrame:
     """rows joined with a materialized ``small``, which is broadcast if it has at most ``most`` rows."""
     return rows.join(F.broadcast(small) if small.count() <= most else small, on)
+
+
+def join_skewed(rows: DataFrame, keys: DataFrame, on: list[str], hot: int = 10_000, most: int = 1 << 20) -> DataFrame:
+    """rows joined with materialized ``keys``, unique by ``on``, whose column ``rows`` counts the rows of each key.
+
+    Keys of over ``hot`` rows are joined by broadcast, so that a key's rows stay spread over tasks; over ``most`` of
+    those, the join is left to Spark's own treatment of skew. Both sides' rows are read twice where there are hot keys.
+    """
+    few = keys.filter(F.col("rows") > hot)
+    if not 0 < few.count() <= most:
+        return rows.join(keys.drop("rows"), on)
+    cold = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.filter(F.col("rows") <= hot).drop("rows"), on)
+    return cold.unionByName(rows.join(F.broadcast(few.drop("rows")), on))
