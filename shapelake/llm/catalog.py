@@ -118,11 +118,9 @@ f as (select w.doc_id, lang, source, len(words)::bigint as n_words, length(regex
   from w left join rep using (doc_id)),
 r as (select *, n_symbols / greatest(word_chars, 1) as a, n_dup_lines / greatest(n_lines, 1) as b, n_repeat_words / greatest(n_words, 1) as c,
     n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-q as (select lang, source, grouping(lang) as gl, grouping(source) as gs, count(*) as n,
-    quantile_disc(a, [0.25, 0.75]) as a, quantile_disc(b, [0.25, 0.75]) as b, quantile_disc(c, [0.25, 0.75]) as c
+fence as (select lang, source, grouping(lang) as gl, grouping(source) as gs, count(*) as n,
+    quantile_disc(a, 0.9) as a, quantile_disc(b, 0.99) as b, quantile_disc(c, 0.99) as c
   from r where not base_failed group by grouping sets ((lang, source), (lang), ())),
-fence as (select lang, source, gl, gs, n, greatest(0.05, a[2] + 3 * (a[2] - a[1])) as a, greatest(0.5, b[2] + 3 * (b[2] - b[1])) as b,
-    greatest(0.3, c[2] + 3 * (c[2] - c[1])) as c from q),
 pick as (select g.lang, g.source, case when g.n >= 100 then g.a when l.n >= 100 then l.a else e.a end as a,
     case when g.n >= 100 then g.b when l.n >= 100 then l.b else e.b end as b, case when g.n >= 100 then g.c when l.n >= 100 then l.c else e.c end as c
   from fence g join fence l on l.gl = 0 and l.gs = 1 and g.lang is not distinct from l.lang join fence e on e.gl = 1 where g.gl = 0 and g.gs = 0)

@@ -1,9 +1,10 @@
 """Quality rules with thresholds that follow the data: DataFrame functions only.
 
-Each document gets counts of its whole text. Quantile sketches of three ratios per language and source give each
-group's fence (upper quartile plus a multiple of the quartiles' distance); sketches of small groups are merged to
-their language, and those of small languages to all. Sketches merge map-side, so a hot source costs one row a task.
-Documents beyond a fence of their group are rejected by a join with the fences.
+Each document gets counts of its whole text. A quantile sketch of each ratio per language and source gives the group's
+fence, the value that ``LEVELS`` of its documents don't exceed; sketches of small groups are merged to their language,
+and those of small languages to all. Sketches merge map-side, so a hot source costs one row a task. Documents beyond
+a fence of their group are rejected by a join with the fences. There is no fixed cutoff: what is beyond depends on the
+group's other documents alone.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, materialize
 
-RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
-#: A fence is never below these.
-LEAST_FENCE = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.3}
+#: The share of a group's documents that lie within its fence, by ratio.
+LEVELS = {"symbol_ratio": 0.9, "dup_line_ratio": 0.99, "repeat_ratio": 0.99}
+RATIOS = tuple(LEVELS)
 
 
 def _let(value: Column, body) -> Column:
@@ -50,7 +51,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select(*docs.columns, *(c.cast("long").alias(k) for k, c in counts.items()), repeats.cast("long").alias("n_repeat_words"))
 
 
-def group_fences(features: DataFrame, reach: float, least: int, k: int) -> DataFrame:
+def group_fences(features: DataFrame, levels: dict[str, float], least: int, k: int) -> DataFrame:
     """(lang, source, <ratio>_fence): from sketches of the group, its language if it has under ``least`` documents, or all."""
     sketch = [F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATIOS]
     merge = [F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RATIOS]
@@ -61,14 +62,13 @@ def group_fences(features: DataFrame, reach: float, least: int, k: int) -> DataF
     joined = own.join(wider, F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(all_), F.lit(True))
 
     def fence(r):
-        q = lambda t, p: F.kll_sketch_get_quantile_double(F.col(f"{t}.{r}"), F.lit(p))
-        limit = lambda t: F.greatest(F.lit(LEAST_FENCE[r]), q(t, 0.75) + reach * (q(t, 0.75) - q(t, 0.25)))
+        limit = lambda t: F.kll_sketch_get_quantile_double(F.col(f"{t}.{r}"), F.lit(levels[r]))
         return F.when(F.col("g.n") >= least, limit("g")).when(F.col("l.n") >= least, limit("l")).otherwise(limit("e")).alias(f"{r}_fence")
 
     return joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *map(fence, RATIOS))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, reach: float = 3.0, least: int = 100, k: int = 1024) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, levels: dict[str, float] = LEVELS, least: int = 100, k: int = 1024) -> DataFrame:
     """One row per input row: id, mark (hash of the text), the counts, base_failed, kept, and the fences applied.
 
     base_failed: under ``min_words`` words, or over half the words in repeated 3-word windows. Else a document is kept
@@ -81,7 +81,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     features = materialize(counts.withColumns({"symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "repeat_ratio": ratio("n_repeat_words", "n_words"), "base_failed": base}))
-    fences = group_fences(features.filter(~F.col("base_failed")), reach, least, k).alias("t")
+    fences = group_fences(features.filter(~F.col("base_failed")), levels, least, k).alias("t")
     f = features.alias("f")
     joined = f.join(fences, F.col("f.lang").eqNullSafe(F.col("t.lang")) & F.col("f.source").eqNullSafe(F.col("t.source")), "left")
     beyond = F.greatest(*(F.coalesce(F.col(r) > F.col(f"{r}_fence"), F.lit(False)) for r in RATIOS))
