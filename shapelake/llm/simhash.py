@@ -35,38 +35,56 @@ def shingle_fingerprint(text: bytes, width: int, seed: int) -> int:
 
 
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp bigint): lower-cased (A-Z) ASCII-blank words, ``width``-word shingles with repeats, XXH64 bits by majority.
+    """(id, mark, fp bigint): lower-cased (A-Z) ASCII-blank words, ``width``-word shingles with repeats, XXH64 bits by majority.
 
-    Fewer words than ``width`` make one shingle; no words, or a null text, give 0. Whole texts; other columns are not read.
+    Fewer words than ``width`` make one shingle; no words, or a null text, give 0. ``mark`` is a hash of the text. Whole
+    texts; other columns are not read.
     """
 
     def prints(batches):
         for batch in batches:
             for part in pieces(batch, text_col):
-                fp = [shingle_fingerprint(x, width, seed) for x in binary_values(part.column(text_col))]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fp, pa.int64())], [id_col, "fp"])
+                fp = [shingle_fingerprint(x, width, seed) for x in binary_values(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(fp, pa.int64())], ["id", "mark", "fp"])
 
-    return map_arrow(docs.select(id_col, text_col), prints, f"`{id_col}` long, fp long")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return map_arrow(source, prints, f"id {docs.schema[id_col].dataType.simpleString()}, mark long, fp long")
 
 
-def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
+def fingerprint_groups(fps: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(fp, root): each distinct fingerprint and the one that stands for all that links of ``bits`` differing bits reach."""
+    distinct = fps.select("fp").distinct()
+    nodes = connected_components(hamming_edges(distinct, bits, blocks))
+    return distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4, blocks: int = 6, seed: int = 42) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Equal fingerprints, zero too, count as linked. Exact copies meet as one fingerprint, so that a group of them costs
     one row. A row with a null id keeps its fingerprint and takes part in no choice of component_id, which is null
     only where all ids of its component are. Repeated rows stay repeated; an empty table gives none.
     """
-    fps = materialize(simhash_fingerprints(docs, id_col, text_col, width, seed).withColumnRenamed(id_col, "id"))
+    fps = materialize(simhash_fingerprints(docs, id_col, text_col, width, seed).drop("mark"))
     lowest = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    nodes = connected_components(hamming_edges(lowest.select("fp"), bits))
-    groups = lowest.join(nodes, lowest.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    groups = fingerprint_groups(fps, bits, blocks).join(lowest, "fp")
     root = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = groups.join(root, "root").select("fp", "component_id")
     return fps.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group, all columns; null ids stay."""
-    near = simhash_near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__first"))
-    gone = near.filter("__id <> __first").select("__id").distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = 6, blocks: int = 9, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that are the first document of their near-duplicate group, all columns.
+
+    First is the smallest id, null ids last, and among texts with one id the one with the smallest hash. Rows that
+    share id and text are one document and stay or go together. Shingles have five words; at ``bits`` of 64 differing
+    bits, documents whose shingles have a Jaccard similarity of 0.95 are found in about 80 % of cases, those of 0.9
+    in half, of 0.8 in a tenth: the bits, not the blocks, lose the rest. No rows give none.
+    """
+    fps = materialize(simhash_fingerprints(docs, id_col, text_col, width, seed))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    groups = fingerprint_groups(fps, bits, blocks)
+    first = fps.groupBy("fp").agg(F.min(place).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    gone = fps.join(groups.join(first, "root").select("fp", "first"), "fp").filter(~place.eqNullSafe(F.col("first")))
+    gone = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
