@@ -2,8 +2,8 @@
 
 A character trigram model per language gives each word a likelihood in each language; a document is a mixture of
 languages over its words. For each size of language set the proportions are fitted by EM, and the set with the best
-penalised likelihood wins; its largest share is the prediction. Trigrams are hashed into a fixed number of buckets, so
-the model's size is the number of labels times that, whatever the corpus.
+penalised likelihood wins; its largest share is the prediction. Every trigram has its own exact counts, so the model grows with
+the distinct trigrams of the labelled texts: 8 bytes each, and 4 for each label.
 """
 
 from __future__ import annotations
@@ -20,32 +20,32 @@ from .common import map_arrow, pieces
 UNKNOWN = "und"
 
 
-def trigram_buckets(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each trigram of ' word ', where each word's begin): a word of n characters has n of them."""
-    code = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:] * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each trigram of ' word ', where each word's begin): a word of n characters has n of them.
+
+    The number is the three code points side by side, 21 bits each.
+    """
+    code = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.int64)
+    key = code[:-2] << 42 | code[1:-1] << 21 | code[2:]
     size = np.array([len(w) for w in words])
-    inside = np.ones(len(h), bool)
+    inside = np.ones(len(key), bool)
     inside[(np.cumsum(size + 1) - 1)[:-1]] = False  # last character, blank, first character of the next word
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)[inside], np.concatenate([[0], np.cumsum(size)[:-1]])
+    return key[inside], np.concatenate([[0], np.cumsum(size)[:-1]])
 
 
-def trigram_counts(docs: DataFrame, text_col: str, label_col: str, buckets: int) -> DataFrame:
-    """(label, bucket, n): counts over all rows, added up within each task first."""
+def trigram_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(label, key, n): counts over all rows, added up within each task first."""
 
     def count(batches):
         seen: dict[str, Counter] = {}
 
         def flush():
             for label, words in seen.items():
-                bucket, starts = trigram_buckets(list(words), buckets)
-                times = np.repeat(np.fromiter(words.values(), np.int64), np.diff(np.append(starts, len(bucket))))
-                n = np.bincount(bucket, times, buckets).astype(np.int64)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "bucket", "n"])
+                key, starts = trigrams(list(words))
+                times = np.repeat(np.fromiter(words.values(), np.int64), np.diff(np.append(starts, len(key))))
+                key, at = np.unique(key, return_inverse=True)
+                n = np.bincount(at, times).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(key), pa.string()), pa.array(key), pa.array(n)], ["label", "key", "n"])
             seen.clear()
 
         for batch in batches:
@@ -58,20 +58,35 @@ def trigram_counts(docs: DataFrame, text_col: str, label_col: str, buckets: int)
         yield from flush()
 
     source = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null")
-    return map_arrow(source, count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return map_arrow(source, count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
+
+
+Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", label_col: str = "lang", buckets: int = 1 << 16, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(labels, log-probabilities by bucket and label), learned from every labelled row. Labels x buckets come to the driver."""
-    counts = trigram_counts(docs, text_col, label_col, buckets).toPandas()
+def fit_languages(docs: DataFrame, text_col: str = "text", label_col: str = "lang", smoothing: float = 0.5) -> Model:
+    """(labels, trigrams in order, log-probabilities by trigram and label, and those of an unknown trigram).
+
+    Learned from every labelled row. The distinct trigrams' counts come to the driver, one row a trigram and label.
+    """
+    counts = trigram_counts(docs, text_col, label_col).toPandas()
     labels = sorted(counts["label"].unique())
-    n = np.full((buckets, len(labels)), smoothing)
-    np.add.at(n, (counts["bucket"].to_numpy(np.int64), np.searchsorted(labels, counts["label"].to_numpy(str))), counts["n"].to_numpy(float))
-    return list(labels), np.log(n / n.sum(axis=0)).astype(np.float32) if labels else n.astype(np.float32)
+    keys, at = np.unique(counts["key"].to_numpy(np.int64), return_inverse=True)
+    n = np.full((len(keys), len(labels)), smoothing)
+    np.add.at(n, (at, np.searchsorted(labels, counts["label"].to_numpy(str))), counts["n"].to_numpy(float))
+    total = n.sum(axis=0) + smoothing  # an unknown trigram counts as one more
+    return list(labels), keys, np.log(n / total).astype(np.float32), np.log(smoothing / total).astype(np.float32)
+
+
+def trigram_likelihoods(model: Model, key: np.ndarray) -> np.ndarray:
+    """Log-probability of each trigram under each label."""
+    _, keys, table, unknown = model
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where((keys[at] == key)[:, None], table[at], unknown)
 
 
-def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, rounds: int, most: int, penalty: float) -> np.ndarray:
-    """Shares (documents x labels): EM over words for the nested sets of 1, 2, ... ``most`` labels; best penalised set."""
+def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
+    """Shares (documents x labels): EM over words for the nested sets of 1, 2, ... all labels; best penalised set."""
     n, k = np.diff(np.append(starts, len(doc))).astype(np.float32), like.shape[1]
     top = like.max(axis=1, keepdims=True)
     like = np.exp(like - top)
@@ -86,7 +101,7 @@ def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, rounds: int,
     full, fit = em(np.full((len(starts), k), 1 / k, np.float32))
     order = np.argsort(-full, axis=1, kind="stable")
     best, gain = full, fit - penalty * k * np.log(n + 1)
-    for size in range(1, min(k, most + 1)):
+    for size in range(1, k):
         allowed = np.zeros_like(full)
         np.put_along_axis(allowed, order[:, :size], 1, axis=1)
         if size == 1:
@@ -99,15 +114,14 @@ def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, rounds: int,
     return best
 
 
-def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, most: int = 4, penalty: float = 0.5) -> DataFrame:
+def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, penalty: float = 0.5) -> DataFrame:
     """One row per input row: id, lang_pred, score (the label's share, 0 to 1), shares (map of the chosen set).
 
     ``und`` with score 0 if the text is null or has no letter, or if the model has no labels. Only the text is used.
     Whole texts, whatever their length. Repeated rows stay repeated; no rows give none.
     """
-    labels, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # labels x buckets x 4 bytes
-    buckets = len(table)
+    labels = model[0]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identify(batches):
         for batch in batches:
@@ -120,10 +134,10 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_
                     words = [texts[i].split() for i in known]
                     number: dict[str, int] = {}
                     at = np.array([number.setdefault(w, len(number)) for x in words for w in x])
-                    bucket, begins = trigram_buckets(list(number), buckets)
-                    like = np.add.reduceat(shared.value[bucket], begins)[at]
+                    key, begins = trigrams(list(number))
+                    like = np.add.reduceat(trigram_likelihoods(shared.value, key), begins)[at]
                     n = np.array([len(x) for x in words])
-                    share = mixture(like, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), rounds, most, penalty)
+                    share = mixture(like, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), rounds, penalty)
                     for i, row in zip(known, share, strict=True):
                         j = int(row.argmax())
                         pred[i], score[i] = labels[j], min(1.0, float(row[j]))
