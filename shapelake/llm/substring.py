@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import join_skewed
 from .common import binary_values, discard, map_arrow, materialize, pieces
 
 #: Odd multipliers: they have an inverse modulo 2^64, so that prefix sums give every window's hash.
@@ -118,18 +119,19 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, gr
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32))], ["id", "mark", "at", "h", "h2"])
 
     found = materialize(map_arrow(source, runs, "id long, mark long, anchor long, h long, at int, n int"))
-    often = found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
-    shared = materialize(found.join(often, "anchor"))
+    often = materialize(found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("rows")).filter("a < b").select("anchor", "rows"))
+    shared = materialize(join_skewed(found, often, ["anchor"]))
     discard(found)
-    holders = materialize(shared.groupBy("anchor", "h", "n").agg(F.min("id").alias("first")))
+    holders = materialize(shared.groupBy("anchor", "h", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     differ = holders.groupBy("anchor").agg((F.min("first") < F.max("first")).alias("differ"))
-    judged = materialize(shared.join(holders.join(differ, "anchor"), ["anchor", "h", "n"]).filter("id > first or differ").select("id", "mark", "at", "n", (F.col("id") > F.col("first")).alias("settled")))
+    known = materialize(holders.join(differ, "anchor"))
+    judged = materialize(join_skewed(shared, known, ["anchor", "h", "n"]).filter("id > first or differ").select("id", "mark", "at", "n", (F.col("id") > F.col("first")).alias("settled")))
     discard(shared)
     discard(holders)
     wanted = judged.filter("not settled").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))  # of one text
     dealt = materialize(map_arrow(source.join(wanted, ["id", "mark"]), windows, "id long, mark long, at int, h long, h2 int"))
-    first = dealt.groupBy("h", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "h2", "first")
-    single = materialize(dealt.join(first, ["h", "h2"]).filter("id > first").select("id", "mark", "at", F.lit(1).alias("n")))
+    first = materialize(dealt.groupBy("h", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows")).filter("first < last").select("h", "h2", "first", "rows"))
+    single = materialize(join_skewed(dealt, first, ["h", "h2"]).filter("id > first").select("id", "mark", "at", F.lit(1).alias("n")))
     discard(dealt)
     return judged.filter("settled").drop("settled").unionByName(single)
 
