@@ -24,27 +24,28 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end: int) -> DataFrame:
-    """(chunk, first, at, doc_id, ids): ``at`` counts the chunk's ids before the document; ``first`` orders chunks."""
+    """(chunk, first, at, doc_id, ids): a chunk is a read split; ``at`` counts its ids before the document; ``first`` orders chunks."""
 
     def encode(batches):
         words, task, chunk, total, before = word_ids(vocabulary), TaskContext.get().partitionId(), -1, 0, (None, None)
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids = text_ids(binary_values(part.column("text")), words, end)
-                files, rows = part.column("file").to_pylist(), part.column("row").to_pylist()
+                splits = list(zip(part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True))
                 chunks, at, firsts = [], [], []
-                for file, row, x in zip(files, rows, ids, strict=True):
-                    if chunk < 0 or file != before[0] or row is not None and row != before[1] + 1:
+                for split, row, x in zip(splits, part.column("row").to_pylist(), ids, strict=True):
+                    if chunk < 0 or split != before:
                         chunk, total, first = chunk + 1, 0, row or 0
-                    before = (file, row)
+                    before = split
                     chunks.append(task << 32 | chunk)
                     firsts.append(first)
                     at.append(total)
                     total += len(x) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), part.column("file"), pa.array(firsts, pa.int64()), pa.array(at, pa.int64()), part.column("id"), pa.array(ids, pa.binary())], ["chunk", "file", "first", "at", "doc_id", "ids"])
 
-    where = (F.col("_metadata.file_path"), F.col("_metadata.row_index")) if "_metadata" in _hidden(docs) else (F.lit(None).cast("string"), F.lit(None).cast("long"))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), where[0].alias("file"), where[1].cast("long").alias("row"))
+    place = {"file": "file_path", "block": "file_block_start", "row": "row_index"}
+    where = [(F.col(f"_metadata.{v}") if "_metadata" in _hidden(docs) else F.lit(None)).cast("string" if k == "file" else "long").alias(k) for k, v in place.items()]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *where)
     return map_arrow(source, encode, "chunk long, file string, first long, at long, doc_id long, ids binary")
 
 
