@@ -26,7 +26,9 @@ SCHEMA = "doc_id long, n_tokens long, shard int, at long, tokens array<int>"
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END, row_group: int = 32 << 20, page: int = 256 << 10) -> None:
     """Encode whole texts and write them in ascending id order; null text counts as empty, null ids come first.
 
-    Repeated rows are written again. The texts, not the ids, are range-partitioned: they are the smaller.
+    Repeated rows are written again; no rows give no tokens; a text may be of any length, as a row group holds one row
+    at least. Ids are cast to bigint: one that is no number raises. The texts, not the token ids, are range-partitioned:
+    they are the smaller.
     """
 
     def encode(batches):
@@ -43,7 +45,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("id").sortWithinPartitions("id")
-    options = {"compression": "zstd", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.writer.version": "v2", "parquet.page.row.count.limit": 20_000}
+    options = {"compression": "zstd", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary": "true", **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "shard", "at")}, "parquet.writer.version": "v2", "parquet.page.row.count.limit": 20_000}
     map_arrow(ordered, encode, SCHEMA).write.options(**options).parquet(path)
 
 
