@@ -69,6 +69,43 @@ def test_token_files(spark, docs):
         start += len(x)
 
 
+def test_token_files_are_read_in_part(spark):
+    """Encodings, row groups and indexes of the files; few documents, or metadata alone, read few bytes."""
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(3)
+    rows = [(i, " ".join(str(rnd.getrandbits(20)) for _ in range(60))) for i in range(3000)]
+    path = scratch_dir(spark)
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, row_group=256 << 10, page=16 << 10)
+    files = [f for f in spark.read.parquet(path).inputFiles()]
+    groups = hit = 0
+    for f in files:
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        for g in range(meta.num_row_groups):
+            column = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            tokens = next(c for k, c in column.items() if k.startswith("tokens"))
+            assert "RLE_DICTIONARY" in tokens.encodings and tokens.has_offset_index and tokens.has_column_index
+            assert all("DELTA_BINARY_PACKED" in column[c].encodings for c in ("doc_id", "n_tokens", "shard", "at"))
+            groups += 1
+            hit += column["doc_id"].statistics.min <= 1234 <= column["doc_id"].statistics.max
+    assert hit == 1 and groups > 2
+    one = token_files.read_token_files(spark, path).filter("doc_id = 1234").collect()
+    assert [r["n_tokens"] for r in one] == [len(ids(rows[1234][1]))] and one[0]["tokens"] == ids(rows[1234][1]).tolist()
+    plan = token_files.read_token_files(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in plan
+    empty = scratch_dir(spark)
+    token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), empty)
+    assert token_files.token_digests(token_files.read_token_files(spark, empty)).count() == 0
+
+
+def test_packing_of_filtered_rows_opens_one_chunk_a_split(spark):
+    path = scratch_dir(spark)
+    spark.range(4000).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(2).write.parquet(path)
+    docs = spark.read.parquet(path).filter("doc_id % 2 = 0")
+    assert packing._encoded(docs, "doc_id", "text", None, 1).select("chunk").distinct().count() <= 2
+    assert packing.pack_pieces(docs).agg(F.sum("length")).first()[0] == sum(len(ids(f"word {i}")) for i in range(0, 4000, 2))
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -82,10 +119,36 @@ def test_simhash(spark, docs):
     near = np.array([[(a ^ b).bit_count() <= 4 for b in fp] for a in fp])
     root = stars(len(fp), *np.nonzero(near))
     assert all((r["fingerprint"], r["component_id"]) == (f"{fp[i]:016x}", root[i]) for i, r in found.items()) and len(found) == len(fp)
-    assert simhash.keep_one_per_group(docs).count() == len(set(root.tolist()))
+    kept = simhash.keep_one_per_group(docs, width=4, bits=4, blocks=6)
+    assert kept.count() == len(set(root.tolist())) and kept.columns == docs.columns
+    assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
     assert simhash.simhash_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = passages()[9][:2000], passages()[10][:2000]
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, b + " end"), (3, b)]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (2, b)]
+
+
+def test_recall_of_near_copies_by_similarity():
+    """Of pairs of 300-word texts whose five-word shingles have a Jaccard similarity of 0.95 and 0.9, at 6 bits."""
+    rnd = random.Random(1)
+    found = {0.95: 0, 0.9: 0}
+    for least, edits in ((0.95, 1), (0.9, 3)):
+        for _ in range(100):
+            w = [str(rnd.getrandbits(30)) for _ in range(300)]
+            v = list(w)
+            for p in range(edits):
+                v[20 + 90 * p] = "other"
+            s, t = ({tuple(x[i : i + 5]) for i in range(296)} for x in (w, v))
+            assert len(s & t) / len(s | t) >= least
+            x, y = (simhash.shingle_fingerprint(" ".join(z).encode(), 5, 42) & (1 << 64) - 1 for z in (w, v))
+            found[least] += (x ^ y).bit_count() <= 6
+    assert found[0.95] >= 80 and found[0.9] >= 35
+
+
 def test_hot_buckets_give_the_same_components(spark):
     rnd = random.Random(3)
     fps = list({rnd.getrandbits(63) if i % 3 else 12345 ^ sum(1 << rnd.randrange(60) for _ in range(3)) for i in range(400)})
@@ -322,6 +385,22 @@ def test_overlapping_passages(spark):
     assert Counter((r["doc_id"], r["n_words"], r["kept_text"]) for r in found) == want
 
 
+def test_quality_follows_the_group(spark):
+    """A document's verdict changes when only the other rows of its group do; two groups have two fences."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    text = lambda symbols: " ".join([word() for _ in range(60)] + ["#" * symbols])
+
+    def verdict(mine, others):
+        rows = [(0, text(mine), "x", "a")] + [(i + 1, text(k), "x", "a") for i, k in enumerate(others)] + [(1000 + i, text(0), "x", "b") for i in range(120)]
+        out = table(quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+        assert len({r["symbol_ratio_fence"] for r in out.values()}) == (2 if any(others) else 1)
+        return out[0]["kept"]
+
+    assert not verdict(9, [0] * 199)
+    assert verdict(9, [rnd.randint(5, 60) for _ in range(199)])
+
+
 def test_language(spark, docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = catalog.op9_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -332,6 +411,96 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.identify_languages(docs, language.fit_languages(docs.limit(0))).collect()} == {"und"}
 
 
+def test_mixture_is_the_plain_em(spark):
+    """EM and the penalised choice of a set of languages, of any size, against a word-by-word EM in plain Python."""
+    rnd = np.random.default_rng(3)
+    n, k = [1, 4, 30, 200], 7
+    like = rnd.normal(-12, 2, size=(sum(n), k)).astype(np.float32)
+    like[5:35, :5] += 4
+    ends = np.cumsum(n)
+    got = language.mixture(like.copy(), np.repeat(np.arange(4), n), ends - n, 8, 0.5)
+    for d, (a, b) in enumerate(zip(ends - n, ends, strict=True)):
+        p = np.exp(like[a:b].astype(float) - like[a:b].max(axis=1, keepdims=True))
+
+        def em(share, p=p):
+            for _ in range(8):
+                part = [[x * s for x, s in zip(row, share, strict=True)] for row in p.tolist()]
+                share = [sum(row[j] / sum(row) for row in part) / len(part) for j in range(k)]
+            return share, sum(np.log(sum(x * s for x, s in zip(row, share, strict=True))) for row in p.tolist())
+
+        full, fit = em([1 / k] * k)
+        best, gain = full, fit - 0.5 * k * np.log(len(p) + 1)
+        order = sorted(range(k), key=lambda j: -full[j])
+        for size in range(1, k):
+            some = [full[j] + 1e-3 if j in order[:size] else 0.0 for j in range(k)]
+            share, fit = em([x / sum(some) for x in some])
+            if fit - 0.5 * size * np.log(len(p) + 1) > gain:
+                best, gain = share, fit - 0.5 * size * np.log(len(p) + 1)
+        assert np.allclose(got[d], best, atol=2e-3)
+
+
+def test_trigrams_have_exact_counts(spark, docs):
+    labels, keys, table_, unknown = language.fit_languages(docs)
+    want = Counter()
+    for i, t in enumerate(passages()):
+        if i % 5:
+            for w in (t or "").lower().split():
+                w = f" {w} "
+                want.update(("xy"[i % 2], w[j : j + 3]) for j in range(len(w) - 2))
+    number = lambda w: ord(w[0]) << 42 | ord(w[1]) << 21 | ord(w[2])
+    distinct = {w for _, w in want}
+    assert labels == ["x", "y"] and keys.tolist() == sorted(map(number, distinct))
+    for j, label in enumerate(labels):
+        total = sum(n for (x, _), n in want.items() if x == label) + 0.5 * (len(distinct) + 1)
+        for w in distinct:
+            assert table_[np.searchsorted(keys, number(w)), j] == pytest.approx(np.log((want[label, w] + 0.5) / total), abs=1e-4)
+        assert unknown[j] == pytest.approx(np.log(0.5 / total), abs=1e-4)
+
+
+def test_url_verdicts_by_a_plain_model(spark):
+    """Scores, threshold and verdicts of URLs without a rule against a Markov model counted in plain Python."""
+    rnd = random.Random(12)
+    rows = [f"https://{rnd.choice(['good', 'fine', 'nice'])}{rnd.randint(0, 99)}.org/{rnd.choice(['read', 'text'])}" for _ in range(80)]
+    rows += [f"https://{rnd.choice(['casino', 'spam', 'win'])}{rnd.randint(0, 99)}.com/de/{rnd.choice(['buy', 'now'])}" for _ in range(80)]
+    rows += ["https://good7.net/read", "https://casino7.net/de/buy"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    found = {r["page_id"]: r for r in urls.filter_urls(df).collect()}
+    label = [i < 80 for i in range(160)]
+    held = [zlib.crc32(u.encode()) % 4 == 0 for u in rows]
+    n = [Counter(), Counter()]
+    for u, good, out in zip(rows, label, held, strict=False):
+        if not out:
+            x = [-1] * 6 + list(u.encode()) + [-2]
+            n[good].update((kind, o, tuple(x[t - o : t + kind])) for t in range(6, len(x)) for o in range(6) for kind in (0, 1))
+
+    def score(u):
+        x = [-1] * 6 + list(u.encode()) + [-2]
+        mean = []
+        for c in n:
+            logs = []
+            for t in range(6, len(x)):
+                p = 1 / 256
+                for o in range(6):
+                    p = (c[1, o, tuple(x[t - o : t + 1])] + p) / (c[0, o, tuple(x[t - o : t])] + 1)
+                logs.append(np.log(p))
+            mean.append(np.mean(logs))
+        return mean[1] - mean[0]
+
+    want = [score(u) for u in rows]
+    assert all(found[i]["score"] == pytest.approx(want[i], abs=1e-4) for i in range(len(rows)))
+    assert found[160]["rule"] is None and (found[160]["verdict"], found[161]["verdict"]) == ("allow", "block")
+    bins = [(min(399, max(0, int(np.floor((s + 4) * 50)))), good) for s, good, out in zip(want, label, held, strict=False) if out]
+    good = [np.mean([b >= t for b, g in bins if g]) + np.mean([b < t for b, g in bins if not g]) for t in range(401)]
+    best = np.mean(np.flatnonzero(np.array(good) == max(good))) * 8 / 400 - 4
+    assert all((found[i]["verdict"] == "allow") == (want[i] >= best) for i in (160, 161))
+
+
+def test_url_ties_nulls_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, None, "s", "h"), (1, "http://a.org/", "s", "h"), (1, "http://a.org/", "s", "h"), (2, "http://b.net/" + "x" * 200_000, "s", "h")], "page_id long, url string, score string, host string")
+    out = urls.filter_urls(df).collect()
+    assert len(out) == 4 and all(r["verdict"] == "allow" for r in out)  # labels of one kind only: a threshold below every score
+
+
 def test_urls(spark):
     rows = ["http://A.Example.org/es/1", "https://example.org/en/17", "x://y.org/q?z", "http://b.com/de/1#t", "http://b.com/fr/", "http://b.org", None, "no scheme", "", "http://c.net/zz"] * 4
     df = spark.createDataFrame([(i, u, "html") for i, u in enumerate(rows)], "page_id long, url string, html string")
