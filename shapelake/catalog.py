@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import classify, cluster, features, graph, groups, mesh, pairs, rays, shape, skeleton, views, voxels
+from .operators import classify, cluster, datasets, features, graph, groups, mesh, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
 from .streaming import edits
 
@@ -257,7 +257,7 @@ SUMS = {
     "chi2": "list_sum(list_transform(list_zip(a.x, b.x), lambda p: case when p[1] + p[2] = 0 then 0 else (p[1] - p[2]) ** 2 / (p[1] + p[2]) end)) / 2",
     "kl": "list_sum(list_transform(list_zip(a.x, b.x), lambda p: case when p[1] = 0 then p[2] when p[2] = 0 then 'inf'::double else p[1] * ln(p[1] / p[2]) - p[1] + p[2] end))",
     "symkl": "list_sum(list_transform(list_zip(a.x, b.x), lambda p: ((p[1] + 1e-6) / 1.000064 - (p[2] + 1e-6) / 1.000064) * ln((p[1] + 1e-6) / (p[2] + 1e-6)))) / 64",
-    "js": "sqrt(greatest(0, list_sum(list_transform(list_zip(a.x, b.x), lambda p: case when p[1] > 0 then p[1] * ln(2 * p[1] / (p[1] + p[2])) else 0 end + case when p[2] > 0 then p[2] * ln(2 * p[2] / (p[1] + p[2])) else 0 end)) / 2))",
+    "js": "pow(greatest(0, list_sum(list_transform(list_zip(a.x, b.x), lambda p: case when p[1] > 0 then p[1] * ln(2 * p[1] / (p[1] + p[2])) else 0 end + case when p[2] > 0 then p[2] * ln(2 * p[2] / (p[1] + p[2])) else 0 end)) / 2), 0.25)",
     "hist": "list_sum(list_transform(list_zip(a.x, b.x), lambda p: least(p[1], p[2])))",
     "laplace": "exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2]))) / 64)",
     "rbf": "exp(-(list_distance(a.x, b.x) ** 2) / 64)",
@@ -342,7 +342,7 @@ def kernel_kmeans(spark, sf):
     f = T.features(spark, sf)
     half = pairs.pair_table(f, "item", "x", V.gaussian).withColumnRenamed("d", "k")
     kernel = half.union(half.select("b", "a", "k")).union(f.select("item", "item", F.lit(1.0)))
-    return cluster.kernel_kmeans(kernel, f.select("item", "label"), rounds=5)
+    return cluster.kernel_kmeans(kernel, f.select("item", "label"))
 
 
 @query()
@@ -413,10 +413,10 @@ mid as (select *, list_transform(list_zip(p0, p1), lambda p: (p[1] + p[2]) / 2)
 four as (select mesh_id, face_id, unnest([0, 1, 2, 3]) as part, unnest([[p0, m0, m2], [m0, p1, m1], [m2, m1, p2], [m0, m1, m2]]) as t from mid)"""
 
 
-@query(f"with {HALVES} select mesh_id, face_id::int as face_id, part::bigint as part, round((t[1][1] + t[2][1] + t[3][1]) / 3, 3) + 0 as x, round((t[1][2] + t[2][2] + t[3][2]) / 3, 3) + 0 as y, round((t[1][3] + t[2][3] + t[3][3]) / 3, 3) + 0 as z from four")
+@query(f"with {HALVES} select mesh_id, face_id::int as face_id, part::bigint as part, round(t[1][1] + t[2][1] + t[3][1], 5) + 0 as x, round(t[1][2] + t[2][2] + t[3][2], 5) + 0 as y, round(t[1][3] + t[2][3] + t[3][3], 5) + 0 as z from four")
 def subdivide_midpoint(spark, sf):
     out = rays.with_centres(rays.subdivided(rays.triangles(*T.prisms(spark, sf)), 1))
-    return out.select("mesh_id", "face_id", "part", *((F.round(f"centre.{c}", 3) + 0.0).alias(c) for c in "xyz"))
+    return out.select("mesh_id", "face_id", "part", *((F.round(F.col(f"centre.{c}") * 3, 5) + 0.0).alias(c) for c in "xyz"))
 
 
 @query(f"with {T.PRISMS} select * from (select mesh_id, vertex_id::int as a, lead(vertex_id) over (partition by mesh_id order by vertex_id)::int as b from vert) where b is not null")
@@ -454,16 +454,16 @@ def segment_by_distance(spark, sf):
     return skeleton.segment_by_distance(v, v.filter("node < 6").select("mesh_id", "node"))
 
 
-@query(f"with {T.PRISMS} select distinct round_even(x, 2) + 0 as x, round_even(y, 2) + 0 as y, round_even(z * 1.37::double, 2) + 0 as z from vert")
+@query(f"with {T.PRISMS} select distinct round_even(x * 100, 0) / 100 + 0 as x, round_even(y * 100, 0) / 100 + 0 as y, round_even(z * 100, 0) / 100 + 0 as z from vert")
 def mesh_points(spark, sf):
-    p = skeleton.points_of(mesh.scaled(T.prisms(spark, sf)[0], 1.0, 1.0, 1.37))
+    p = skeleton.points_of(T.prisms(spark, sf)[0])
     return p.select(*((F.col(f"point.{c}") + 0.0).alias(c) for c in "xyz")).distinct()
 
 
-@query(f"""with {T.PRISMS}, p as (select mesh_id, vertex_id, round_even(x, 2) + 0 as x, round_even(y, 2) + 0 as y, round_even(z * 1.37::double, 2) + 0 as z from vert),
+@query(f"""with {T.PRISMS}, p as (select mesh_id, vertex_id, round_even(x * 100, 0) / 100 + 0 as x, round_even(y * 100, 0) / 100 + 0 as y, round_even(z * 100, 0) / 100 + 0 as z from vert),
 g as (select x, y, z, min(mesh_id) as label from p where mesh_id % 3 = 0 group by all) select p.mesh_id, vertex_id::int as vertex_id, label from p left join g using (x, y, z)""")
 def vertex_groups(spark, sf):
-    v = mesh.scaled(T.prisms(spark, sf)[0], 1.0, 1.0, 1.37)  # keeps heights off the ties of rounding to two decimals
+    v = T.prisms(spark, sf)[0]
     parts = v.filter("mesh_id % 3 = 0").select("x", "y", "z", F.col("mesh_id").alias("label"))
     return skeleton.vertex_groups(v, parts).select("mesh_id", "vertex_id", "label")
 
@@ -566,3 +566,84 @@ def voxel_components(spark, sf):
 def gaussian(spark, sf):
     out = voxels.gaussian_smooth(T.voxels(spark, sf), (24, 24, 8))
     return out.select("image_id", "i", "j", "k", r("value"))
+
+
+# --- datasets ------------------------------------------------------------------------------------------------------
+
+@query(f"""with {T.PRISMS}, tri as (select f.mesh_id, face_id, [a.x, a.y, a.z] as p, [b.x - a.x, b.y - a.y, b.z - a.z] as u, [c.x - a.x, c.y - a.y, c.z - a.z] as v, a.z + b.z + c.z as z3
+  from face f join vert a on a.mesh_id = f.mesh_id and a.vertex_id = f.v0 join vert b on b.mesh_id = f.mesh_id and b.vertex_id = f.v1 join vert c on c.mesh_id = f.mesh_id and c.vertex_id = f.v2),
+sized as (select *, sqrt((u[2] * v[3] - u[3] * v[2]) ** 2 + (u[3] * v[1] - u[1] * v[3]) ** 2 + (u[1] * v[2] - u[2] * v[1]) ** 2) / 2 as size from tri),
+shared as (select *, size / sum(size) over (partition by mesh_id) as share from sized)
+select mesh_id, face_id::int as face_id, case when share > 0.001 then pow(3, ceil(ln(share / 0.001) / ln(3)))::bigint else 1 end as pieces, round(z3 / 3, 4) + 0 as z from shared""")
+def subdivide_by_area(spark, sf):
+    out = rays.with_centres(rays.subdivided_by_area(rays.triangles(*T.prisms(spark, sf))))
+    return out.groupBy("mesh_id", "face_id").agg(F.count("*").alias("pieces"), (F.round(F.avg("centre.z"), 4) + 0.0).alias("z"))
+
+
+@query(f"with {T.PRISMS} select mesh_id, face_id::int as face_id, v0::int as v0, v1::int as v1, v2::int as v2 from face")
+def mesh_arrays(spark, sf):
+    return mesh.mesh_tables(mesh.mesh_arrays(*T.prisms(spark, sf)))[1]
+
+
+@query(f"with {T.PRISMS} select mesh_id, round((min(x) + max(x)) / 2, 4) + 0 as x, round((min(y) + max(y)) / 2, 4) + 0 as y, round(max(z) / 2, 4) + 0 as z from vert group by 1")
+def interior_centres(spark, sf):
+    v = T.prisms(spark, sf)[0]
+    box = v.groupBy("mesh_id").agg(*(((F.min(c) + F.max(c)) / 2).alias(c) for c in "xy"), F.max("z").alias("z1"))
+    segments = box.select("mesh_id", "x", "y", F.lit(0.0).alias("z"), F.col("x").alias("x1"), F.col("y").alias("y1"), "z1")
+    return skeleton.interior_centres(v, segments).select("mesh_id", *((F.round(c, 4) + 0.0).alias(c) for c in "xyz"))
+
+
+@query("select distinct lang || '/' || source as name from documents where lang is not null and source is not null")
+def item_names(spark, sf):
+    d = T.table(spark, sf, "documents").filter("lang is not null and source is not null")
+    return datasets.names(d.select(F.concat("lang", F.lit("/"), "source").alias("name")), "name")
+
+
+@query("""select page_id, case when starts_with(u, 'https://') then u[9:] else u end as name from (select page_id, replace(replace(url, chr(92), '/'), 'example', 'sample') as u from pages)""")
+def clean_names(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", datasets.clean_name(F.col("url"), {"example": "sample"}, "https://").alias("name"))
+
+
+@query(f"with {T.FEATURES} select item, i::int as view, j::int as pos, round(x[8 * i + 2 * j + 1]::decimal(9, 4)::double, 4) as re, round(x[8 * i + 2 * j + 2]::decimal(9, 4)::double, 4) as im from feat, range(3) a(i), range(4) b(j)")
+def complex_rows(spark, sf):
+    f = T.features(spark, sf)
+    number = lambda k: F.col("x")[k].cast("decimal(9,4)")
+    cell = lambda k: F.concat(number(k).cast("string"), F.when(number(k + 1) < 0, "-").otherwise("+"), F.abs(number(k + 1)).cast("string"), F.lit("j"))
+    text = F.concat(F.lit("[["), F.concat_ws("] [ ", *(F.concat_ws(" ", *(cell(8 * i + 2 * j) for j in range(4))) for i in range(3))), F.lit("]]"))
+    rows = f.select("item", F.posexplode(datasets.parse_complex_rows(text)).alias("view", "row"))
+    return rows.select("item", "view", F.posexplode("row").alias("pos", "z")).select("item", "view", "pos", r("z.re", "re"), r("z.im", "im"))
+
+
+@query(f"with {T.FEATURES}, e as (select unnest(x) as x, unnest(range(64)) as pos from feat) select pos::int as pos, round(avg(x), 4) as value from e group by pos")
+def mean_vector(spark, sf):
+    return datasets.metric_distribution(T.features(spark, sf), "x").select("pos", r("value"))
+
+
+@query(f"""with {T.HISTOGRAMS}, p as (select item, x, x[1] as v from hist) select a.item as a, b.item as b,
+round(sqrt((list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2])))) ** 2 + (a.v - b.v) ** 2), 4) as d from p a join p b on a.item < b.item""")
+def metric_distances(spark, sf):
+    h = T.histograms(spark, sf).select("item", F.struct("x", F.col("x")[0].alias("v")).alias("m"))
+    d = datasets.metric_distance(h.select("m.*"), {"x": "l1"})
+    return pairs.pair_table(h, "item", "m", d).select("a", "b", r("d"))
+
+
+@query(f"with {T.FEATURES} select label, count(*) as n, min(item) as first, max(item) as last from feat group by label")
+def cluster_members(spark, sf):
+    c = datasets.clusters(T.features(spark, sf).select("item", "label"))
+    return c.select("label", "n", F.col("members")[0].alias("first"), F.element_at("members", -1).alias("last"))
+
+
+@query(f"""with {MERGED}, pair as (select annotator as grouping_id, item, v.label, m.label as truth from votes v join merged m using (item)),
+cell as (select grouping_id, label, truth, count(*) as n from pair group by all), g as (select grouping_id, label, sum(n) as n, max(n) as most, sum(case when label = truth then n else 0 end) as hits from cell group by all)
+select grouping_id, sum(n)::bigint as n, round(sum(hits) / sum(n), 4) as accuracy, round(sum(most) / sum(n), 4) as purity from g group by 1""")
+def compare_groupings(spark, sf):
+    v = T.votes(spark, sf)
+    out = datasets.compare_groupings(v.withColumnRenamed("annotator", "grouping_id"), groups.merge_votes(v))
+    return out.select("grouping_id", "n", r("accuracy"), r("purity"))
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 5000)")
+def keep_components(spark, sf):
+    l, s = (T.table(spark, sf, t) for t in ("lineitem", "supplier"))
+    chosen = s.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return datasets.keep_components(l.select("l_orderkey", "l_linenumber", "l_suppkey"), chosen, ["l_suppkey"])

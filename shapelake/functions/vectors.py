@@ -45,10 +45,10 @@ def symmetric_kl(x: Column, y: Column, smooth: float = 1e-6) -> Column:
 
 
 def jensen_shannon(x: Column, y: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence of x and y, both scaled to one."""
+    """Square root of the Jensen-Shannon distance of x and y, both scaled to one: the fourth root of their divergence."""
     part = lambda a, m: F.when(a > 0, a * F.ln(a / F.when(m > 0, m))).otherwise(0.0)
     both = F.zip_with(scaled_to_one(x), scaled_to_one(y), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), total(both) / 2))
+    return F.pow(F.greatest(F.lit(0.0), total(both) / 2), 0.25)
 
 
 def kolmogorov_smirnov(x: Column, y: Column) -> Column:
@@ -91,8 +91,8 @@ DISTANCES = {"l2": euclidean, "l1": cityblock, "chi2": chi_square, "kl": kullbac
 
 
 def point_key(x: Column, y: Column, z: Column) -> Column:
-    """A point rounded half-even to two decimals, to match it across meshes."""
-    return F.struct(F.bround(x, 2).alias("x"), F.bround(y, 2).alias("y"), F.bround(z, 2).alias("z"))
+    """A point in hundredths, rounded half-even as binary numbers, to match it across meshes."""
+    return F.struct(*((F.rint(c * 100) / 100 + 0.0).alias(k) for c, k in ((x, "x"), (y, "y"), (z, "z"))))
 
 
 def rotation(angle: float | Column, axis: tuple[float, float, float]) -> list[list[Column]]:

@@ -140,3 +140,21 @@ def mesh_metrics(vertices: DataFrame, faces: DataFrame, names: list[str]) -> Dat
     for n in names:
         out = out.join(METRICS[n](vertices, faces), "mesh_id", "left")
     return out
+
+
+def mesh_arrays(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, points, triangles): a mesh as two arrays in the order of its ids; triangles hold places in points, from 0."""
+    order = Window.partitionBy("mesh_id").orderBy("vertex_id")
+    place = vertices.select("mesh_id", "vertex_id", (F.row_number().over(order) - 1).alias("place"))
+    for i in range(3):
+        faces = faces.join(place.select("mesh_id", F.col("vertex_id").alias(f"v{i}"), F.col("place").alias(f"at{i}")), ["mesh_id", f"v{i}"])
+    points = vertices.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("vertex_id", "x", "y", "z"))).alias("p"))
+    shape = faces.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("face_id", "at0", "at1", "at2"))).alias("t"))
+    return points.join(shape, "mesh_id", "left").select("mesh_id", F.transform("p", lambda e: F.array(e["x"], e["y"], e["z"])).alias("points"), F.coalesce(F.transform("t", lambda e: F.array(e["at0"], e["at1"], e["at2"])), F.array().cast("array<array<int>>")).alias("triangles"))
+
+
+def mesh_tables(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of meshes given as arrays, numbered from 0."""
+    v = arrays.select("mesh_id", F.posexplode("points").alias("vertex_id", "p")).select("mesh_id", "vertex_id", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
+    f = arrays.select("mesh_id", F.posexplode("triangles").alias("face_id", "t")).select("mesh_id", "face_id", *(F.get("t", F.lit(i)).alias(f"v{i}") for i in range(3)))
+    return v, f

@@ -1,7 +1,6 @@
 """Pairs of items under a distance, and what is read off them: neighbours, extremes, silhouette, elbow.
 
-All pairs are the operation itself here, so they are made block against block: items are dealt to ``blocks`` blocks,
-and each unordered pair of blocks is a group of its own. Every row of a group meets only its partner block.
+All pairs are the operation itself here, so they are made block against block: items are dealt to blocks, and each unordered pair of blocks is a group of its own. Every row of a group meets only its partner block.
 """
 
 from __future__ import annotations
@@ -12,8 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_table(items: DataFrame, key: str, vector: str, distance: Callable[[Column, Column], Column], blocks: int = 16, within: float | None = None) -> DataFrame:
-    """(a, b, d) for a < b; with ``within`` only pairs that near."""
+#: Items a block, about.
+BLOCK = 4096
+
+
+def pair_table(items: DataFrame, key: str, vector: str, distance: Callable[[Column, Column], Column], blocks: int | None = None, within: float | None = None) -> DataFrame:
+    """(a, b, d) for a < b; with ``within`` only pairs that near.
+
+    Without ``blocks`` there is a block for every ``BLOCK`` items, and at least 8: a cell holds two blocks, on any executor.
+    """
+    blocks = blocks or max(8, -(-items.count() // BLOCK))
     side = items.select(F.col(key).alias("k"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # each item once per partner block: as the first of the cell or as the second
@@ -28,7 +35,7 @@ def pair_table(items: DataFrame, key: str, vector: str, distance: Callable[[Colu
 
 def both_sides(pairs: DataFrame) -> DataFrame:
     """(a, b, d) with each pair both ways."""
-    return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    return pairs.select(F.inline(F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d"))))
 
 
 def nearest_and_farthest(pairs: DataFrame) -> DataFrame:

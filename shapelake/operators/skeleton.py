@@ -86,3 +86,20 @@ def vertex_groups(vertices: DataFrame, parts: DataFrame) -> DataFrame:
     at = point_key(F.col("x"), F.col("y"), F.col("z"))
     first = parts.groupBy(at.alias("__p")).agg(F.min("label").alias("label"))
     return vertices.withColumn("__p", at).join(first, "__p", "left").drop("__p")
+
+
+def interior_centres(vertices: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, x, y, z): the bounding box's centre, or, with skeleton segments (mesh_id, x, y, z, x1, y1, z1), its foot
+    on the nearest of their lines. A mesh without segments keeps the centre."""
+    box = vertices.groupBy("mesh_id").agg(*(((F.min(c) + F.max(c)) / 2).alias(f"c{c}") for c in "xyz"))
+    own = box.select("mesh_id", *(F.col(f"c{c}").alias(c) for c in "xyz"))
+    if segments is None:
+        return own
+    s = segments.join(box, "mesh_id")
+    along = {c: F.col(f"{c}1") - F.col(c) for c in "xyz"}
+    square = sum((d * d for d in along.values()), F.lit(0.0))
+    t = sum(((F.col(f"c{c}") - F.col(c)) * along[c] for c in "xyz"), F.lit(0.0)) / square
+    foot = s.filter(square > 0).select("mesh_id", *(f"c{c}" for c in "xyz"), *((F.col(c) + t * along[c]).alias(c) for c in "xyz"))
+    far = sum((F.pow(F.col(c) - F.col(f"c{c}"), 2) for c in "xyz"), F.lit(0.0))
+    near = foot.groupBy("mesh_id").agg(F.min_by(F.struct(*"xyz"), F.struct(far, *"xyz")).alias("f"))
+    return own.join(near, "mesh_id", "left").select("mesh_id", *(F.coalesce(f"f.{c}", c).alias(c) for c in "xyz"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import point_key
 from ..operators.features import parse_vector
 from ..operators.groups import intersection_ratios
 
@@ -32,9 +33,10 @@ def write_groupings(assignments: DataFrame, path: str) -> None:
     samples.join(groups, "grouping_id", "left").write.partitionBy("grouping_id").json(path)
 
 
-def read_groupings(spark: SparkSession, path: str) -> DataFrame:
-    """(grouping_id, item_id, label): grouping_id is the file's name; samples in no group have a null label."""
-    raw = spark.read.schema("groups map<string,array<string>>, samples array<string>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_groupings(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(grouping_id, item_id, label) of all files below ``path`` whose name fits ``pattern``: grouping_id is the file's
+    name; samples in no group have a null label."""
+    raw = spark.read.schema("groups map<string,array<string>>, samples array<string>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
     raw = raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("grouping_id"), "groups", "samples")
     norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     own = raw.select("grouping_id", F.explode("groups").alias("label", "m")).select("grouping_id", "label", F.explode("m").alias("item_id"))
@@ -61,10 +63,43 @@ def write_ratios(a: DataFrame, b: DataFrame, labels: list[str], path: str, norma
     wide.orderBy(numeric.asc_nulls_last(), "denominator_group").coalesce(1).write.option("header", True).csv(path)  # labels x labels
 
 
-def write_long(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Result tables (score graphs, per-group distributions, reduced coordinates) as CSV with a header, in a folder a value of ``by``."""
+def write_long(df: DataFrame, path: str, by: str | None = None, kind: str = "csv") -> None:
+    """Result tables (score graphs, per-group distributions) as CSV with a header or as JSON, in a folder a value of ``by``."""
     out = df.write.option("header", True)
-    (out.partitionBy(by) if by else out).csv(path)
+    (out.partitionBy(by) if by else out).format(kind).save(path)
+
+
+def write_reduced(coordinates: DataFrame, path: str, items: list[str], key: str = "item") -> None:
+    """Reduced coordinates (label, item, pc1, pc2, ...) as CSV in a folder a label: a row an axis, a column an item."""
+    axes = [c for c in coordinates.columns if c not in (key, "label")]
+    long = coordinates.select("label", key, F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in axes))).alias("p"))
+    wide = long.groupBy("label", F.col("p.axis").alias("axis")).pivot(key, items).agg(F.first("p.v"))
+    wide.write.option("header", True).partitionBy("label").csv(path)
+
+
+def write_accuracy_curves(curves: DataFrame, path: str, ratios: list[float]) -> None:
+    """Training curves (label, ratio, accuracy) as CSV: a row a label, a column a ratio."""
+    wide = curves.groupBy("label").pivot("ratio", ratios).agg(F.first("accuracy"))
+    wide.coalesce(1).write.option("header", True).csv(path)  # a row a feature set
+
+
+def write_bundle(run_id: str, tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of one run (clusters, classes, scores, contingency tables, ...) as Parquet, each below its name and run_id."""
+    for name, table in tables.items():
+        table.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+
+
+def read_polylines(spark: SparkSession, path: str) -> DataFrame:
+    """(graph_id, line_id, seq, x, y, z) from JSON lines {"graph_id", "line_id", "points": [[x, y, z], ...]}."""
+    raw = spark.read.schema("graph_id string, line_id int, points array<array<double>>").json(path)
+    return raw.select("graph_id", "line_id", F.posexplode("points").alias("seq", "p")).select("graph_id", "line_id", "seq", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
+
+
+def read_correspondence(spark: SparkSession, path: str) -> DataFrame:
+    """(mesh_id, point, node): surface points and their skeleton points, as keys of rounded points, from lines of two points."""
+    rows = read_polylines(spark, path).filter("seq < 2")
+    end = lambda i: F.max(F.when(F.col("seq") == i, point_key(F.col("x"), F.col("y"), F.col("z"))))
+    return rows.groupBy(F.col("graph_id").alias("mesh_id"), "line_id").agg(end(1).alias("point"), end(0).alias("node")).drop("line_id")
 
 
 def write_segmentation(segment: DataFrame, path: str) -> None:

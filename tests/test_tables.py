@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapelake.functions import vectors as V
-from shapelake.operators import classify, cluster, pairs
+from shapelake.operators import classify, cluster, datasets, pairs, skeleton
 from shapelake.sources import tables as S
 from shapelake.storage import scratch_dir
 from shapelake.streaming import edits
@@ -78,3 +78,69 @@ def test_latest_labels_of_a_stream(spark):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", scratch_dir(spark)).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["annotator"], r["label"]) for r in spark.table("latest").collect()} == {("a", "x"), ("b", "z")}
+
+
+def test_bundles_curves_and_polylines(spark):
+    pc = spark.createDataFrame([("g", "a", 1.0, 2.0), ("g", "b", 3.0, 4.0), ("h", "c", 5.0, 6.0)], "label string, item string, pc1 double, pc2 double")
+    S.write_reduced(pc, path := scratch_dir(spark), ["a", "b", "c"])
+    back = {(r["label"], r["axis"]): (r["a"], r["b"], r["c"]) for r in spark.read.option("header", True).csv(path).collect()}
+    assert back[("g", "pc2")] == ("2.0", "4.0", None) and back[("h", "pc1")] == (None, None, "5.0")
+    curve = spark.createDataFrame([("Classic", 0.3, 0.5), ("Classic", 0.7, 0.75), ("Chord", 0.3, 0.25)], "label string, ratio double, accuracy double")
+    S.write_accuracy_curves(curve, path := scratch_dir(spark), [0.3, 0.7])
+    assert {r["label"]: (r["0.3"], r["0.7"]) for r in spark.read.option("header", True).csv(path).collect()} == {"Classic": ("0.5", "0.75"), "Chord": ("0.25", None)}
+    path = scratch_dir(spark)
+    for run in ("one", "two"):
+        S.write_bundle(run, {"clusters": pc, "scores": curve}, path)
+    assert spark.read.parquet(f"{path}/scores").groupBy("run_id").count().count() == 2 and spark.read.parquet(f"{path}/clusters").count() == 6
+    S.write_long(curve, path := scratch_dir(spark), kind="json")
+    assert spark.read.json(path).count() == 3
+    path = scratch_dir(spark)
+    spark.createDataFrame([('{"graph_id": "m", "line_id": 0, "points": [[0.005, 1, 2], [3.015, 4, 5]]}',)], "value string").write.text(path)
+    assert [tuple(r) for r in S.read_polylines(spark, path).orderBy("seq").collect()] == [("m", 0, 0, 0.005, 1.0, 2.0), ("m", 0, 1, 3.015, 4.0, 5.0)]
+    c = S.read_correspondence(spark, path).first()
+    assert tuple(c["node"]) == (np.around(0.005, 2), 1.0, 2.0) and tuple(c["point"]) == (np.around(3.015, 2), 4.0, 5.0)
+
+
+def test_grouping_files_by_pattern(spark, tmp_path):
+    for name, label in (("manual_1", "x"), ("manual_2", "y"), ("other", "z")):
+        (tmp_path / f"{name}.json").write_text(f'{{"groups": {{"{label}": ["a"]}}, "samples": ["a", "b"]}}')
+    g = S.read_groupings(spark, str(tmp_path), "manual_?.json").collect()
+    assert sorted((r["grouping_id"], r["item_id"], r["label"] or "") for r in g) == [("manual_1", "a", "x"), ("manual_1", "b", ""), ("manual_2", "a", "y"), ("manual_2", "b", "")]
+
+
+def test_point_keys_round_as_binary_numbers(spark):
+    x = [0.005, 0.015, 0.025, 1.005, 2.675, 9.015, 8.995, -0.005, 1 / 3, 90.705]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(V.point_key(F.col("x"), F.col("x"), F.col("x")).alias("k")).collect()
+    assert [r["k"]["x"] for r in got] == [float(v) + 0.0 for v in np.around(x, 2)]
+
+
+def test_datasets(spark):
+    items = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [0.0, 2.0]), ("c", [5.0, 5.0])], "item string, x array<double>")
+    assert datasets.cluster_counts(10, items) == [2, 3] and datasets.metric_names(items, "item") == ["x"]
+    by_first = lambda df, v: df.select("item", F.when(F.col("x")[0] < v, "1").otherwise("2").alias("label"))
+    assert [tuple(r) for r in datasets.sweep(items, [1, 9], by_first, "within").collect()] == [(1.0, 0.5), (9.0, pytest.approx(25.333333))]
+    assert [tuple(r) for r in datasets.sweep(items, [1, 9], by_first, "groups").collect()] == [(1.0, 2.0), (9.0, 1.0)]
+    g = spark.createDataFrame([("a", "1"), ("b", None), ("c", "1")], "item string, label string")
+    assert [tuple(r) for r in datasets.clusters(g).collect()] == [("1", 2, ["a", "c"])]
+    assert datasets.outliers(g).first()[0] == "b" and datasets.cluster(g, "1").count() == 2
+    z = spark.createDataFrame([("[[1.5+2.e-1j 0.-1.j]\n [ 3+0j -4.+.5j]]",)], "t string").select(datasets.parse_complex_rows(F.col("t")).alias("z")).first()["z"]
+    assert [[(p["re"], p["im"]) for p in row] for row in z] == [[(1.5, 0.2), (0.0, -1.0)], [(3.0, 0.0), (-4.0, 0.5)]]
+    name = spark.createDataFrame([("data\\\\old\\\\x.off",), ("other/y",)], "n string").select(datasets.clean_name(F.replace("n", F.lit("\\\\"), F.lit("\\")), {"old": "new"}, "data/").alias("n"))
+    assert [r["n"] for r in name.collect()] == ["new/x.off", "other/y"]
+    wide = items.select("item", *(F.lit(1.0).alias(c) for c in datasets.FEATURE_SETS["Classic"][0]), "x")
+    assert len(datasets.feature_set(wide, "Classic", "item").columns) == 12 and datasets.feature_set(wide, "Combined").columns == wide.columns
+
+
+def test_js_is_the_fourth_root(spark):
+    x, y = np.array([1.0, 3.0, 0.0]), np.array([2.0, 2.0, 4.0])
+    p, q = x / x.sum(), y / y.sum()
+    m = (p + q) / 2
+    kl = lambda a: sum(v * math.log(v / w) for v, w in zip(a, m, strict=True) if v > 0)
+    got = spark.createDataFrame([(x.tolist(), y.tolist())], "x array<double>, y array<double>").select(V.jensen_shannon(F.col("x"), F.col("y"))).first()[0]
+    assert got == pytest.approx(((kl(p) + kl(q)) / 2) ** 0.25)
+
+
+def test_interior_centre_falls_on_the_nearest_line(spark):
+    v = spark.createDataFrame([("m", 0, 0.0, 0.0, 0.0), ("m", 1, 4.0, 2.0, 2.0), ("n", 0, 0.0, 0.0, 0.0), ("n", 1, 2.0, 2.0, 2.0)], "mesh_id string, vertex_id int, x double, y double, z double")
+    s = spark.createDataFrame([("m", 0.0, 0.0, 1.0, 1.0, 0.0, 1.0), ("m", 0.0, 9.0, 9.0, 1.0, 9.0, 9.0), ("m", 5.0, 5.0, 5.0, 5.0, 5.0, 5.0)], "mesh_id string, x double, y double, z double, x1 double, y1 double, z1 double")
+    assert {r["mesh_id"]: (r["x"], r["y"], r["z"]) for r in skeleton.interior_centres(v, s).collect()} == {"m": (2.0, 0.0, 1.0), "n": (1.0, 1.0, 1.0)}
