@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapelake.functions import vectors as V
-from shapelake.operators import classify, cluster, datasets, pairs, skeleton
+from shapelake.operators import classify, cluster, datasets, features, pairs, skeleton
 from shapelake.sources import tables as S
 from shapelake.storage import scratch_dir
 from shapelake.streaming import edits
@@ -114,6 +114,12 @@ def test_point_keys_round_as_binary_numbers(spark):
     assert [r["k"]["x"] for r in got] == [float(v) + 0.0 for v in np.around(x, 2)]
 
 
+def test_flat_vectors_and_grids(spark):
+    df = spark.createDataFrame([(1.5, 2, [3.0, 4.0])], "a double, b int, h array<double>")
+    flat, grid = df.select(features.flat_vector(["a", "b"], ["h"]).alias("v"), features.parameter_grid(0.5, 1.5, 0.5).alias("g")).first()
+    assert flat == [1.5, 2.0, 3.0, 4.0] and grid == pytest.approx([0.5, 1.0, 1.5])
+
+
 def test_datasets(spark):
     items = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [0.0, 2.0]), ("c", [5.0, 5.0])], "item string, x array<double>")
     assert datasets.cluster_counts(10, items) == [2, 3] and datasets.metric_names(items, "item") == ["x"]
