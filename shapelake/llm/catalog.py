@@ -50,8 +50,7 @@ def op8_substring(spark, sf_dir):
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = language.fit_languages(docs.filter(F.col("doc_id").isNotNull() & ~held))
-    found = language.identify_languages(docs, model)
+    found = language.learn_and_identify(docs, docs.filter(F.col("doc_id").isNotNull() & ~held))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 

@@ -9,12 +9,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import connected_components
 from ..storage import discard, materialize, scratch_dir
 
-__all__ = ["binary_values", "connected_components", "discard", "map_arrow", "materialize", "pieces", "runs", "scratch_dir", "stars"]
+__all__ = ["binary_values", "connected_components", "discard", "map_arrow", "materialize", "pieces", "runs", "scratch_dir", "ship", "stars"]
 
 #: The word separators of every operator here: the ASCII blanks, which are what bytes.split() splits on.
 BLANKS = r"\x20\x09-\x0D"
@@ -24,9 +24,9 @@ WORD = rf"[^{BLANKS}]+"
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
-    """``df.mapInArrow``; sends this package to the executors first, which need not share the driver's PYTHONPATH."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, which need not share the driver's PYTHONPATH."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
@@ -35,6 +35,11 @@ def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(str(target))
         _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 

@@ -3,7 +3,8 @@
 A character trigram model per language gives each word a likelihood in each language; a document is a mixture of
 languages over its words. For each size of language set the proportions are fitted by EM, and the set with the best
 penalised likelihood wins; its largest share is the prediction. Every trigram has its own exact counts, so the model grows with
-the distinct trigrams of the labelled texts: 8 bytes each, and 4 for each label.
+the distinct trigrams of the labelled texts: 8 bytes each, and 4 for each label. Up to a stated size it is broadcast; beyond
+it each part of the documents is joined with the counts of its own trigrams.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pieces
+from .common import map_arrow, materialize, pieces
+from .parts import scored_in_parts
 
 UNKNOWN = "und"
 
@@ -69,7 +71,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", label_col: str = "lan
 
     Learned from every labelled row. The distinct trigrams' counts come to the driver, one row a trigram and label.
     """
-    counts = trigram_counts(docs, text_col, label_col).toPandas()
+    return languages_of(trigram_counts(docs, text_col, label_col), smoothing)
+
+
+def languages_of(counted: DataFrame, smoothing: float = 0.5) -> Model:
+    """The model of ``trigram_counts``, on the driver."""
+    counts = counted.toPandas()
     labels = sorted(counts["label"].unique())
     keys, at = np.unique(counts["key"].to_numpy(np.int64), return_inverse=True)
     n = np.full((len(keys), len(labels)), smoothing)
@@ -81,6 +88,8 @@ def fit_languages(docs: DataFrame, text_col: str = "text", label_col: str = "lan
 def trigram_likelihoods(model: Model, key: np.ndarray) -> np.ndarray:
     """Log-probability of each trigram under each label."""
     _, keys, table, unknown = model
+    if not len(keys):
+        return np.tile(unknown, (len(key), 1))
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
     return np.where((keys[at] == key)[:, None], table[at], unknown)
 
@@ -114,36 +123,77 @@ def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, rounds: int,
     return best
 
 
+def identify_batch(part: pa.RecordBatch, model: Model, rounds: int, penalty: float) -> pa.RecordBatch:
+    """(id, lang_pred, score, shares) of a batch with id and text."""
+    labels = model[0]
+    texts = [(x or "").lower() for x in part.column("text").to_pylist()]
+    letters = [any(map(str.isalpha, x)) for x in texts]
+    known = [i for i, x in enumerate(letters) if x and labels]
+    pred, score, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    if known:
+        words = [texts[i].split() for i in known]
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for x in words for w in x])
+        key, begins = trigrams(list(number))
+        like = np.add.reduceat(trigram_likelihoods(model, key), begins)[at]
+        n = np.array([len(x) for x in words])
+        share = mixture(like, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), rounds, penalty)
+        for i, row in zip(known, share, strict=True):
+            j = int(row.argmax())
+            pred[i], score[i] = labels[j], min(1.0, float(row[j]))
+            shares[i] = [(labels[k], float(row[k])) for k in np.flatnonzero(row > 1e-3)]
+    return pa.RecordBatch.from_arrays([part.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], ["id", "lang_pred", "score", "shares"])
+
+
 def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, penalty: float = 0.5) -> DataFrame:
     """One row per input row: id, lang_pred, score (the label's share, 0 to 1), shares (map of the chosen set).
 
     ``und`` with score 0 if the text is null or has no letter, or if the model has no labels. Only the text is used.
     Whole texts, whatever their length. Repeated rows stay repeated; no rows give none.
     """
-    labels = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identify(batches):
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                texts = [(x or "").lower() for x in part.column("text").to_pylist()]
-                letters = [any(map(str.isalpha, x)) for x in texts]
-                known = [i for i, x in enumerate(letters) if x and labels]
-                pred, score, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-                if known:
-                    words = [texts[i].split() for i in known]
-                    number: dict[str, int] = {}
-                    at = np.array([number.setdefault(w, len(number)) for x in words for w in x])
-                    key, begins = trigrams(list(number))
-                    like = np.add.reduceat(trigram_likelihoods(shared.value, key), begins)[at]
-                    n = np.array([len(x) for x in words])
-                    share = mixture(like, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), rounds, penalty)
-                    for i, row in zip(known, share, strict=True):
-                        j = int(row.argmax())
-                        pred[i], score[i] = labels[j], min(1.0, float(row[j]))
-                        shares[i] = [(labels[k], float(row[k])) for k in np.flatnonzero(row > 1e-3)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], ["id", "lang_pred", "score", "shares"])
+                yield identify_batch(part, shared.value, rounds, penalty)
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return map_arrow(source, identify, f"id {kind}, lang_pred string, score double, shares map<string,double>").withColumnRenamed("id", id_col)
+
+
+def identify_in_parts(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, penalty: float = 0.5, smoothing: float = 0.5, part: int = 4 << 20) -> DataFrame:
+    """The rows of ``identify_languages`` for ``trigram_counts`` of any size; a part of the texts has about ``part`` characters."""
+    sums = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").collect()  # one row a label
+    labels = [r["label"] for r in sums]
+    entries = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("at"))
+    entries = materialize(entries.select("key", F.array(*(F.coalesce(F.try_element_at("at", F.lit(x)), F.lit(0)).cast("double") for x in labels)).alias("n")))
+    total = np.array([float(r["n"]) for r in sums]) + smoothing * entries.count() + smoothing
+    unknown = np.log(smoothing / total).astype(np.float32)
+
+    def keys_of(rows: pa.Table) -> np.ndarray:
+        words = {w for x in rows.column("text").to_pylist() for w in (x or "").lower().split()}
+        return np.unique(trigrams(list(words))[0]) if words else np.zeros(0, np.int64)
+
+    def score(rows: pa.Table, table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy().astype(np.int64)
+        way = np.argsort(key)
+        n = np.array(table.column("n").to_pylist(), float).reshape(len(key), len(labels))[way]
+        model = labels, key[way], np.log((n + smoothing) / total).astype(np.float32), unknown
+        return pa.Table.from_batches([identify_batch(p, model, rounds, penalty) for b in rows.combine_chunks().to_batches() for p in pieces(b, "text", 2 << 20)])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = scored_in_parts(source, F.coalesce(F.length("text"), F.lit(0)) + 1, part, keys_of, entries, score, f"id {kind}, lang_pred string, score double, shares map<string,double>")
+    return found.withColumnRenamed("id", id_col)
+
+
+def learn_and_identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = 1 << 24) -> DataFrame:
+    """``identify_languages`` of ``docs`` as learned from ``labelled``: the model is broadcast if its trigrams times its
+    labels are ``most`` at most, else joined in parts; the rows are the same either way. Docs and texts of any number and length."""
+    counts = materialize(trigram_counts(labelled, text_col, label_col))
+    size = counts.agg(F.count_distinct("key"), F.count_distinct("label")).first()
+    if size[0] * (2 + size[1]) <= most:
+        return identify_languages(docs, languages_of(counts), id_col, text_col)
+    return identify_in_parts(docs, counts, id_col, text_col)

@@ -512,6 +512,24 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_models_too_large_to_broadcast_give_the_same_rows(spark, docs):
+    rnd = random.Random(9)
+    rows = [f"https://{rnd.choice(['good', 'casino'])}{rnd.randint(0, 99)}.{rnd.choice(['org', 'com', 'net'])}/{rnd.choice(['read', 'de/buy'])}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate([*rows, None, "", rows[0]])), "page_id long, url string")
+    want = {tuple(r) for r in urls.filter_urls(df).collect()}
+    assert len(want) == 203 and {tuple(r) for r in urls.filter_urls(df, most=0).collect()} == want
+    known = df.select("url", (F.col("page_id") < 100).alias("label"))
+    counts, model = urls.url_counts(known, "url", "label"), urls.fit_url_models(known, "url", "label")
+    for part in (1, 500, 1 << 20):
+        assert sorted(map(str, urls.url_scores_in_parts(df, "url", counts, part=part).collect())) == sorted(map(str, urls.url_scores(df, "url", model).collect()))
+    assert urls.filter_urls(df.limit(0), most=0).count() == 0
+    want = sorted(map(str, language.identify_languages(docs, language.fit_languages(docs)).select("doc_id", "lang_pred", F.round("score", 4)).collect()))
+    for part in (3000, 4 << 20):
+        found = language.identify_in_parts(docs, language.trigram_counts(docs, "text", "lang"), part=part)
+        assert sorted(map(str, found.select("doc_id", "lang_pred", F.round("score", 4)).collect())) == want
+    assert {r["lang_pred"] for r in language.learn_and_identify(docs, docs.limit(0), most=-1).collect()} == {"und"}
+
+
 def test_url_models_count_every_ngram_exactly(spark):
     """More distinct n-grams than any fixed table of 131,072 buckets keeps apart."""
     rnd = random.Random(4)
