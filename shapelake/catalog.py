@@ -515,7 +515,7 @@ def border_loops(spark, sf):
 # --- voxels --------------------------------------------------------------------------------------------------------
 
 THRESHOLD = f"""{T.VOXELS}, med as (select a.image_id, a.i, a.j, a.k, any_value(a.value) as value, quantile_cont(b.value::double, 0.5) as m
-  from vox a join vox b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and abs(a.k - b.k) <= 1 group by all),
+  from vox a join vox b on a.image_id = b.image_id and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and abs(a.k - b.k) <= 1 group by all),
 bin as (select image_id, i, j, k, case when value > 127 - 0.5 * (127 - m) then 255 else 0 end as value from med)""".replace("group by all)", "group by a.image_id, a.i, a.j, a.k)")
 
 
@@ -529,24 +529,24 @@ def local_threshold(spark, sf):
 
 
 @query(f"""with {THRESHOLD}, f as (select * from bin where value > 0) select image_id, i, j, k from f where
-(select count(*) from f g where abs(f.i - g.i) + abs(f.j - g.j) + abs(f.k - g.k) = 1) < 6""")
+(select count(*) from f g where f.image_id = g.image_id and abs(f.i - g.i) + abs(f.j - g.j) + abs(f.k - g.k) = 1) < 6""")
 def surface_voxels(spark, sf):
     return voxels.surface_voxels(_binary(spark, sf))
 
 
 SURFACE = f"""{THRESHOLD}, f as (select * from bin where value > 0), surf as (select image_id, i, j, k from f where
-(select count(*) from f g where abs(f.i - g.i) + abs(f.j - g.j) + abs(f.k - g.k) = 1) < 6)"""
+(select count(*) from f g where f.image_id = g.image_id and abs(f.i - g.i) + abs(f.j - g.j) + abs(f.k - g.k) = 1) < 6)"""
 
 
 @query(f"""with {SURFACE}, g as (select b.*, {", ".join(f"(coalesce({a}0.value, b.value) - coalesce({a}1.value, b.value)) / (case when {a}0.value is null or {a}1.value is null then 1.0::double else 2.0 end) as n{c}" for a, c in zip("ijk", "xyz"))}
-from bin b {" ".join(f"left join bin {a}{n} on {' and '.join(f'{a}{n}.{o} = b.{o}' + ((' - 1', ' + 1')[n] if o == a else '') for o in 'ijk')}" for a in "ijk" for n in (0, 1))})
+from bin b {" ".join(f"left join bin {a}{n} on {a}{n}.image_id = b.image_id and {' and '.join(f'{a}{n}.{o} = b.{o}' + ((' - 1', ' + 1')[n] if o == a else '') for o in 'ijk')}" for a in "ijk" for n in (0, 1))})
 select image_id, i, j, k, round(nx, 4) as nx, round(ny, 4) as ny, round(nz, 4) as nz from g semi join surf using (image_id, i, j, k)""")
 def gradient_normals(spark, sf):
     return voxels.gradient_normals(_binary(spark, sf)).select("image_id", "i", "j", "k", r("nx"), r("ny"), r("nz"))
 
 
 @query(f"""with {SURFACE}, s as (select surf.image_id, surf.i, surf.j, surf.k, coalesce(sum(surf.i - f.i), 0)::double as a, coalesce(sum(surf.j - f.j), 0)::double as b, coalesce(sum(surf.k - f.k), 0)::double as c
-  from surf left join f on abs(surf.i - f.i) <= 1 and abs(surf.j - f.j) <= 1 and abs(surf.k - f.k) <= 1 group by surf.image_id, surf.i, surf.j, surf.k), t as (select *, sqrt(a * a + b * b + c * c) as size from s)
+  from surf left join f on surf.image_id = f.image_id and abs(surf.i - f.i) <= 1 and abs(surf.j - f.j) <= 1 and abs(surf.k - f.k) <= 1 group by surf.image_id, surf.i, surf.j, surf.k), t as (select *, sqrt(a * a + b * b + c * c) as size from s)
 select image_id, i, j, k, round(case when size > 0 then a / size else 0 end, 4) as nx, round(case when size > 0 then b / size else 1 end, 4) as ny, round(case when size > 0 then c / size else 0 end, 4) as nz from t""")
 def neighbour_normals(spark, sf):
     return voxels.neighbour_normals(_binary(spark, sf)).select("image_id", "i", "j", "k", r("nx"), r("ny"), r("nz"))
@@ -557,12 +557,26 @@ def sampled_surface(spark, sf):
     return voxels.spaced(voxels.surface_voxels(_binary(spark, sf)), (0.5, 0.5, 2.0)).select("image_id", "x", "y", "z")
 
 
-@query()
+@query(f"""with recursive {THRESHOLD}, n as (select *, ((image_id * 24 + i) * 24 + j) * 8 + k as p from bin where value > 0),
+e as (select a.p as a, b.p as b from n a join n b on a.image_id = b.image_id and abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+lab(p, root) using key (p) as (select p, p from n union select e.b, min(l.root) from lab l join e on l.p = e.a join recurring.lab c on c.p = e.b where l.root < c.root group by e.b),
+sized as (select root, count(*) as size from lab group by root having count(*) >= 10)
+select n.image_id, n.i, n.j, n.k, (root // 192 % 24)::int as part_i, (root // 8 % 24)::int as part_j, (root % 8)::int as part_k, size
+from n join lab using (p) join sized using (root)""")
 def voxel_components(spark, sf):
     return voxels.voxel_components(_binary(spark, sf))
 
 
-@query()
+def _smoothed(source: str, axis: str, n: int) -> str:
+    """One pass of the Gaussian in SQL: voxels out of the image's end stand for those mirrored at it."""
+    keys = ", ".join(c for c in "ijk" if c != axis)
+    at = f"((({axis} + d) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"select image_id, {keys}, case when {at} < {n} then {at} else {2 * n - 1} - {at} end as {axis}, sum(value * w) as value from {source}, weight group by all"
+
+
+@query(f"""with {T.VOXELS}, bell as (select d, exp(-d * d / 2.0::double) as e from range(-4, 5) t(d)), weight as (select d, e / (select sum(e) from bell) as w from bell),
+gi as ({_smoothed("vox", "i", 24)}), gj as ({_smoothed("gi", "j", 24)}), gk as ({_smoothed("gj", "k", 8)})
+select image_id, i::int as i, j::int as j, k::int as k, round(value, 4) as value from gk""")
 def gaussian(spark, sf):
     out = voxels.gaussian_smooth(T.voxels(spark, sf), (24, 24, 8))
     return out.select("image_id", "i", "j", "k", r("value"))

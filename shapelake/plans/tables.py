@@ -52,10 +52,12 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, i, j, k, value): lineitem in 24 x 24 x 8 cells, value 5 times the mean quantity, 0 to 255."""
+    """(image_id, i, j, k, value): an image for every 15,000 order keys, their lines in 24 x 24 x 8 cells, value 5 times
+    the mean quantity, 0 to 255. The number of images grows with lineitem."""
     cell = [(F.col(c) % n).cast("int").alias(a) for c, n, a in (("l_orderkey", 24, "i"), ("l_partkey", 24, "j"), ("l_suppkey", 8, "k"))]
-    rows = table(spark, sf_dir, "lineitem").select(*cell, F.col("l_quantity").cast("double").alias("q")).groupBy("i", "j", "k").agg(F.avg("q").alias("q"))
-    return rows.select(F.lit("a").alias("image_id"), "i", "j", "k", F.least(F.lit(255), F.floor(F.col("q") * 5)).cast("int").alias("value"))
+    image = F.floor(F.col("l_orderkey") / 15_000).cast("int").alias("image_id")
+    rows = table(spark, sf_dir, "lineitem").select(image, *cell, F.col("l_quantity").cast("double").alias("q")).groupBy("image_id", "i", "j", "k").agg(F.avg("q").alias("q"))
+    return rows.select("image_id", "i", "j", "k", F.least(F.lit(255), F.floor(F.col("q") * 5)).cast("int").alias("value"))
 
 
 # --- the same tables in DuckDB's SQL ---------------------------------------------------------------------------------
@@ -84,5 +86,5 @@ jc as (select mesh_id, avg(cx) as jx, avg(cy) as jy, avg(cz) as jz from geoj whe
 dist as (select vert.mesh_id, x - jx as dx, y - jy as dy, z - jz as dz, sqrt((x - jx) ** 2 + (y - jy) ** 2 + (z - jz) ** 2) as d from vert join jc using (mesh_id))"""
 PRISMS = PRISMS.replace("select mesh_id, a as vertex_id from (select distinct mesh_id, a, b from (", "select mesh_id, a as vertex_id from (select mesh_id, a, b from (").replace("group by all having", "group by mesh_id, a having")
 VOTES = """votes as (select (dayofweek(ts) + 1)::varchar as annotator, user_id as item, arg_max(event_type, (ts, event_id)) as label from events group by all)"""
-VOXELS = """vox as (select 'a' as image_id, i, j, k, least(255, floor(avg(q) * 5))::int as value from (
-  select (l_orderkey % 24)::int as i, (l_partkey % 24)::int as j, (l_suppkey % 8)::int as k, l_quantity::double as q from lineitem) group by i, j, k)"""
+VOXELS = """vox as (select image_id, i, j, k, least(255, floor(avg(q) * 5))::int as value from (
+  select (l_orderkey // 15000)::int as image_id, (l_orderkey % 24)::int as i, (l_partkey % 24)::int as j, (l_suppkey % 8)::int as k, l_quantity::double as q from lineitem) group by image_id, i, j, k)"""
