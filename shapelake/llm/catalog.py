@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, language, lines, mixing, packing, quality, simhash, substring, token_files, urls
+from . import common, divergence, embeddings, language, lines, mixing, packing, quality, search, sharding, simhash, substring, token_files, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,21 @@ def op10_urls(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark, sf_dir):
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_embeddings, op4_lines, op5_mixing, op6_quality, op7_token_files, op8_substring, op9_language, op10_urls)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_embeddings, op4_lines, op5_mixing, op6_quality, op7_token_files, op8_substring, op9_language, op10_urls, op11_search, op12_sharding, op13_divergence)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
@@ -139,6 +152,53 @@ kept as (select w.doc_id, words, gone, case when gone is null then words else
 select doc_id, len(words)::bigint as n_words, (len(words) - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from kept
 """
 
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = r"regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+with d as (select doc_id, row_number() over () as r, list_transform({_TERMS}, lambda x: translate(x, {_CAPITALS})) as terms from documents),
+n as (select r, doc_id, len(terms)::bigint as n from d where len(terms) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from n),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from d) group by r, term),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by term),
+q as (select item_id, translate(unnest({_TERMS}), {_CAPITALS}) as term from benchmark),
+m as (select item_id, term, count(*)::bigint as times from q group by all),
+s as (select m.item_id, n.doc_id, n.r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n.n * docs) // terms))))::bigint as score
+  from m join w using (term) join tf using (term) join n on n.r = tf.r, total group by all),
+best as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from best where rank <= 20
+"""
+
+OP12 = """
+with crc as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+d as (select doc_id, strlen(coalesce(text, ''))::bigint + 16 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+c as (select doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::bigint as text_crc32 from d, crc),
+h as (select *, list_transform(range(41), lambda s: ('0x' || md5(coalesce(doc_id::varchar, '') || '|' || (s // 4)::varchar)[8 * (s % 4) + 1 : 8 * (s % 4) + 8])::bigint) as h from c),
+p as (select *, list_position(h[:40], list_max(h[:40])) - 1 as shard, list_position(h, list_max(h)) - 1 as grown_shard,
+    ('0x' || md5(coalesce(doc_id::varchar, '') || '|' || size::varchar || '|' || text_crc32::varchar)[1:8])::bigint % 1024 as part from h)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, grown_shard::int as grown_shard,
+  row_number() over (partition by shard order by part, doc_id nulls first, size, text_crc32) - 1 as slot from p
+"""
+
+OP13 = rf"""
+with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+t as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), {_CAPITALS}) as term from d),
+keep as (select lang, term from t group by lang, term having count(distinct r) >= 3),
+n as (select lang, source, term, count(*)::bigint as n from t join keep using (lang, term) group by all),
+v as (select lang, count(*)::bigint as v from keep group by lang),
+g as (select lang, source, coalesce(sum(n), 0)::bigint as total from (select distinct lang, source from d) left join n using (lang, source) group by all),
+gl as (select lang, sum(total)::bigint as total, coalesce(any_value(v), 0) as v from g left join v using (lang) group by lang),
+p as (select g.lang, g.source, keep.term, coalesce(n, 0) as n, 1 + ((1000000000::hugeint * (coalesce(n, 0) + 1)) // (g.total + gl.v))::bigint as p
+  from g join gl using (lang) join keep using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = keep.term),
+q as (select lang, term, 1 + ((1000000000::hugeint * (sum(n) + 1)) // (any_value(gl.total) + any_value(gl.v)))::bigint as q from n join gl using (lang) group by lang, term),
+own as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // q as value from p join q using (lang, term) where n > 0 and p > q),
+two as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join two on two.lang = a.lang and two.source = a.source and two.item = b.source),
+out as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from own union all select * from pair))
+select lang, source, part, item, value::bigint as value, rank::int as rank from out where part = 'pair' or rank <= 200
+"""
+
 
 def oracle_sql():
-    return {"op3_embeddings": OP3, "op5_mixing": OP5, "op6_quality": OP6, "op8_substring": OP8}
+    return {"op3_embeddings": OP3, "op5_mixing": OP5, "op6_quality": OP6, "op8_substring": OP8, "op11_search": OP11, "op12_sharding": OP12, "op13_divergence": OP13}

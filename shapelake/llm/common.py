@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.graph import connected_components
 from ..storage import discard, materialize, scratch_dir
 
-__all__ = ["binary_values", "connected_components", "discard", "map_arrow", "materialize", "pieces", "runs", "scratch_dir", "ship", "stars"]
+__all__ = ["binary_values", "connected_components", "discard", "free_name", "map_arrow", "materialize", "pieces", "runs", "scratch_dir", "ship", "stars"]
 
 #: The word separators of every operator here: the ASCII blanks, which are what bytes.split() splits on.
 BLANKS = r"\x20\x09-\x0D"
@@ -43,6 +43,14 @@ def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     return df.mapInArrow(step, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes for df not to have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def binary_values(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding; null gives b''."""
     return [b"" if x is None else x for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
