@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import classify, cluster, datasets, features, graph, groups, mesh, pairs, rays, shape, skeleton, views, voxels
+from .operators import classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
 from .streaming import edits
 
@@ -430,9 +430,92 @@ def path_window(spark, sf):
     return out.select(F.col("line_id").alias("mesh_id"), F.col("seq").alias("vertex_id"), r("mean", digits=6), r("most"))
 
 
-@query()
+@query(f"with {T.PRISMS} select mesh_id, round(3 * r * r * h, 4) + 0 as hull_volume, 0::double as hull_ratio from part0")
 def hull_ratio(spark, sf):
-    return shape.hull_ratios(*T.prisms(spark, sf)).select("mesh_id", r("hull_volume"), r("hull_ratio"))
+    """Prisms are convex and a 12-gon of radius r has the area 3 r^2."""
+    return hull.hull_ratios(*T.prisms(spark, sf)).select("mesh_id", r("hull_volume"), (F.round("hull_ratio", 4) + 0.0).alias("hull_ratio"))
+
+
+def _pieces_sql(rounds: int) -> str:
+    """(part, cu, cv): each piece's centre in a triangle cut at its sides' middles, the last round's piece undone first."""
+    digit = lambda k: f"part // {4**k} % 4"
+    out = f"select p as part, 1 / 3::double as cu, 1 / 3::double as cv from range({4**rounds}) t(p)"
+    for k in range(rounds):
+        out = f"select part, case {digit(k)} when 0 then cu / 2 when 1 then (1 + cu) / 2 when 2 then cu / 2 else (1 - cv) / 2 end as cu, case {digit(k)} when 0 then cv / 2 when 1 then cv / 2 when 2 then (1 + cv) / 2 else (cu + cv) / 2 end as cv from ({out})"
+    return out
+
+
+def _part_sql(rounds: int) -> str:
+    """hits with ``part``, the piece that (u, v) lies in."""
+    out = "select mesh_id, chord, face_id, t, 0::bigint as part, round(u, 9) as u, round(v, 9) as v from hit"
+    for _ in range(rounds):
+        out = f"select mesh_id, chord, face_id, t, part * 4 + w as part, round(case w when 0 then 2 * u when 1 then 2 * u - 1 when 2 then 2 * u else 2 * u + 2 * v - 1 end, 9) as u, round(case w when 0 then 2 * v when 1 then 2 * v when 2 then 2 * v - 1 else 1 - 2 * u end, 9) as v from (select *, case when u + v < 0.5 then 0 when u > 0.5 then 1 when v > 0.5 then 2 else 3 end as w from ({out}))"
+    return out
+
+
+def _xyz(form: str) -> str:
+    """Three expressions, with the axes' names for a, b and c."""
+    return ", ".join(form.replace("@", a) for a in "xyz")
+
+
+CHORDS = f"""{T.PRISMS}, tri as (select f.mesh_id, face_id, {_xyz("a.@ as p@")}, {_xyz("b.@ - a.@ as e@")}, {_xyz("c.@ - a.@ as f@")}
+  from face f join vert a on a.mesh_id = f.mesh_id and a.vertex_id = f.v0 join vert b on b.mesh_id = f.mesh_id and b.vertex_id = f.v1 join vert c on c.mesh_id = f.mesh_id and c.vertex_id = f.v2),
+piece as ({_pieces_sql(3)}),
+spot as (select mesh_id, face_id, part, {_xyz("p@ + cu * e@ + cv * f@ as @")} from tri, piece),
+drawn as (select mesh_id, chord, md5(mesh_id::varchar || '|' || chord::varchar || '|0') as h from part0, range(200) t(chord)),
+two as (select mesh_id, chord, a, (a + 1 + ('0x' || h[17:31])::bigint % 2943) % 2944 as b from (select *, ('0x' || h[1:15])::bigint % 2944 as a from drawn)),
+line as (select two.mesh_id, chord, {_xyz("a.@ as o@")}, {_xyz("b.@ - a.@ as d@")} from two
+  join spot a on a.mesh_id = two.mesh_id and a.face_id = a // 64 and a.part = a % 64 join spot b on b.mesh_id = two.mesh_id and b.face_id = b // 64 and b.part = b % 64),
+test as (select line.mesh_id, chord, face_id, {_xyz("d@")}, {_xyz("e@")}, {_xyz("f@")}, {_xyz("o@ - p@ as s@")}, ey * fz - ez * fy as nx, ez * fx - ex * fz as ny, ex * fy - ey * fx as nz from line join tri using (mesh_id)),
+test2 as (select *, -(dx * nx + dy * ny + dz * nz) as det, sy * dz - sz * dy as mx, sz * dx - sx * dz as my, sx * dy - sy * dx as mz from test),
+hit as (select mesh_id, chord, face_id, round((sx * nx + sy * ny + sz * nz) / det, 9) as t, (fx * mx + fy * my + fz * mz) / det as u, -(ex * mx + ey * my + ez * mz) / det as v from test2
+  where det * det > 1e-18 * (nx * nx + ny * ny + nz * nz) * (dx * dx + dy * dy + dz * dz)),
+put as (select h.mesh_id, chord, t, h.face_id, h.part, {_xyz("spot.@")} from ({_part_sql(3).replace("from hit", "from hit where u >= -1e-9 and v >= -1e-9 and u + v <= 1 + 1e-9")}) h join spot on spot.mesh_id = h.mesh_id and spot.face_id = h.face_id and spot.part = h.part),
+gap1 as (select *, {_xyz("lead(@) over w as n@")} from put window w as (partition by mesh_id, chord order by t, face_id, part)),
+gap2 as (select mesh_id, chord, t, face_id, part, {_xyz("@")}, {_xyz("lead(@) over w as n@")}, row_number() over w as i from gap1 where nx is null or (nx - x) ** 2 + (ny - y) ** 2 + (nz - z) ** 2 >= 1e-7
+  window w as (partition by mesh_id, chord order by t, face_id, part)),
+chord as (select mesh_id, chord, sqrt((nx - x) ** 2 + (ny - y) ** 2 + (nz - z) ** 2) as length from gap2 where i % 2 = 1 and nx is not null)"""
+CHORDS = CHORDS.replace("a.face_id = a // 64 and a.part = a % 64", "a.face_id = two.a // 64 and a.part = two.a % 64").replace("b.face_id = b // 64 and b.part = b % 64", "b.face_id = two.b // 64 and b.part = two.b % 64")
+
+
+@query(f"with {CHORDS} select mesh_id, count(*) as n, round(sum(length), 3) as total, round(max(length), 4) as longest from chord where length > 0 group by mesh_id")
+def chord_lengths(spark, sf):
+    """200 chords of each prism, its faces cut three times; the SQL tests every line with every face."""
+    out = rays.mesh_chords(*T.prisms(spark, sf), chords=200)
+    return out.groupBy("mesh_id").agg(F.count("*").alias("n"), r(F.sum("length"), "total", 3), r(F.max("length"), "longest"))
+
+
+@query()
+def chord_distribution(spark, sf):
+    """3000 chords of each prism in 100 bins."""
+    return rays.chord_distribution(*T.prisms(spark, sf)).select("mesh_id", "bin", "n", r("density"))
+
+
+def _basis_sql(degrees: int) -> str:
+    """The harmonics as columns b0, b1, ... of az and el."""
+    out = []
+    for d in range(degrees):
+        for m in range(-d, d + 1):
+            terms, scale = harmonics.basis_terms(d, m)
+            value = "0::double"
+            for c in terms:
+                value = f"({value} * cos(el) + {c!r}::double)"
+            turn = f"cos({m} * az)" if m > 0 else f"sin({-m} * az)" if m < 0 else "1"
+            out.append(f"{value} * pow(sin(el), {abs(m)}) * {turn} * {scale!r}::double as b{len(out)}")
+    return ", ".join(out)
+
+
+@query(f"""with {T.PRISMS}, jit as (select i, md5(i::varchar || '|0') as h from range(10000) t(i)),
+spot as (select i, (i // 100 + ('0x' || h[1:8])::bigint / 4294967296) / 100 as x, (i % 100 + ('0x' || h[9:16])::bigint / 4294967296) / 100 as y from jit),
+dir as (select i, 2 * pi() * y as az, 2 * acos(sqrt(1 - x)) as el from spot),
+base as (select i, az, el, {_basis_sql(10)} from dir),
+ray as (select mesh_id, base.*, least(h / 2 / abs(cos(el)), r * cos(pi() / 12) / (sin(el) * cos(az % (pi() / 6) - pi() / 12))) as rad from part0, base),
+total as (select mesh_id, list_value({", ".join(f"sum(rad * b{k})" for k in range(100))}) as s from ray group by mesh_id)
+select mesh_id, k::int as k, round(s[k + 1] * 4 * pi() / 10000, 4) + 0 as value from total, range(100) t(k)""")
+def harmonic_coefficients(spark, sf):
+    """10,000 directions, 100 coefficients; the SQL has the prism's radius from its planes."""
+    out = harmonics.coefficients(*T.prisms(spark, sf), harmonics.sphere_sample(spark, 100))
+    return out.select("mesh_id", F.posexplode("coefficients").alias("k", "c")).select("mesh_id", "k", (F.round("c", 4) + 0.0).alias("value"))
 
 
 @query()
@@ -442,7 +525,8 @@ def orient_meshes(spark, sf):
 
 @query()
 def light_field(spark, sf):
-    m = views.light_field(*T.prisms(spark, sf), views=3, order=6, side=100)
+    """Five views, moments to order 15, 200 x 200 pixels."""
+    m = views.light_field(*T.prisms(spark, sf))
     return m.select("mesh_id", "view", F.posexplode("moments").alias("pos", "m")).select("mesh_id", "view", "pos", r("m.re", "re"), r("m.im", "im"))
 
 

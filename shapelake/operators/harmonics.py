@@ -1,7 +1,9 @@
 """Spherical harmonics of meshes: radius per direction, coefficients, and the surface they describe.
 
-Directions are (dir_id, azimuth, elevation), elevation from the z axis. Their table, with all basis values in one array,
-is a parameter's size (directions x degrees squared), so it is broadcast; meshes never move but to meet their faces.
+Directions are (dir_id, azimuth, elevation), elevation from the z axis. Seen from a mesh's centre, triangles and
+directions lie in buckets of the sphere; both meet by an equi-join on the bucket, so that a ray is only tested with the
+triangles whose outline reaches its bucket. The directions' table is a parameter's size and broadcast behind a check of
+its rows; meshes never move but to meet their faces.
 """
 
 from __future__ import annotations
@@ -12,19 +14,32 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import once, spread
 from ..functions.vectors import dot, to_cartesian
+from ..storage import join_counted, materialize
 from .mesh import bounding_boxes
-from .rays import crossings, triangles
+from .rays import triangles
+
+#: Slack of the buckets' borders, and relative slack of the crossing test.
+SLACK, EDGE = 1e-7, 1e-9
+
+
+def basis_terms(l: int, m: int) -> tuple[list[float], float]:  # noqa: E741
+    """(coefficients, scale): the harmonic of degree l and order m is scale times the polynomial in the cosine of the
+    elevation, highest power first, times the |m|-th power of its sine, times the cosine or sine of |m| azimuths."""
+    k = abs(m)
+    legendre = np.polynomial.legendre.leg2poly([0] * l + [1])
+    scale = (-1) ** k * math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - k) / math.factorial(l + k)) * (math.sqrt(2) if m else 1)
+    return [float(c) for c in np.polynomial.polynomial.polyder(legendre, k)[::-1]], scale
 
 
 def basis_value(l: int, m: int, azimuth: Column, elevation: Column) -> Column:  # noqa: E741
     """Real harmonic of degree l and order m: the root of two times the real part for m > 0, the imaginary part for m < 0."""
     k = abs(m)
-    legendre = np.polynomial.legendre.leg2poly([0] * l + [1])
+    terms, scale = basis_terms(l, m)
     x, out = F.cos(elevation), F.lit(0.0)
-    for c in np.polynomial.polynomial.polyder(legendre, k)[::-1]:
-        out = out * x + float(c)
-    scale = (-1) ** k * math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - k) / math.factorial(l + k)) * (math.sqrt(2) if m else 1)
+    for c in terms:
+        out = out * x + c
     turn = F.cos(k * azimuth) if m > 0 else F.sin(k * azimuth) if m < 0 else F.lit(1.0)
     return out * F.pow(F.sin(elevation), F.lit(k)) * turn * scale
 
@@ -36,37 +51,119 @@ def basis(degrees: int, azimuth: Column, elevation: Column) -> Column:
 
 def sphere_sample(spark: SparkSession, side: int = 100, seed: int = 0) -> DataFrame:
     """(dir_id, azimuth, elevation): side x side directions, one at random in each of as many equal parts of the sphere."""
-    jitter = lambda k: F.pmod(F.xxhash64("id", F.lit(2 * seed + k)), F.lit(1 << 30)) / (1 << 30)
+    md5 = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    jitter = lambda k: F.conv(F.substring(md5, 8 * k + 1, 8), 16, 10).cast("long") / (1 << 32)
     x, y = (F.floor(F.col("id") / side) + jitter(0)) / side, (F.col("id") % side + jitter(1)) / side
     return spark.range(side * side).select(F.col("id").alias("dir_id"), (2 * math.pi * y).alias("azimuth"), (2 * F.acos(F.sqrt(1 - x))).alias("elevation"))
 
 
-def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame | None = None) -> DataFrame:
+def _azimuth_bucket(azimuth: Column, e: int) -> Column:
+    return F.floor(azimuth * (e / math.pi)).cast("int")
+
+
+def _height_bucket(z: Column, e: int) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(e - 1), F.floor((z + 1) * (e / 2)).cast("int")))
+
+
+def direction_buckets(directions: DataFrame, e: int) -> DataFrame:
+    """(dir_id, bucket, dx, dy, dz): unit vectors in 2 e parts of the azimuth times e of the height, all of one area."""
+    d = to_cartesian(F.lit(1.0), F.col("azimuth"), F.col("elevation"))
+    v = directions.select("dir_id", *(c.alias(f"d{a}") for c, a in zip(d, "xyz", strict=True)))
+    return v.withColumn("bucket", F.pmod(_azimuth_bucket(F.atan2("dy", "dx"), e), F.lit(2 * e)) * e + _height_bucket(F.col("dz"), e))
+
+
+def triangle_buckets(seen: DataFrame, e: int) -> DataFrame:
+    """seen (a0 .. c2: a triangle's corners from the centre) with ``bucket``, a row for each that its outline may reach.
+
+    A triangle's heights end at corners or at the top or bottom of an edge's arc, or at the pole if that is inside; its
+    azimuths, less than half a turn, end at corners, and are all of them if a pole is inside or on the border. Triangles
+    in a plane with the centre reach none.
+    """
+    p = [[F.col(f"{c}{k}") for k in range(3)] for c in "abc"]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    size = [F.sqrt(sum((x * x for x in q), F.lit(0.0))) for q in p]
+    seen = once(seen, {f"s{c}": s for s, c in zip(size, "abc", strict=True)})
+    seen = seen.filter((F.col("sa") > 0) & (F.col("sb") > 0) & (F.col("sc") > 0))
+    p = [[F.try_divide(x, F.col(f"s{c}")) for x in q] for q, c in zip(p, "abc", strict=True)]
+    seen = once(seen, {f"u{c}{k}": x for q, c in zip(p, "abc", strict=True) for k, x in enumerate(q)})
+    p = [[F.col(f"u{c}{k}") for k in range(3)] for c in "abc"]
+    arcs = [(q, p[(i + 1) % 3], cross(q, p[(i + 1) % 3])) for i, q in enumerate(p)]
+    det = F.col("ua0") * arcs[1][2][0] + F.col("ua1") * arcs[1][2][1] + F.col("ua2") * arcs[1][2][2]
+    seen = once(seen, {"det": det}).filter(F.abs("det") > 1e-14).withColumn("side", F.signum("det"))
+    around = [n[2] * F.col("side") for _, _, n in arcs]
+    up = F.least(*around) >= -SLACK
+    down = F.greatest(*around) <= SLACK
+    high, low = [q[2] for q in p], [q[2] for q in p]
+    for a, b, n in arcs:
+        top = F.try_divide(F.sqrt(n[0] * n[0] + n[1] * n[1]), F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]))
+        start, end = n[0] * a[1] - n[1] * a[0], n[1] * b[0] - n[0] * b[1]
+        high.append(F.when((start > 0) & (end > 0), top).otherwise(-1.0))
+        low.append(F.when((start < 0) & (end < 0), -top).otherwise(1.0))
+    seen = seen.withColumns({"up": up, "down": down, "high": F.greatest(*high), "low": F.least(*low), "from": F.atan2("ua1", "ua0")})
+    turn = [F.pmod(F.atan2(q[1], q[0]) - F.col("from") + math.pi, F.lit(2 * math.pi)) - math.pi for q in p[1:]]
+    seen = seen.withColumns({"least": F.least(F.lit(0.0), *turn) - SLACK + F.col("from"), "most": F.greatest(F.lit(0.0), *turn) + SLACK + F.col("from")})
+    all_around = F.col("up") | F.col("down")
+    first = F.when(all_around, 0).otherwise(_azimuth_bucket(F.col("least"), e))
+    last = F.when(all_around, 2 * e - 1).otherwise(F.least(_azimuth_bucket(F.col("most"), e), first + 2 * e - 1))
+    bottom = F.when(F.col("down"), 0).otherwise(_height_bucket(F.col("low") - SLACK, e))
+    top = F.when(F.col("up"), e - 1).otherwise(_height_bucket(F.col("high") + SLACK, e))
+    seen = seen.withColumn("i", F.explode(F.sequence(first, last))).withColumn("j", F.explode(F.sequence(bottom, top)))
+    return seen.withColumn("bucket", F.pmod("i", F.lit(2 * e)) * e + F.col("j"))
+
+
+def ray_candidates(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame, e: int | None = None) -> DataFrame:
+    """(mesh_id, planes, dir_id, dx, dy, dz): each triangle with each direction of the buckets it reaches.
+
+    A triangle is four planes, facing it from the centre: a direction d meets it if d . f is above ``EDGE`` and d . g, d . h and d . k
+    aren't negative, at ``f`` . d = ``far`` from the centre. Those on an edge, within ``EDGE``, meet both its triangles.
+    Without ``e`` a bucket has about 4 of evenly spread directions. Triangles, not meshes, are dealt to the tasks.
+    """
+    e = e or max(2, round(math.sqrt(directions.count() / 8)))
+    tri = spread(triangles(vertices, faces).join(centres, "mesh_id"), "mesh_id", "face_id")
+    seen = once(tri, {f"{n}{k}": F.col(f"p{i}.{c}") - F.col(f"o.{c}") for i, n in enumerate("abc") for k, c in enumerate("xyz")})
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    p = [[F.col(f"{n}{k}") for k in range(3)] for n in "abc"]
+    n = cross(*([x - y for x, y in zip(p[i], p[0], strict=True)] for i in (1, 2)))
+    seen = once(seen, {f"n{k}": c for k, c in enumerate(n)})
+    n = [F.col(f"n{k}") for k in range(3)]
+    up = sum((x * y for x, y in zip(p[0], n, strict=True)), F.lit(0.0))
+    size = F.signum(up) * F.sqrt(sum((x * x for x in n), F.lit(0.0)))
+    edges = {f"{g}{k}": F.try_divide(x + EDGE * n[k], size) for g, i, j in (("g", 0, 1), ("h", 1, 2), ("k", 2, 0)) for k, x in enumerate(cross(p[i], p[j]))}
+    seen = once(seen, {"size": size}).filter("size <> 0").select("mesh_id", *(f"{c}{k}" for c in "abc" for k in range(3)), *(c.alias(k) for k, c in edges.items()), *((F.col(f"n{k}") / F.col("size")).alias(f"f{k}") for k in range(3)), (up / F.col("size")).alias("far"))
+    planes = [f"{c}{k}" for c in "fghk" for k in range(3)]
+    return join_counted(triangle_buckets(seen, e).select("mesh_id", *planes, "far", "bucket"), direction_buckets(directions, e), "bucket").drop("bucket")
+
+
+def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame | None = None, e: int | None = None) -> DataFrame:
     """(mesh_id, dir_id, r): from the mesh's centre to its nearest crossing; the mean of the others where there's none.
 
-    ``centres`` (mesh_id, o: struct) defaults to the bounding boxes' centres.
+    ``centres`` (mesh_id, o: struct) defaults to the bounding boxes' centres. A mesh that no ray crosses has no rows. The
+    rows are written once, and only meshes that lack some direction are filled up.
     """
     if centres is None:
         middle = F.struct(*(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(c) for c in "xyz"))
         centres = bounding_boxes(vertices).select("mesh_id", middle.alias("o"))
-    d = to_cartesian(F.lit(1.0), F.col("azimuth"), F.col("elevation"))
-    rays = centres.join(F.broadcast(directions.select("dir_id", F.struct(*(v.alias(c) for v, c in zip(d, "xyz", strict=True))).alias("d"))), F.lit(True))
-    near = crossings(rays, triangles(vertices, faces)).filter("t > 0").groupBy("mesh_id", "dir_id").agg(F.min("t").alias("r"))
-    mean = near.groupBy("mesh_id").agg(F.avg("r").alias("mean"))
-    full = mean.join(F.broadcast(directions.select("dir_id")), F.lit(True)).join(near, ["mesh_id", "dir_id"], "left")
-    return full.select("mesh_id", "dir_id", F.coalesce("r", "mean").alias("r"))
+    along = lambda f: F.col(f"{f}0") * F.col("dx") + F.col(f"{f}1") * F.col("dy") + F.col(f"{f}2") * F.col("dz")
+    hit = ray_candidates(vertices, faces, directions, centres, e).filter((along("f") > EDGE) & (along("g") >= 0) & (along("h") >= 0) & (along("k") >= 0))
+    near = hit.groupBy("mesh_id", "dir_id").agg(F.min(F.try_divide(F.col("far"), along("f"))).alias("r"))
+    near = materialize(near)
+    mean = near.groupBy("mesh_id").agg(F.avg("r").alias("mean"), F.count("*").alias("n"))
+    lacking = mean.filter(F.col("n") < directions.count()).crossJoin(F.broadcast(directions.select("dir_id")))
+    return near.unionByName(lacking.join(near, ["mesh_id", "dir_id"], "left_anti").select("mesh_id", "dir_id", F.col("mean").alias("r")))
 
 
 def coefficients(vertices: DataFrame, faces: DataFrame, directions: DataFrame, degrees: int = 10, centres: DataFrame | None = None) -> DataFrame:
     """(mesh_id, coefficients): 4 pi / N times the sum of radius times harmonic over the N directions."""
     table = directions.select("dir_id", basis(degrees, F.col("azimuth"), F.col("elevation")).alias("b"))
-    each = radii(vertices, faces, directions, centres).join(F.broadcast(table), "dir_id")
+    each = join_counted(radii(vertices, faces, directions, centres), table, "dir_id")
     total = [F.sum(F.col("r") * F.get("b", F.lit(i))).alias(f"s{i}") for i in range(degrees * degrees)]
     sums = each.groupBy("mesh_id").agg(F.count("*").alias("n"), *total)
     return sums.select("mesh_id", F.array(*(F.col(f"s{i}") * (4 * math.pi) / F.col("n") for i in range(degrees * degrees))).alias("coefficients"))
 
 
 def surface(coeffs: DataFrame, directions: DataFrame, degrees: int = 10) -> DataFrame:
-    """(mesh_id, dir_id, r): the radius that the coefficients describe in each direction."""
+    """(mesh_id, dir_id, r): the radius that the coefficients describe in each direction, at most 2^20 of them."""
+    if directions.count() > 1 << 20:
+        raise ValueError("at most 2^20 directions")
     table = directions.select("dir_id", basis(degrees, F.col("azimuth"), F.col("elevation")).alias("b"))
     return coeffs.join(F.broadcast(table), F.lit(True)).select("mesh_id", "dir_id", dot(F.col("coefficients"), F.col("b")).alias("r"))

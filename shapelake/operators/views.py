@@ -1,7 +1,9 @@
 """Light fields: Zernike moments of a mesh's silhouettes from fixed view points, their images, and their distance.
 
-A mesh's triangles are one row, each view of it another; a task draws a view's mask and multiplies it with the basis,
-which is a parameter's size (pixels x moments) and made once per worker.
+Triangles are projected and cut into spans, one for each row of pixels they cover; a row's spans become one by an
+aggregate of bit masks. Only silhouettes whose rows don't hang together are taken apart into components. Moments are sums
+of a table of the basis, added up along each row, at the ends of the runs: a table of a parameter's size (pixels x moments),
+made in Spark and broadcast behind a check of its rows.
 """
 
 from __future__ import annotations
@@ -12,21 +14,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import once, spread
+from ..storage import join_counted, materialize
+from .graph import connected_components
 from .rays import triangles
 
 #: View directions as (azimuth, elevation) in radians, by the number of views.
-_THREE = [(0.0, 0.0), (0.0, math.pi / 2), (math.pi / 2, math.pi / 2)]
-_SLANT = [(math.pi / 3, math.pi / 3), (math.pi / 3, 2 * math.pi / 3), (2 * math.pi / 3, math.pi / 3), (2 * math.pi / 3, 2 * math.pi / 3)]
 VIEWS = {
-    3: _THREE,
-    5: _THREE + _SLANT[:2],
-    7: _THREE + _SLANT,
-    10: [(0.0, 0.0), (0.0, math.pi / 2), (0.0, -math.pi / 2), (0.0, math.pi), (-math.pi / 2, math.pi / 2), (math.pi / 2, math.pi / 2)] + _SLANT,
+    3: [(0.0, 0.0), (0.0, math.pi / 2), (math.pi / 2, math.pi / 2)],
+    5: [(0.0, 0.0), (0.0, math.pi / 2), (math.pi / 2, math.pi / 2), (math.pi / 3, math.pi / 3), (math.pi / 3, 2 * math.pi / 3)],
+    7: [(0.0, 0.0), (0.0, math.pi / 2), (math.pi / 2, math.pi / 2), (math.pi / 3, math.pi / 3), (math.pi / 3, 2 * math.pi / 3), (2 * math.pi / 3, math.pi / 3), (2 * math.pi / 3, 2 * math.pi / 3)],
+    10: [(0.0, 0.0), (0.0, math.pi / 2), (0.0, -math.pi / 2), (0.0, math.pi), (-math.pi / 2, math.pi / 2), (math.pi / 2, math.pi / 2), (math.pi / 3, math.pi / 3), (math.pi / 3, 2 * math.pi / 3), (2 * math.pi / 3, math.pi / 3), (2 * math.pi / 3, 2 * math.pi / 3)],
 }
 
+#: Bits of a word of a mask's row.
+WORD = 60
+
 
 def degrees(order: int) -> list[tuple[int, int]]:
     """(n, l) of the moments up to ``order``: l from 0 to n with n - l even."""
@@ -60,14 +66,15 @@ def view_plane(azimuth: float, elevation: float) -> np.ndarray:
     return (about_y @ about_x)[:, :2]
 
 
-def enclosing_circle(p: np.ndarray) -> tuple[np.ndarray, float]:
-    """(centre, radius) of the smallest circle round points: the support grows by the farthest point until all are in."""
+def enclosing_circle(p: np.ndarray, with_support: bool = False) -> tuple:
+    """(centre, radius) of the smallest circle round a few points: the support grows by the farthest until all are in. With
+    ``with_support`` also the points that hold it, three at most."""
     support = p[:1]
     centre, radius = p[0], 0.0
     while True:
         far = np.hypot(*(p - centre).T)
         if far.max() <= radius + 1e-9 * (1 + radius):
-            return centre, radius
+            return (centre, radius, support) if with_support else (centre, radius)
         s = np.vstack([support, p[far.argmax()]])
         best = None
         for k in (2, 3):
@@ -84,54 +91,169 @@ def enclosing_circle(p: np.ndarray) -> tuple[np.ndarray, float]:
                 if (np.hypot(*(s - c).T) <= r + 1e-9 * (1 + r)).all() and (best is None or r < best[1]):
                     best = c, r, q
         if best is None or best[1] <= radius:
-            return centre, float(far.max())
+            return (centre, float(far.max()), support) if with_support else (centre, float(far.max()))
         centre, radius, support = best
 
 
-def silhouette_mask(tri: np.ndarray, side: int) -> np.ndarray:
-    """side x side booleans [x, y]: pixels that triangles (n, 3, 2) cover, their enclosing circle scaled to the image."""
-    mask = np.zeros((side, side), bool)
-    centre, radius = enclosing_circle(tri.reshape(-1, 2))
-    if radius == 0:
-        return mask
-    for t in (tri - centre) * (side / 2 / radius) + side / 2:
-        lo, hi = np.clip(np.floor(t.min(axis=0)), 0, side - 1).astype(int), np.clip(np.ceil(t.max(axis=0)), 0, side - 1).astype(int)
-        x, y = np.meshgrid(np.arange(lo[0], hi[0] + 1), np.arange(lo[1], hi[1] + 1), indexing="ij")
-        s = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(t, np.roll(t, -1, axis=0), strict=True)]
-        mask[lo[0] : hi[0] + 1, lo[1] : hi[1] + 1] |= (np.min(s, axis=0) >= -1e-9) | (np.max(s, axis=0) <= 1e-9)
-    return mask
+def _flat(points: list[list[Column]], views: int) -> Column:
+    """An array, by view, of (view, x0, y0, x1, y1, ...): points seen from each direction."""
+    seen = []
+    for i, view in enumerate(VIEWS[views]):
+        plane = view_plane(*view)
+        at = [sum((c * float(plane[k, j]) for k, c in enumerate(p)), F.lit(0.0)).alias(f"{'xy'[j]}{n}") for n, p in enumerate(points) for j in range(2)]
+        seen.append(F.struct(F.lit(i).alias("view"), *at))
+    return F.explode(F.array(*seen))
+
+
+def enclosing_circles(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cx, cy, radius): the smallest circle round each group's points (x0, y0), which are never gathered.
+
+    A group's support, three points at most, grows by the point farthest from its circle until that is inside.
+    """
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def circle(batches):
+        for batch in batches:
+            rows = [enclosing_circle(np.array([(q["x"], q["y"]) for q in s]), True) for s in batch.column("support").to_pylist()]
+            support = pa.array([[{"x": x, "y": y} for x, y in s.tolist()] for _, _, s in rows], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            out = [*(batch.column(k) for k in keys), support, *(pa.array([float(x) for x in c], pa.float64()) for c in ([r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows]))]
+            yield pa.RecordBatch.from_arrays(out, [*keys, "support", "cx", "cy", "radius"])
+
+    schema = f"{kinds}, support array<struct<x: double, y: double>>, cx double, cy double, radius double"
+    point = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))
+    start = points.groupBy(*keys).agg(F.array(F.min(point)).alias("support"))
+    now, done = materialize(start.mapInArrow(circle, schema)), []
+    while True:
+        away = F.hypot(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
+        far = points.join(now, keys).groupBy(*keys).agg(F.max(F.struct(away.alias("away"), point.alias("p"))).alias("far"), *(F.first(c).alias(c) for c in ("support", "cx", "cy", "radius")))
+        far = materialize(far)
+        inside = F.col("far.away") <= F.col("radius") + 1e-9 * (1 + F.col("radius"))
+        done.append(far.filter(inside).select(*keys, "cx", "cy", "radius"))
+        open_ = far.filter(~inside)
+        if open_.isEmpty():
+            break
+        after = open_.withColumn("support", F.concat("support", F.array("far.p"))).select(*keys, "support", F.col("radius").alias("was"))
+        grown = after.drop("was").mapInArrow(circle, schema).join(after.select(*keys, "was", "support").withColumnRenamed("support", "tried"), keys)
+        # without progress, which only rounding can prevent, the circle is widened to the farthest point
+        grown = materialize(grown.join(open_.select(*keys, F.col("far.away").alias("away")), keys))
+        stuck = F.col("radius") <= F.col("was")
+        done.append(grown.filter(stuck).select(*keys, "cx", "cy", F.greatest("radius", "away").alias("radius")))
+        now = grown.filter(~stuck).select(*keys, "support", "cx", "cy", "radius")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def silhouette_rows(vertices: DataFrame, faces: DataFrame, views: int = 5, side: int = 200) -> DataFrame:
+    """(mesh_id, view, i, lo, hi, n, w0, w1, ...): each row of pixels that a silhouette covers, from ``lo`` to ``hi``, ``n``
+    of them, as bits in words; the enclosing circle is scaled to the image. A view without extent has no rows."""
+    flat = vertices.select("mesh_id", _flat([[F.col(c) for c in "xyz"]], views).alias("s")).select("mesh_id", "s.*")
+    tri = triangles(vertices, faces).select("mesh_id", _flat([[F.col(f"p{i}.{c}") for c in "xyz"] for i in range(3)], views).alias("s")).select("mesh_id", "s.*")
+    circles = enclosing_circles(flat, ["mesh_id", "view"]).filter("radius > 0")
+    # cutting into rows costs far more than the few bytes a mesh has, by which small partitions would be merged
+    tri = spread(tri.join(circles, ["mesh_id", "view"]), "mesh_id", "view", "x0", "y1")
+    place = lambda c, k: ((F.col(f"{c}{k}") - F.col(f"c{c}")) * (side / 2) / F.col("radius") + side / 2).alias(f"{c}{k}")
+    tri = tri.select("mesh_id", "view", *(place(c, k) for k in range(3) for c in "xy"))
+    x, y = ([F.col(f"{c}{k}") for k in range(3)] for c in "xy")
+    pixel = lambda c: F.greatest(F.lit(0), F.least(F.lit(side - 1), c)).cast("int")
+    first, last = F.ceil(F.least(*x) - 1e-9), F.floor(F.greatest(*x) + 1e-9)
+    edges = {}
+    for k, (a, b) in enumerate(((0, 1), (1, 2), (2, 0))):
+        run = x[b] - x[a]
+        slope = F.try_divide(y[b] - y[a], F.when(F.abs(run) > 1e-12, run))
+        edges |= {f"x{k}0": F.least(x[a], x[b]) - 1e-9, f"x{k}1": F.greatest(x[a], x[b]) + 1e-9, f"y{k}0": F.least(y[a], y[b]), f"y{k}1": F.greatest(y[a], y[b]), f"m{k}": slope, f"c{k}": y[a] - slope * x[a]}
+    tri = tri.filter(first <= last).select("mesh_id", "view", *(c.alias(n) for n, c in edges.items()), F.explode(F.sequence(pixel(first), pixel(last))).alias("i"))
+    # where each edge is at the row, both its ends for an upright one
+    at = {f"t{k}": F.greatest(F.col(f"y{k}0"), F.least(F.col(f"y{k}1"), F.col(f"c{k}") + F.col(f"m{k}") * F.col("i"))) for k in range(3)}
+    tri = once(tri, at | {f"r{k}": (F.col("i") >= F.col(f"x{k}0")) & (F.col("i") <= F.col(f"x{k}1")) for k in range(3)})
+    end = lambda k, side: F.when(F.col(f"r{k}"), F.when(F.col(f"m{k}").isNull(), F.col(f"y{k}{side}")).otherwise(F.col(f"t{k}")))
+    lo, hi = F.ceil(F.least(*(end(k, 0) for k in range(3))) - 1e-9), F.floor(F.greatest(*(end(k, 1) for k in range(3))) + 1e-9)
+    spans = once(tri.select("mesh_id", "view", "i", *(c for c in tri.columns if c[0] in "ymtr")), {"lo": lo, "hi": hi}).filter("lo <= hi")
+    spans = once(spans.select("mesh_id", "view", "i", "lo", "hi").withColumnsRenamed({"lo": "l", "hi": "h"}), {"lo": pixel(F.col("l")), "hi": pixel(F.col("h"))}).drop("l", "h")
+    words = -(-side // WORD)
+
+    def bits(w: int) -> Column:
+        a, b = (f"greatest(lo - {WORD * w}, 0)", f"least(hi - {WORD * w}, {WORD - 1})")
+        return F.expr(f"case when {a} <= {b} then shiftleft(shiftleft(1L, {b} - {a} + 1) - 1, {a}) else 0L end")
+
+    rows = spans.groupBy("mesh_id", "view", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.bit_or(bits(w)).alias(f"w{w}") for w in range(words)))
+    return rows.withColumn("n", sum((F.bit_count(f"w{w}") for w in range(words)), F.lit(0)))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """(mesh_id, view, i, lo, hi) for each unbroken run of a row's pixels."""
+    words = sorted((c for c in rows.columns if c[0] == "w"), key=lambda c: int(c[1:]))
+    image = F.array(*words)
+    at = F.explode(F.sequence("lo", "hi"))
+    one = rows.select("mesh_id", "view", "i", image.alias("image"), at.alias("p")).filter(F.expr(f"shiftright(get(image, p div {WORD}), pmod(p, {WORD})) & 1L") == 1)
+    start = F.col("p") - F.row_number().over(Window.partitionBy("mesh_id", "view", "i").orderBy("p"))
+    return one.withColumn("start", start).groupBy("mesh_id", "view", "i", "start").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).drop("start")
+
+
+def silhouette_runs(rows: DataFrame) -> DataFrame:
+    """(mesh_id, view, i, lo, hi): the runs of pixels of each silhouette's largest part, of equal ones the one that comes first.
+
+    Pixels hang together along rows and columns. ``rows`` must be a written table, as it is read several times.
+    """
+    order = Window.partitionBy("mesh_id", "view").orderBy("i")
+    joined = (F.col("i") == F.lag("i").over(order) + 1) & (F.col("lo") <= F.lag("hi").over(order)) & (F.col("hi") >= F.lag("lo").over(order))
+    sound = (F.col("n") == F.col("hi") - F.col("lo") + 1) & F.coalesce(joined, F.row_number().over(order) == 1)
+    marked = materialize(rows.withColumn("sound", sound).groupBy("mesh_id", "view").agg(F.min("sound").alias("sound")))
+    whole = rows.join(marked.filter("sound"), ["mesh_id", "view"], "left_semi").select("mesh_id", "view", "i", "lo", "hi")
+    if marked.filter("not sound").isEmpty():
+        return whole
+    runs = materialize(_runs(rows.join(marked.filter("not sound"), ["mesh_id", "view"], "left_semi")))
+    below = runs.select("mesh_id", "view", (F.col("i") + 1).alias("i"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
+    met = runs.join(below, ["mesh_id", "view", "i"]).filter((F.col("lo") <= F.col("hi0")) & (F.col("hi") >= F.col("lo0")))
+    node = lambda i, lo: F.struct("mesh_id", "view", i.alias("i"), F.col(lo).alias("lo"))
+    roots = connected_components(met.select(node(F.col("i"), "lo").alias("a"), node(F.col("i") - 1, "lo0").alias("b")))
+    parts = runs.withColumn("node", node(F.col("i"), "lo")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    size = parts.groupBy("mesh_id", "view", "root").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"))
+    best = size.groupBy("mesh_id", "view").agg(F.max_by("root", F.struct("size", -F.col("root.i"), -F.col("root.lo"))).alias("root"))
+    return whole.unionByName(parts.join(best, ["mesh_id", "view", "root"], "left_semi").select("mesh_id", "view", "i", "lo", "hi"))
+
+
+def basis_sums(spark: SparkSession, side: int, order: int) -> DataFrame:
+    """(key, sums): for row i and pixel p from -1 on, key i (side + 1) + p + 1, the sums over the row's pixels up to p within
+    the image's circle of 1, then of the polynomials' real and imaginary parts."""
+
+    def step(batches):
+        inside, values = zernike_basis(side, order)
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                row = np.zeros((side + 1, 1 + 2 * values.shape[1]))
+                at = np.flatnonzero(inside // side == i)
+                row[inside[at] % side + 1] = np.column_stack([np.ones(len(at)), values[at].real, values[at].imag])
+                sums = np.cumsum(row, axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(side + 2) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(side + 1) + i * (side + 1), pa.int64()), lists], ["key", "sums"])
+
+    return spark.range(side).mapInArrow(step, "key long, sums array<double>")
 
 
 def light_field(vertices: DataFrame, faces: DataFrame, views: int = 5, order: int = 15, side: int = 200) -> DataFrame:
     """(mesh_id, view, moments: array of (re, im)), moments by n and l; the mask is scaled to a sum of 1.
 
-    Another number of views than 3, 5, 7 or 10 is a ValueError. All of a silhouette counts, of meshes in one piece so
-    its only part. A mesh without area gives null moments.
+    Another number of views than 3, 5, 7 or 10 is a ValueError. A silhouette counts with its largest part. A mesh without
+    extent in a view, or without faces, gives null moments.
     """
     if views not in VIEWS:
         raise ValueError(f"views must be one of {sorted(VIEWS)}")
-    planes = [view_plane(*v) for v in VIEWS[views]]
-    scale = np.array([(n + 1) / math.pi for n, _ in degrees(order)])
-    flat = F.flatten(F.collect_list(F.array(*(F.col(f"p{i}.{c}") for i in range(3) for c in "xyz"))))
-    rows = triangles(vertices, faces).groupBy("mesh_id").agg(flat.alias("tri"))  # a mesh is one row
-    rows = rows.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1))))
-    # drawing costs far more than the few bytes a mesh has, by which small partitions would be merged
-    tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "mesh_id", "view")
-
-    def measure(batches):
-        inside, values = zernike_basis(side, order)
-        for batch in batches:
-            out = []
-            for tri, view in zip(batch.column("tri").to_pylist(), batch.column("view").to_pylist(), strict=True):
-                mask = silhouette_mask(np.array(tri).reshape(-1, 3, 3) @ planes[view], side).ravel()[inside]
-                m = values[mask].sum(axis=0).conj() / mask.sum() * scale if mask.any() else None
-                out.append(None if m is None else [{"re": a, "im": b} for a, b in zip(m.real.tolist(), m.imag.tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("re", pa.float64()), ("im", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("mesh_id"), batch.column("view"), pa.array(out, kind)], ["mesh_id", "view", "moments"])
-
-    key = rows.schema["mesh_id"].dataType.simpleString()
-    return rows.mapInArrow(measure, f"mesh_id {key}, view int, moments array<struct<re: double, im: double>>")
+    spark = vertices.sparkSession
+    runs = silhouette_runs(materialize(silhouette_rows(vertices, faces, views, side)))
+    table = materialize(basis_sums(spark, side, order))
+    key = lambda c: (F.col("i") * (side + 1) + c).cast("long")
+    met = join_counted(runs.select("mesh_id", "view", key(F.col("hi") + 1).alias("key"), key(F.col("lo")).alias("start")), table, "key")
+    met = join_counted(met.drop("key").withColumnsRenamed({"start": "key", "sums": "upto"}), table, "key")
+    many = len(degrees(order))
+    sums = met.groupBy("mesh_id", "view").agg(*(F.sum(F.get("upto", F.lit(k)) - F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(1 + 2 * many)))
+    scale = [(n + 1) / math.pi for n, _ in degrees(order)]
+    part = lambda k, sign: F.col(f"s{k}") / F.col("s0") * sign
+    moments = F.array(*(F.struct(part(1 + k, s).alias("re"), part(1 + many + k, -s).alias("im")) for k, s in enumerate(scale)))
+    found = sums.select("mesh_id", "view", F.when(F.col("s0") > 0, moments).alias("moments"))
+    every = vertices.select("mesh_id").distinct().withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1))))
+    return every.join(found, ["mesh_id", "view"], "left")
 
 
 def recovered_images(moments: DataFrame, side: int = 30, order: int = 15) -> DataFrame:
