@@ -104,7 +104,7 @@ def convex_hulls(vertices: DataFrame, eyes: int = 8) -> DataFrame:
     done = []
     while not outside.isEmpty():
         open_ = outside.select("mesh_id").distinct()
-        done.append(materialize(faces.join(open_, "mesh_id", "left_anti").select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True)))))
+        done.append(materialize(faces.join(open_, "mesh_id", "left_anti").select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True))), tidy=False))
         faces, outside = _round(faces.join(open_, "mesh_id", "left_semi"), outside, eyes, (faces, outside))
     out = faces.select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True)))
     for d in done:
@@ -119,7 +119,7 @@ def _round(faces: DataFrame, outside: DataFrame, eyes: int, old: tuple) -> tuple
     seen = spread(faces, "mesh_id", "face").join(looking, "mesh_id").filter(_outside("eye") > F.col("least")).select("mesh_id", "face", "a", "b", "c", "eye", "rank")
     sides = _edges(seen, "eye", "rank").select("mesh_id", "face", "rank", "eye", "u", "v", F.col("u.id").alias("i"), F.col("v.id").alias("j"))
     across = _edges(faces).select("mesh_id", F.col("face").alias("next"), F.col("v.id").alias("i"), F.col("u.id").alias("j"))
-    sides = materialize(sides.join(across, ["mesh_id", "i", "j"]))
+    sides = sides.join(across, ["mesh_id", "i", "j"]).persist()
     # an eye goes in if it is the first to claim every face that it sees or that borders on one
     claims = sides.select("mesh_id", "rank", "face").union(sides.select("mesh_id", "rank", "next")).distinct()
     first = claims.withColumn("first", F.min("rank").over(Window.partitionBy("mesh_id", "face")))
@@ -127,13 +127,15 @@ def _round(faces: DataFrame, outside: DataFrame, eyes: int, old: tuple) -> tuple
     put = sides.join(chosen, ["mesh_id", "rank"])
     gone = put.select("mesh_id", "rank", "face").distinct()
     border = put.join(gone.select("mesh_id", "rank", F.col("face").alias("next")), ["mesh_id", "rank", "next"], "left_anti")
-    new = materialize(_with_plane(border.select("mesh_id", F.col("u").alias("a"), F.col("v").alias("b"), F.col("eye").alias("c"))))
-    gone = materialize(gone.join(put.select("mesh_id", "rank", F.col("eye.id").alias("eye_id")).distinct(), ["mesh_id", "rank"]).select("mesh_id", "face", "eye_id"))
+    new = (_with_plane(border.select("mesh_id", F.col("u").alias("a"), F.col("v").alias("b"), F.col("eye").alias("c")))).persist()
+    gone = gone.join(put.select("mesh_id", "rank", F.col("eye.id").alias("eye_id")).distinct(), ["mesh_id", "rank"]).select("mesh_id", "face", "eye_id").persist()
     lost = outside.join(gone, ["mesh_id", "face"]).filter(F.col("p.id") != F.col("eye_id")).select("mesh_id", "least", "p", "eye_id")
     found = _farthest(lost.join(new.withColumn("eye_id", F.col("c.id")), ["mesh_id", "eye_id"]))
-    outside = materialize(outside.join(gone, ["mesh_id", "face"], "left_anti").unionByName(found))
-    faces = materialize(faces.join(gone, ["mesh_id", "face"], "left_anti").select(*new.columns).unionByName(new))
-    for t in (sides, new, gone, *old):
+    outside = materialize(outside.join(gone, ["mesh_id", "face"], "left_anti").unionByName(found), tidy=False)
+    faces = materialize(faces.join(gone, ["mesh_id", "face"], "left_anti").select(*new.columns).unionByName(new), tidy=False)
+    for t in (sides, new, gone):
+        t.unpersist()
+    for t in old:
         discard(t)
     return faces, outside
 

@@ -19,12 +19,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/shapelake-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write once to shared storage and read back: cuts lineage, survives lost executors, computes nothing twice."""
+def materialize(df: DataFrame, path: str | None = None, tidy: bool = True) -> DataFrame:
+    """Write once to shared storage and read back: cuts lineage, survives lost executors, computes nothing twice.
+
+    ``tidy`` also frees the disk of shuffles that are over, which takes longer than writing a small table does."""
     spark = df.sparkSession
     path = path or scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files when the driver collects what refers to them
+    if tidy:
+        spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files when the driver collects what refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
