@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .operators import classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
+from .sources import sql
 from .streaming import edits
 
 _queries: dict = {}
@@ -745,3 +746,34 @@ def keep_components(spark, sf):
     l, s = (T.table(spark, sf, t) for t in ("lineitem", "supplier"))
     chosen = s.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
     return datasets.keep_components(l.select("l_orderkey", "l_linenumber", "l_suppkey"), chosen, ["l_suppkey"])
+
+
+# --- SQL access ----------------------------------------------------------------------------------------------------
+
+@query(f"""with {T.FEATURES} select a.label, count(*) as n, round(avg(list_distance(a.x, b.x)), 4) as l2, round(max(list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2])))), 4) as l1
+from feat a join feat b on a.label = b.label and a.item < b.item group by a.label""")
+def sql_distances(spark, sf):
+    """Distances within each class, in SQL."""
+    sql.register(spark, sf)
+    return spark.sql("""select a.label, count(*) as n, round(avg(shape_l2(a.x, b.x)), 4) as l2, round(max(shape_l1(a.x, b.x)), 4) as l1
+      from shape_features a join shape_features b on a.label = b.label and a.item < b.item group by a.label""")
+
+
+@query(f"""with {T.HISTOGRAMS}, first as (select label, min(item) as item from hist group by label), base as (select h.label, h.x from hist h join first using (label, item))
+select h.item, b.label, round(list_sum(list_transform(list_zip(h.x, b.x), lambda p: least(p[1], p[2]))), 4) as k,
+round(list_sum(list_transform(list_zip(h.x, b.x), lambda p: case when p[1] + p[2] = 0 then 0 else (p[1] - p[2]) ** 2 / (p[1] + p[2]) end)) / 2, 4) as chi2 from hist h, base b""")
+def sql_kernels(spark, sf):
+    """Each histogram against the first of every class, in SQL."""
+    sql.register(spark, sf)
+    return spark.sql("""with base as (select label, min_by(x, item) as x from shape_histograms group by label)
+      select h.item, b.label, round(shape_hist(h.x, b.x), 4) as k, round(shape_chi2(h.x, b.x), 4) as chi2 from shape_histograms h join base b on true""")
+
+
+@query(f"""with {T.PRISMS} select f.mesh_id, count(*) as n, round(sum(greatest(a.z, b.z, c.z) - least(a.z, b.z, c.z)), 4) as rise
+from face f join vert a on a.mesh_id = f.mesh_id and a.vertex_id = v0 join vert b on b.mesh_id = f.mesh_id and b.vertex_id = v1 join vert c on c.mesh_id = f.mesh_id and c.vertex_id = v2 group by f.mesh_id""")
+def sql_meshes(spark, sf):
+    """How far the faces of each mesh rise, in SQL."""
+    sql.register(spark, sf)
+    corner = lambda i: f"join shape_vertices p{i} on p{i}.mesh_id = f.mesh_id and p{i}.vertex_id = f.v{i}"
+    return spark.sql(f"""select f.mesh_id, count(*) as n, round(sum(greatest(p0.z, p1.z, p2.z) - least(p0.z, p1.z, p2.z)), 4) as rise
+      from shape_faces f {corner(0)} {corner(1)} {corner(2)} group by f.mesh_id""")
