@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from shapelake import catalog
 
-HEADLINE = ["standardize_vector", "histogram_density", "tail_mean_q95", "representatives", "votes_merge", "consensus_table", "intersection_ratios_normalized", "dist_l2", "silhouette", "mesh_volume", "mesh_areas", "mesh_lengths", "open_angle", "expand", "local_threshold", "surface_voxels", "kmeans"]
+HEADLINE = ["standardize_vector", "histogram_density", "tail_mean_q95", "representatives", "votes_merge", "consensus_table", "intersection_ratios_normalized", "dist_l2", "dist_js", "silhouette", "knn_elbow", "mesh_volume", "mesh_areas", "mesh_lengths", "open_angle", "expand", "local_threshold", "surface_voxels", "kmeans"]
 
 
 def main() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, pairs, rays, shape, skeleton, views, voxels
+from .operators import blocks, classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
 from .sources import sql
 from .streaming import edits
@@ -247,7 +247,7 @@ def parent_lookup(spark, sf):
 
 def _pairs(name):
     def run(spark, sf):
-        return pairs.pair_table(T.histograms(spark, sf), "item", "x", V.DISTANCES[name]).select("a", "b", r("d"))
+        return blocks.block_pairs(T.histograms(spark, sf), "item", "x", name).select("a", "b", r("d"))
 
     return run
 
@@ -281,26 +281,25 @@ def _l2(spark, sf):
 
 @query(f"with {L2} select a as item, arg_min(b, (d, b)) as nearest, round(min(d), 4) as d_near, arg_min(b, (-d, b)) as farthest, round(max(d), 4) as d_far from p group by a")
 def closest_farthest(spark, sf):
-    return pairs.nearest_and_farthest(_l2(spark, sf)).select("item", "nearest", r("d_near"), "farthest", r("d_far"))
+    return blocks.nearest_and_farthest(T.features(spark, sf), "item", "x").select("item", "nearest", r("d_near"), "farthest", r("d_far"))
 
 
 @query(f"with {L2} select a as item, round(d, 4) as kth from p qualify row_number() over (partition by a order by d, b) = 3")
 def knn_elbow(spark, sf):
-    return pairs.knn_elbow(_l2(spark, sf), 4).select("item", r("kth"))
+    return blocks.kth_neighbours(T.features(spark, sf), "item", "x", 4).select("item", r("kth"))
 
 
 @query(f"""with {L2}, k as (select a, d from p qualify row_number() over (partition by a order by d, b) = 3)
 select eps, sum((d >= eps)::int)::bigint as n from k, (values {", ".join(f"({e}::double)" for e in EPS)}) t(eps) group by eps""")
 def dbscan_elbow(spark, sf):
-    return pairs.beyond(pairs.knn_elbow(_l2(spark, sf), 4), spark.createDataFrame([(e,) for e in EPS], "eps double"))
+    return pairs.beyond(blocks.kth_neighbours(T.features(spark, sf), "item", "x", 4), spark.createDataFrame([(e,) for e in EPS], "eps double"))
 
 
 @query(f"""with {L2}, m as (select p.a, x.label as la, y.label as lb, avg(d) as d from p join feat x on x.item = p.a join feat y on y.item = p.b group by all),
 s as (select a, la, max(d) filter (la = lb) as own, min(d) filter (la <> lb) as nxt from m group by all)
 select a as item, la as label, round(coalesce((nxt - own) / greatest(nxt, own), 0), 4) as s from s""")
 def silhouette(spark, sf):
-    f = T.features(spark, sf)
-    return pairs.silhouette(_l2(spark, sf), f.select("item", "label")).select("item", "label", r("s"))
+    return blocks.silhouette(T.features(spark, sf), "item", "x", "label").select("item", "label", r("s"))
 
 
 @query(f"""with recursive {T.FEATURES}, eps(eps) as (values {", ".join(f"({e}::double)" for e in EPS)}),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,8 +19,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, label, x): each embedding shifted to a least value of 0 and scaled to one."""
-    f = features(spark, sf_dir).withColumn("x", F.transform("x", lambda e: e - F.array_min("x")))
-    return f.withColumn("x", F.transform("x", lambda e: e / F.aggregate("x", F.lit(0.0), lambda a, b: a + b)))
+    f = once(features(spark, sf_dir), {"least": F.array_min("x")})
+    f = once(f, {"up": F.transform("x", lambda e: e - F.col("least"))})
+    f = once(f, {"total": F.aggregate("up", F.lit(0.0), lambda a, b: a + b)})
+    return f.select("item", "label", F.transform("up", lambda e: e / F.col("total")).alias("x"))
 
 
 #: A prism on a 12-gon: bottom fan round vertex 24, two triangles a side, top in a zigzag.
