@@ -100,21 +100,16 @@ s0 as (select source, max(block) + 1 as blocks, pow(sum(size)::double, 0.7) as w
 s as (select row_number() over (order by source nulls first) - 1 as i, source, blocks,
     greatest(1, round(1000 * weight / (select sum(weight) from s0)))::bigint as share from s0),
 arr as (select list(share order by i) as shares, list(blocks order by i) as blocks, sum(share)::bigint as period from s),
-sim(t, done, pick) as (
-  select -1::bigint, list_transform(shares, lambda x: 0::bigint), -1::bigint from arr
+sim(position, t, done, pick, j) as (
+  select -1::bigint, -1::bigint, list_transform(shares, lambda x: 0::bigint), -1::bigint, -1::bigint from arr
   union all
-  select t + 1, list_transform(done, lambda j, i: case when i - 1 = q then j + 1 else j end), q from (
-    select t, done, list_min(list_filter(list_transform(shares, lambda sh, i: case when done[i] < sh and done[i] * period // sh <= t + 1
+  select position + 1, now, list_transform(done, lambda d, i: case when i - 1 = q then d + 1 else d end), q, done[q + 1] from (
+    select position, done, now, list_min(list_filter(list_transform(shares, lambda sh, i: case when done[i] < blocks[i] and done[i] * period // sh <= now
         then ((done[i] + 1) * period + sh - 1) // sh * 100000 + i - 1 end), lambda x: x is not null)) % 100000 as q
-    from sim, arr where t + 1 < period)),
-slot as (select t as slot, pick as i, row_number() over (partition by pick order by t) - 1 as turn from sim where t >= 0),
-b as (select distinct p.source, p.block, s.i, s.share, p.block // s.share as cycle, slot.slot from p
-  join s on p.source is not distinct from s.source join slot on slot.i = s.i and slot.turn = p.block % s.share),
-ahead as (select slot.slot, o.i, o.share, o.blocks, (select count(*) from slot z where z.i = o.i and z.slot < slot.slot) as before from slot, s o),
-pos as (select b.source, b.block, b.share, sum(least(a.blocks, b.cycle * a.share + a.before)) as position
-  from b join ahead a on a.slot = b.slot group by all)
-select p.doc_id, p.source, p.size, p.block, pos.share, pos.position::bigint as position
-from p join pos on p.source is not distinct from pos.source and p.block = pos.block
+    from (select *, greatest(t + 1, list_min(list_filter(list_transform(shares, lambda sh, i: case when done[i] < blocks[i] then done[i] * period // sh end), lambda x: x is not null))) as now
+      from sim, arr where list_sum(done) < list_sum(blocks))))
+select p.doc_id, p.source, p.size, p.block, s.share, sim.position
+from p join s on p.source is not distinct from s.source join sim on sim.pick = s.i and sim.j = p.block
 """
 
 OP6 = r"""
@@ -130,12 +125,13 @@ f as (select w.doc_id, lang, source, len(words)::bigint as n_words, length(regex
   from w left join rep using (doc_id)),
 r as (select *, n_symbols / greatest(word_chars, 1) as a, n_dup_lines / greatest(n_lines, 1) as b, n_repeat_words / greatest(n_words, 1) as c,
     n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-fence as (select lang, source, grouping(lang) as gl, grouping(source) as gs, count(*) as n,
-    quantile_disc(a, 0.9) as a, quantile_disc(b, 0.99) as b, quantile_disc(c, 0.99) as c
+fence as (select lang, source, grouping(lang) as gl, grouping(source) as gs, count(*) filter (a > 0) as na, count(*) filter (b > 0) as nb, count(*) filter (c > 0) as nc,
+    quantile_disc(a, 0.9) filter (a > 0) as a, quantile_disc(b, 0.99) filter (b > 0) as b, quantile_disc(c, 0.99) filter (c > 0) as c
   from r where not base_failed group by grouping sets ((lang, source), (lang), ())),
-pick as (select g.lang, g.source, case when g.n >= 100 then g.a when l.n >= 100 then l.a else e.a end as a,
-    case when g.n >= 100 then g.b when l.n >= 100 then l.b else e.b end as b, case when g.n >= 100 then g.c when l.n >= 100 then l.c else e.c end as c
-  from fence g join fence l on l.gl = 0 and l.gs = 1 and g.lang is not distinct from l.lang join fence e on e.gl = 1 where g.gl = 0 and g.gs = 0)
+wide as (select l.lang, coalesce((l.na * l.a + 20.0::double * e.a) / (l.na + 20.0::double), e.a) as a, coalesce((l.nb * l.b + 20.0::double * e.b) / (l.nb + 20.0::double), e.b) as b,
+    coalesce((l.nc * l.c + 20.0::double * e.c) / (l.nc + 20.0::double), e.c) as c from fence l join fence e on e.gl = 1 where l.gl = 0 and l.gs = 1),
+pick as (select g.lang, g.source, coalesce((g.na * g.a + 20.0::double * w.a) / (g.na + 20.0::double), w.a) as a, coalesce((g.nb * g.b + 20.0::double * w.b) / (g.nb + 20.0::double), w.b) as b,
+    coalesce((g.nc * g.c + 20.0::double * w.c) / (g.nc + 20.0::double), w.c) as c from fence g join wide w on g.lang is not distinct from w.lang where g.gl = 0 and g.gs = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (coalesce(r.a > pick.a, false) or coalesce(r.b > pick.b, false) or coalesce(r.c > pick.c, false)) as kept,
   pick.a as symbol_ratio_fence, pick.b as dup_line_ratio_fence, pick.c as repeat_ratio_fence

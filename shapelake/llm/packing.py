@@ -24,17 +24,21 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end: int) -> DataFrame:
-    """(chunk, first, at, doc_id, ids): a chunk is a read split; ``at`` counts its ids before the document; ``first`` orders chunks."""
+    """(chunk, first, at, doc_id, ids): a chunk is a read split, or what is left of a task once a split comes back; ``at`` counts its ids before the document; ``first`` orders chunks."""
 
     def encode(batches):
         words, task, chunk, total, before = word_ids(vocabulary), TaskContext.get().partitionId(), -1, 0, (None, None)
+        seen, dealt = set(), False  # dealt: a split's rows came back, so the rows were sorted or shuffled since they were read
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids = text_ids(binary_values(part.column("text")), words, end)
                 splits = list(zip(part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True))
                 chunks, at, firsts = [], [], []
                 for split, row, x in zip(splits, part.column("row").to_pylist(), ids, strict=True):
-                    if chunk < 0 or split != before:
+                    if split != before:
+                        dealt = dealt or split in seen
+                        seen.add(split)
+                    if chunk < 0 or split != before and not dealt:
                         chunk, total, first = chunk + 1, 0, row or 0
                     before = split
                     chunks.append(task << 32 | chunk)
@@ -66,7 +70,8 @@ def pack_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset, boundary
     (its sequence takes in rows of another chunk), and ids (little-endian unsigned 32-bit) if ``with_ids``. Every id
     lies in one piece and every sequence but the last is full, so padding is under ``size`` tokens in all; the last is
-    padded to the next power of two. Rows read straight from Parquet keep the order of their files and rows. A null
+    padded to the next power of two. Rows read straight from Parquet keep the order of their files and rows; no order is promised of others. Ids are cast to bigint. Texts are taken whole,
+    however long. A null
     text counts as empty: one end id. Repeated rows are packed again; a null id stays null; no rows give no pieces.
     """
     encoded = materialize(_encoded(docs, id_col, text_col, vocabulary, end))
