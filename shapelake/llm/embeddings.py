@@ -51,14 +51,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample: int = 10_000, most: int = 1024, blocks: int = 6, agree: int = 1, exact: bool = False) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample: int = 10_000, most: int = 1024, blocks: int = 6, agree: int = 1, exact: bool = False, short: int = 8) -> DataFrame:
     """One row per input row: id, n_links, component_id (smallest id reachable by links), kept (id = component_id).
 
     Links have a cosine of at least ``threshold``. Null and zero vectors, and those with null or non-finite components,
     link with nothing, as do vectors of different lengths. Fitted on the ``sample`` distinct vectors with the least
     hashes; every vector is indexed. Of links at a cosine of 0.95 the default blocks find nine in ten or more; 8 blocks
     of which 2 agree find as many with 28 copies of a vector in place of 6 and smaller buckets. ``exact`` finds all, by
-    comparing every pair of chunks. A null id is not chosen for component_id while another is there. Repeated rows
+    comparing every pair of chunks; so are vectors of under ``short`` dimensions, whose rotations cut in the same places
+    (in 2 dimensions blocks found 0.87 of the links). A null id is not chosen for component_id while another is there. Repeated rows
     count as vectors of their own; no rows give none.
     """
     x = F.col("x")
@@ -69,7 +70,7 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
     sizes = nodes.groupBy("dims").count().collect()  # one row per length of vector
     links = None
     for dims, n in ((r["dims"], r["count"]) for r in sizes):
-        part = _linked(nodes.filter(F.col("dims") == dims), n, threshold, sample, most, None if exact else (blocks, agree))
+        part = _linked(nodes.filter(F.col("dims") == dims), n, threshold, sample, most, None if exact or dims < short else (blocks, agree))
         links = part if links is None else links.union(part)
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
