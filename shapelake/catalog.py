@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import blocks, classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, pairs, rays, shape, skeleton, views, voxels
+from .operators import blocks, classify, cluster, datasets, features, graph, groups, harmonics, hull, mesh, models, pairs, rays, shape, skeleton, views, voxels
 from .plans import tables as T
 from .sources import sql
 from .streaming import edits
@@ -350,6 +350,12 @@ def svm_ratio_sweep(spark, sf):
     return classify.ratio_sweep(T.features(spark, sf), "item", "x", "label", [0.3, 0.7])
 
 
+@query()
+def svm_grid(spark, sf):
+    f = models.nystrom_features(T.features(spark, sf), "item", "x")
+    return models.grid_search(f, "item", "x", "label", [k / 10 for k in range(1, 10)])[0]
+
+
 # --- meshes --------------------------------------------------------------------------------------------------------
 
 def _distances(spark, sf):
