@@ -26,7 +26,20 @@ def block_masks(bits: int, blocks: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in total]
 
 
-def _links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _wide(column: pa.ChunkedArray) -> np.ndarray:
+    """A binary column of equal lengths as rows of uint64."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _hold(i: np.ndarray, j: np.ndarray, wide: np.ndarray | None, far: int) -> np.ndarray:
+    """Which of the pairs (i, j) differ in at most ``far`` bits of ``wide``; all of them without it."""
+    if wide is None:
+        return np.ones(len(i), bool)
+    parts = [np.bitwise_count(wide[i[a : a + 65536]] ^ wide[j[a : a + 65536]]).sum(axis=1, dtype=np.int32) <= far for a in range(0, len(i), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _links(fp: np.ndarray, starts: np.ndarray, bits: int, wide: np.ndarray | None = None, far: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(i, root): a star for each group of linked rows within each run of a block of runs."""
     n = len(fp)
     run = np.zeros(n, np.int64)
@@ -39,8 +52,10 @@ def _links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, n
         for a in range(0, len(x), 256):
             i, j = np.nonzero(np.bitwise_count(x[a : a + 256, None] ^ x[None, :]) <= bits)
             up = i + a < j
-            left.append(i[up] + a + starts[r])
-            right.append(j[up] + starts[r])
+            i, j = i[up] + a + starts[r], j[up] + starts[r]
+            keep = _hold(i, j, wide, far)
+            left.append(i[keep])
+            right.append(j[keep])
         if sum(map(len, left)) > 1 << 21:
             root = stars(n, np.concatenate(left), np.concatenate(right))
             left, right = [np.flatnonzero(root != np.arange(n))], [root[root != np.arange(n)]]
@@ -51,6 +66,7 @@ def _links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, n
         if not len(at):
             break
         near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
+        near = near[_hold(near, near + step, wide, far)]
         left.append(near)
         right.append(near + step)
     if not left:
@@ -60,46 +76,53 @@ def _links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return moved, root[moved]
 
 
-def hamming_edges(fps: DataFrame, bits: int = 4, blocks: int = 6, most: int = 2048) -> DataFrame:
+def hamming_edges(fps: DataFrame, bits: int = 4, blocks: int = 6, most: int = 2048, wide: str | None = None, far: int = 0) -> DataFrame:
     """(a, b) bigint: links between the values of the bigint column ``fp`` that differ in at most ``bits`` bits.
 
     The links have the connected components of all such pairs, but not every pair. ``fp`` must be distinct and not
-    null; an empty table gives none.
+    null; an empty table gives none. ``wide`` names a column of longer fingerprints, binary and all of one length: rows then
+    link only if these differ in at most ``far`` bits too, ``fp`` may repeat, and the links' ends are the distinct bigint
+    column ``node``.
     """
     masks = block_masks(bits, blocks)
     signs = np.array(masks, np.int64)
-    kind = "a long, b long, t int, chunk long"
+    end, more = ("node", ["node", wide]) if wide else ("fp", [])
+    kind = "a long, b long, t int, chunk long" + (f", node long, {wide} binary" if wide else "")
+
+    def linked(table, starts):
+        fp, ends = (table.column(c).to_numpy() for c in ("fp", end))
+        i, root = _links(fp.view(np.uint64), starts, bits, _wide(table.column(wide)) if wide else None, far)
+        return pa.array(ends[root]), pa.array(ends[i])
 
     def meet(batches):
         def keyed():
             for batch in batches:
-                t, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp & signs[t]), batch.column(1)], ["t", "key", "fp"])
+                t, fp = batch.column("t").to_numpy(), batch.column("fp").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(fp & signs[t]), batch.column("fp"), *(batch.column(c) for c in more)], ["t", "key", "fp", *more])
 
         for table, starts, at in runs(keyed(), ["t", "key"], most):
-            fp = table.column("fp").to_numpy()
+            n = table.num_rows
             if at is None:
-                i, root = _links(fp.view(np.uint64), starts, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[root]), pa.array(fp[i]), pa.array(np.full(len(i), -1, np.int32)), pa.array(np.zeros(len(i), np.int64))], ["a", "b", "t", "chunk"])
+                a, b = linked(table, starts)
+                out = [a, b, pa.array(np.full(len(a), -1, np.int32)), pa.array(np.zeros(len(a), np.int64)), *(pa.nulls(len(a), table.schema.field(c).type) for c in more)]
             else:
-                chunk = (np.arange(at, at + len(fp)) // most).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), table.column("key").combine_chunks(), table.column("t").combine_chunks(), pa.array(chunk)], ["a", "b", "t", "chunk"])
+                chunk = pa.array((np.arange(at, at + n) // most).astype(np.int64))
+                out = [*(table.column(c).combine_chunks() for c in ("fp", "key", "t")), chunk, *(table.column(c).combine_chunks() for c in more)]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "t", "chunk", *more])
 
     def cells(batches):
         for table, starts, _ in runs(batches, ["t", "key", "lo", "hi"], 4 * most):
-            fp = table.column("fp").to_numpy()
-            i, root = _links(fp.view(np.uint64), starts, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[root]), pa.array(fp[i])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(list(linked(table, starts)), ["a", "b"])
 
     key = F.col("fp").bitwiseAND(F.element_at(F.array([F.lit(m).cast("long") for m in masks]), F.col("t") + 1))
-    dealt = fps.select(F.explode(F.lit(list(range(len(masks)))).cast("array<int>")).alias("t"), "fp")
+    dealt = fps.select(F.explode(F.lit(list(range(len(masks)))).cast("array<int>")).alias("t"), "fp", *more)
     met = materialize(map_arrow(dealt.repartition("t", key).sortWithinPartitions("t", key), meet, kind))
     edges = met.filter("t < 0").select("a", "b")
-    heavy = met.filter("t >= 0").select("t", F.col("b").alias("key"), F.col("a").alias("fp"), "chunk")
+    heavy = met.filter("t >= 0").select("t", F.col("b").alias("key"), F.col("a").alias("fp"), "chunk", *more)
     if heavy.isEmpty():
         return edges
     sizes = heavy.groupBy("t", "key").agg(F.max("chunk").alias("last"))
     cell = heavy.join(sizes, ["t", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    cell = cell.select("t", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "fp")
+    cell = cell.select("t", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "fp", *more)
     cell = cell.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
     return edges.union(map_arrow(cell, cells, "a long, b long"))

@@ -1,6 +1,7 @@
 """Brute force, exact round trips and held-out accuracy on small tables with nulls, empty texts, ties and clashing names."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -149,6 +150,78 @@ def test_recall_of_near_copies_by_similarity():
     assert found[0.95] >= 80 and found[0.9] >= 35
 
 
+def altered(words, edits, rnd):
+    out = list(words)
+    for p in rnd.sample(range(len(out)), edits):
+        out[p] = "other" + str(rnd.getrandbits(30))
+    return out
+
+
+def similarity(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize(("length", "least"), [(60, 0.9), (300, 0.85), (3000, 0.8)])
+def test_recall_of_alike_texts_by_similarity(length, least):
+    """Both tests of a pair, with new words put in: of pairs at a similarity of 0.8 or more most are found, below 0.65 none."""
+    rnd = random.Random(length)
+    high, low = [], []
+    while len(high) < 100 or len(low) < 100:
+        w = [f"w{int(rnd.paretovariate(0.6)) % 5000}" for _ in range(length)]
+        v = altered(w, rnd.choice([length // 60, length // 45, length // 12]), rnd)
+        s = similarity(w, v)
+        (p, x), (q, y) = (simhash.text_fingerprints(" ".join(t).encode(), 5, 42) for t in (w, v))
+        far = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+        found = ((p ^ q) & (1 << 64) - 1).bit_count() <= 6 and far <= 165
+        if s >= 0.8:
+            high.append(found)
+        elif s < 0.65:
+            low.append(found)
+    assert sum(high) >= least * len(high) and not any(low)
+
+
+def test_wide_fingerprint_counts_bits():
+    for n in (1, 2, 7, 600, 5000):  # past a byte's ones and past a part
+        h = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
+        bits = np.zeros(1024, int)
+        for x in h.tolist():
+            for k in range(16):
+                z = (x + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                bits[64 * k : 64 * k + 64] += np.unpackbits(np.frombuffer((z ^ z >> 31).to_bytes(8, "little"), np.uint8))
+        assert simhash.wide_fingerprint(h) == np.packbits(2 * bits + np.arange(1024) % 2 > n).tobytes()
+    assert simhash.wide_fingerprint(np.zeros(0, np.uint64)) == bytes(128)
+
+
+def test_one_of_alike_texts_stays(spark):
+    """Near copies, copies, repeated rows, shared and null ids, texts without words, a clashing column."""
+    rnd = random.Random(5)
+    base = [[f"w{rnd.getrandbits(12)}" for _ in range(200)] for _ in range(4)]
+    near = [" ".join(altered(base[0], 2, rnd)) for _ in range(40)]
+    a, b, c, d = (" ".join(x) for x in base)
+    rows = [(10 + i, t) for i, t in enumerate(near)] + [(5, a), (5, a), (60, a.upper()), (61, b), (61, c), (None, c + " end"), (None, d), (70, None), (71, ""), (72, " "), (80, "one two"), (81, "two one"), (82, "One  two")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __id string").repartition(5)
+    kept = simhash.keep_one_of_alike(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (5, a), (61, b), (61, c), (None, d), (70, None), (80, "one two"), (81, "two one")], key=str)
+    assert simhash.keep_one_of_alike(df.limit(0)).count() == 0
+
+
+def test_wide_links_of_hot_buckets(spark):
+    """A bucket in chunks gives the components of all pairs that pass both tests; equal short fingerprints occur."""
+    rnd = random.Random(9)
+    wide = [rnd.getrandbits(1024) for _ in range(3)]
+    rows = [(i, 12345 ^ sum(1 << rnd.randrange(60) for _ in range(i % 3)), wide[i % 3] ^ sum(1 << k for k in rnd.sample(range(1024), 60 + 40 * (i % 2)))) for i in range(300)]
+    df = spark.createDataFrame([(i, f, w.to_bytes(128)) for i, f, w in rows], "node long, fp long, wide binary")
+    want = stars(300, *np.nonzero([[(f ^ g).bit_count() <= 4 and (w ^ x).bit_count() <= 165 for _, g, x in rows] for _, f, w in rows]))
+    for most in (16, 2048):
+        edges = hamming.hamming_edges(df, 4, most=most, wide="wide", far=165).collect()
+        assert (stars(300, np.array([e["a"] for e in edges]), np.array([e["b"] for e in edges])) == want).all()
+
+
 def test_hot_buckets_give_the_same_components(spark):
     rnd = random.Random(3)
     fps = list({rnd.getrandbits(63) if i % 3 else 12345 ^ sum(1 << rnd.randrange(60) for _ in range(3)) for i in range(400)})
@@ -632,6 +705,22 @@ def test_query_matches_sql(spark, name):
     assert compare(spark, catalog.queries()[name], catalog.oracle_sql()[name], "/root/testdata/sf0.001") == ""
 
 
+def by_similarity(d, kept):
+    """Holds the documents kept against the Jaccard similarity of all pairs, five words a shingle."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), x or "").encode().split() for x in d["text"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    ids, n = d["doc_id"].tolist(), len(sets)
+    alike = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    root = stars(n, *np.nonzero(alike >= 0.85))
+    for r in set(root.tolist()):  # at most one of what is surely alike stays
+        assert sum(ids[i] in kept for i in np.flatnonzero(root == r)) <= 1
+    np.fill_diagonal(alike, 0)
+    assert all(ids[i] in kept or alike[i].max() >= 0.7 for i in range(n))
+    loose = stars(n, *np.nonzero(alike >= 0.7))
+    for r in set(loose.tolist()):  # and one of what may be alike
+        assert any(ids[i] in kept for i in np.flatnonzero(loose == r))
+
+
 def test_pipeline(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -643,7 +732,8 @@ def test_pipeline(spark):
         if name == "quality":
             want = quality.quality_verdicts(d).filter("kept").count()
         elif name == "near_dedup":
-            want = simhash.simhash_near_duplicates(d).filter("doc_id = component_id").count()
+            want = kept.count()
+            by_similarity(d.toPandas(), set(kept.toPandas()["doc_id"]))
         else:
             want = d.count()
         assert kept.count() == want, name
