@@ -13,7 +13,7 @@ from shapelake.llm.lines import without_repeated_lines
 from shapelake.llm.mixing import mixed_order
 from shapelake.llm.packing import pack_pieces
 from shapelake.llm.quality import keep_good
-from shapelake.llm.simhash import keep_one_per_group
+from shapelake.llm.simhash import keep_one_of_alike
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays."""
-    return keep_one_per_group(docs)
+    return keep_one_of_alike(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
