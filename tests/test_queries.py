@@ -1,6 +1,7 @@
 """Every query with SQL gives the SQL's rows on the smallest tables; shapes with known answers."""
 
 import math
+import random
 
 import pytest
 
@@ -60,6 +61,28 @@ def test_votes(spark):
     assert [r["item"] for r in groups.contested_items(v).collect()] == [2]
 
 
+def test_lowest_merges(spark):
+    r = random.Random(2)
+    rows = [(i, i + 1, r.choice([0.5, 2.0, 1e-9, r.random(), 1e6 * r.random()])) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, d double")
+    order = sorted(rows, key=lambda x: (x[2], x[0], x[1]))
+    for n, ranges in ((-1, 4), (0, 4), (1, 2), (70, 2), (100, 1024), (299, 8), (300, 8), (500, 8)):
+        assert sorted(map(tuple, cluster.lowest(df, n, ranges).collect())) == sorted(order[: max(0, n)])
+
+
+def test_linkage_of_random_points(spark):
+    r = random.Random(4)
+    points = [(r.random(), r.random()) for _ in range(24)]
+    d = {(i, j): math.dist(points[i], points[j]) for i in range(24) for j in range(i + 1, 24)}
+    groups = [{i} for i in range(24)]
+    while len(groups) > 5:
+        far = lambda g, h: max(d[min(i, j), max(i, j)] for i in g for j in h)
+        g, h = min(((g, h) for k, g in enumerate(groups) for h in groups[k + 1 :]), key=lambda p: far(*p))
+        groups = [x for x in groups if x is not g and x is not h] + [g | h]
+    got = cluster.complete_linkage(spark.createDataFrame([(i, j, x) for (i, j), x in d.items()], "a long, b long, d double"), 5)
+    assert {(x["item"], x["label"]) for x in got.collect()} == {(i, min(g)) for g in groups for i in g}
+
+
 def test_solid_block(spark):
     r = range(1, 6)
     v = spark.createDataFrame([("a", i, j, k, 255) for i in r for j in r for k in r], "image_id string, i int, j int, k int, value int")
