@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import by_sort
+
 
 def face_geometry(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """faces with corners (x0 .. z2), normal (nx, ny, nz; twice the area long), area, centre (cx, cy, cz), and volume6.
@@ -15,7 +17,7 @@ def face_geometry(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """
     corner = F.struct("x", "y", "z")
     maps = vertices.groupBy("mesh_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("vertex_id"), corner))).alias("at"))
-    g = faces.join(maps, "mesh_id")
+    g = faces.join(by_sort(maps), "mesh_id")
     for i in range(3):
         g = g.withColumn(f"p{i}", F.element_at("at", F.col(f"v{i}")))
     return _geometry(g.drop("at"))
@@ -25,7 +27,7 @@ def face_geometry_by_joins(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """The same for meshes whose vertices don't fit one row: three joins by (mesh, vertex)."""
     g = faces
     for i in range(3):
-        g = g.join(vertices.select("mesh_id", F.col("vertex_id").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")), ["mesh_id", f"v{i}"])
+        g = g.join(by_sort(vertices.select("mesh_id", F.col("vertex_id").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}"))), ["mesh_id", f"v{i}"])
     return _geometry(g)
 
 
@@ -54,7 +56,7 @@ def junction_vertices(faces: DataFrame, degree: int = 10) -> DataFrame:
 def junction_faces(geometry: DataFrame) -> DataFrame:
     """geometry with ``junction``: whether the face has a junction vertex."""
     hit = junction_vertices(geometry.select("mesh_id", "v0", "v1", "v2")).groupBy("mesh_id").agg(F.collect_set("vertex_id").alias("hubs"))
-    joined = geometry.join(hit, "mesh_id", "left")
+    joined = geometry.join(by_sort(hit), "mesh_id", "left")
     return joined.withColumn("junction", F.coalesce(F.arrays_overlap("hubs", F.array("v0", "v1", "v2")), F.lit(False))).drop("hubs")
 
 
@@ -69,12 +71,12 @@ def junction_centres(vertices: DataFrame, geometry: DataFrame) -> DataFrame:
     mean = [F.avg(F.when(F.col("junction"), F.col(c))).alias(c) for c in ("cx", "cy", "cz")]
     found = junction_faces(geometry).groupBy("mesh_id").agg(*mean)
     first = vertices.groupBy("mesh_id").agg(F.min_by(F.struct("x", "y", "z"), "vertex_id").alias("f"))
-    return first.join(found, "mesh_id", "left").select("mesh_id", F.coalesce("cx", "f.x").alias("jx"), F.coalesce("cy", "f.y").alias("jy"), F.coalesce("cz", "f.z").alias("jz"))
+    return first.join(by_sort(found), "mesh_id", "left").select("mesh_id", F.coalesce("cx", "f.x").alias("jx"), F.coalesce("cy", "f.y").alias("jy"), F.coalesce("cz", "f.z").alias("jz"))
 
 
 def junction_distances(vertices: DataFrame, geometry: DataFrame) -> DataFrame:
     """(mesh_id, dx, dy, dz, d): each vertex from its mesh's junction centre."""
-    v = vertices.join(junction_centres(vertices, geometry), "mesh_id")
+    v = vertices.join(by_sort(junction_centres(vertices, geometry)), "mesh_id")
     v = v.select("mesh_id", (F.col("x") - F.col("jx")).alias("dx"), (F.col("y") - F.col("jy")).alias("dy"), (F.col("z") - F.col("jz")).alias("dz"))
     return v.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
 
@@ -83,7 +85,7 @@ def lengths(distances: DataFrame) -> DataFrame:
     """(mesh_id, average_distance, length, cvd): length is the mean of the distances from their 0.95 quantile on."""
     cut = distances.groupBy("mesh_id").agg(F.percentile("d", 0.95).alias("cut"))
     tail = F.avg(F.when(F.col("d") >= F.col("cut") - 1e-9, F.col("d")))
-    return distances.join(cut, "mesh_id").groupBy("mesh_id").agg(F.avg("d").alias("average_distance"), tail.alias("length"), (F.stddev_samp("d") / F.avg("d")).alias("cvd"))
+    return distances.join(by_sort(cut), "mesh_id").groupBy("mesh_id").agg(F.avg("d").alias("average_distance"), tail.alias("length"), (F.stddev_samp("d") / F.avg("d")).alias("cvd"))
 
 
 def open_angles(distances: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def mesh_metrics(vertices: DataFrame, faces: DataFrame, names: list[str]) -> Dat
     """One row a mesh with the named metrics' columns; a mesh that a metric can't measure has nulls there."""
     out = vertices.select("mesh_id").distinct()
     for n in names:
-        out = out.join(METRICS[n](vertices, faces), "mesh_id", "left")
+        out = out.join(by_sort(METRICS[n](vertices, faces)), "mesh_id", "left")
     return out
 
 
@@ -147,10 +149,10 @@ def mesh_arrays(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     order = Window.partitionBy("mesh_id").orderBy("vertex_id")
     place = vertices.select("mesh_id", "vertex_id", (F.row_number().over(order) - 1).alias("place"))
     for i in range(3):
-        faces = faces.join(place.select("mesh_id", F.col("vertex_id").alias(f"v{i}"), F.col("place").alias(f"at{i}")), ["mesh_id", f"v{i}"])
+        faces = faces.join(by_sort(place.select("mesh_id", F.col("vertex_id").alias(f"v{i}"), F.col("place").alias(f"at{i}"))), ["mesh_id", f"v{i}"])
     points = vertices.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("vertex_id", "x", "y", "z"))).alias("p"))
     shape = faces.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("face_id", "at0", "at1", "at2"))).alias("t"))
-    return points.join(shape, "mesh_id", "left").select("mesh_id", F.transform("p", lambda e: F.array(e["x"], e["y"], e["z"])).alias("points"), F.coalesce(F.transform("t", lambda e: F.array(e["at0"], e["at1"], e["at2"])), F.array().cast("array<array<int>>")).alias("triangles"))
+    return points.join(by_sort(shape), "mesh_id", "left").select("mesh_id", F.transform("p", lambda e: F.array(e["x"], e["y"], e["z"])).alias("points"), F.coalesce(F.transform("t", lambda e: F.array(e["at0"], e["at1"], e["at2"])), F.array().cast("array<array<int>>")).alias("triangles"))
 
 
 def mesh_tables(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
