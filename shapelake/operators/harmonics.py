@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import once, spread
+from ..functions.columns import by_sort, once, spread
 from ..functions.vectors import dot, to_cartesian
 from ..storage import join_counted, materialize
 from .mesh import bounding_boxes
@@ -119,7 +119,7 @@ def ray_candidates(vertices: DataFrame, faces: DataFrame, directions: DataFrame,
     Without ``e`` a bucket has about 4 of evenly spread directions. Triangles, not meshes, are dealt to the tasks.
     """
     e = e or max(2, round(math.sqrt(directions.count() / 8)))
-    tri = spread(triangles(vertices, faces).join(centres, "mesh_id"), "mesh_id", "face_id")
+    tri = spread(triangles(vertices, faces).join(by_sort(centres), "mesh_id"), "mesh_id", "face_id")
     seen = once(tri, {f"{n}{k}": F.col(f"p{i}.{c}") - F.col(f"o.{c}") for i, n in enumerate("abc") for k, c in enumerate("xyz")})
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     p = [[F.col(f"{n}{k}") for k in range(3)] for n in "abc"]
@@ -149,7 +149,7 @@ def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres:
     near = materialize(near)
     mean = near.groupBy("mesh_id").agg(F.avg("r").alias("mean"), F.count("*").alias("n"))
     lacking = mean.filter(F.col("n") < directions.count()).crossJoin(F.broadcast(directions.select("dir_id")))
-    return near.unionByName(lacking.join(near, ["mesh_id", "dir_id"], "left_anti").select("mesh_id", "dir_id", F.col("mean").alias("r")))
+    return near.unionByName(lacking.join(by_sort(near), ["mesh_id", "dir_id"], "left_anti").select("mesh_id", "dir_id", F.col("mean").alias("r")))
 
 
 def coefficients(vertices: DataFrame, faces: DataFrame, directions: DataFrame, degrees: int = 10, centres: DataFrame | None = None) -> DataFrame:

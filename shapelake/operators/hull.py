@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import spread
+from ..functions.columns import by_sort, spread
 from ..storage import discard, materialize
 from .mesh import face_geometry, volume
 
@@ -58,11 +58,11 @@ def _first(points: DataFrame) -> DataFrame:
     """(mesh_id, a, b, c: points): the faces, facing out, of a tetrahedron of each mesh that has one."""
     far = lambda d: F.max_by("p", F.struct(d, -F.col("p.id")))
     gone = points.groupBy("mesh_id").agg(F.min_by("p", F.struct("p.x", "p.y", "p.z", "p.id")).alias("s0"))
-    now = points.join(gone, "mesh_id")
+    now = points.join(by_sort(gone), "mesh_id")
     two = _sub(_at("p"), _at("s0"))
-    now = now.join(now.groupBy("mesh_id").agg(far(_dot(two, two)).alias("s1")), "mesh_id")
+    now = now.join(by_sort(now.groupBy("mesh_id").agg(far(_dot(two, two)).alias("s1"))), "mesh_id")
     off = _cross(_sub(_at("s1"), _at("s0")), _sub(_at("p"), _at("s0")))
-    now = now.join(now.groupBy("mesh_id").agg(far(_dot(off, off)).alias("s2")), "mesh_id")
+    now = now.join(by_sort(now.groupBy("mesh_id").agg(far(_dot(off, off)).alias("s2"))), "mesh_id")
     high = _dot(_cross(_sub(_at("s1"), _at("s0")), _sub(_at("s2"), _at("s0"))), _sub(_at("p"), _at("s0")))
     four = now.groupBy("mesh_id", "s0", "s1", "s2").agg(far(F.abs(high)).alias("s3"), F.max_by(high, F.struct(F.abs(high), -F.col("p.id"))).alias("high"), F.first("least").alias("least"))
     # a tetrahedron that is only there because points were moved is none
@@ -96,16 +96,16 @@ def convex_hulls(vertices: DataFrame, eyes: int = 8) -> DataFrame:
     v = vertices.select("mesh_id", F.col("vertex_id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna().dropDuplicates(["mesh_id", "id"])
     box = v.groupBy("mesh_id").agg(F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("size")).filter("size > 0")
     moved = [(F.col(c) + F.col("size") * MOVE * (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) / (1 << 19) - 1)).alias(c) for k, c in enumerate("xyz")]
-    points = v.dropDuplicates(["mesh_id", "x", "y", "z"]).join(box, "mesh_id").select("mesh_id", (F.col("size") * LEAST).alias("least"), F.struct("id", *moved).alias("p"))
+    points = v.dropDuplicates(["mesh_id", "x", "y", "z"]).join(by_sort(box), "mesh_id").select("mesh_id", (F.col("size") * LEAST).alias("least"), F.struct("id", *moved).alias("p"))
     points = materialize(points)
     faces = materialize(_with_plane(_first(points)))
-    outside = materialize(_farthest(points.join(faces, "mesh_id")))
+    outside = materialize(_farthest(points.join(by_sort(faces), "mesh_id")))
     discard(points)
     done = []
     while not outside.isEmpty():
         open_ = outside.select("mesh_id").distinct()
-        done.append(materialize(faces.join(open_, "mesh_id", "left_anti").select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True))), tidy=False))
-        faces, outside = _round(faces.join(open_, "mesh_id", "left_semi"), outside, eyes, (faces, outside))
+        done.append(materialize(faces.join(by_sort(open_), "mesh_id", "left_anti").select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True))), tidy=False))
+        faces, outside = _round(faces.join(by_sort(open_), "mesh_id", "left_semi"), outside, eyes, (faces, outside))
     out = faces.select("mesh_id", *(F.col(f"{c}.id").alias(n) for c, n in zip("abc", ("v0", "v1", "v2"), strict=True)))
     for d in done:
         out = out.unionByName(d)
@@ -116,23 +116,23 @@ def _round(faces: DataFrame, outside: DataFrame, eyes: int, old: tuple) -> tuple
     far = outside.groupBy("mesh_id", "face").agg(F.max_by(F.struct("p", "out"), F.struct("out", F.col("p.id"))).alias("e"), F.first("least").alias("least"))
     order = Window.partitionBy("mesh_id").orderBy(F.desc("e.out"), "e.p.id")
     looking = far.select("mesh_id", "least", F.col("e.p").alias("eye"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= eyes)
-    seen = spread(faces, "mesh_id", "face").join(looking, "mesh_id").filter(_outside("eye") > F.col("least")).select("mesh_id", "face", "a", "b", "c", "eye", "rank")
+    seen = spread(faces, "mesh_id", "face").join(by_sort(looking), "mesh_id").filter(_outside("eye") > F.col("least")).select("mesh_id", "face", "a", "b", "c", "eye", "rank")
     sides = _edges(seen, "eye", "rank").select("mesh_id", "face", "rank", "eye", "u", "v", F.col("u.id").alias("i"), F.col("v.id").alias("j"))
     across = _edges(faces).select("mesh_id", F.col("face").alias("next"), F.col("v.id").alias("i"), F.col("u.id").alias("j"))
-    sides = sides.join(across, ["mesh_id", "i", "j"]).persist()
+    sides = sides.join(by_sort(across), ["mesh_id", "i", "j"]).persist()
     # an eye goes in if it is the first to claim every face that it sees or that borders on one
     claims = sides.select("mesh_id", "rank", "face").union(sides.select("mesh_id", "rank", "next")).distinct()
     first = claims.withColumn("first", F.min("rank").over(Window.partitionBy("mesh_id", "face")))
     chosen = first.groupBy("mesh_id", "rank").agg(F.min(F.col("first") == F.col("rank")).alias("in")).filter("in").select("mesh_id", "rank")
-    put = sides.join(chosen, ["mesh_id", "rank"])
+    put = sides.join(by_sort(chosen), ["mesh_id", "rank"])
     gone = put.select("mesh_id", "rank", "face").distinct()
-    border = put.join(gone.select("mesh_id", "rank", F.col("face").alias("next")), ["mesh_id", "rank", "next"], "left_anti")
+    border = put.join(by_sort(gone.select("mesh_id", "rank", F.col("face").alias("next"))), ["mesh_id", "rank", "next"], "left_anti")
     new = (_with_plane(border.select("mesh_id", F.col("u").alias("a"), F.col("v").alias("b"), F.col("eye").alias("c")))).persist()
-    gone = gone.join(put.select("mesh_id", "rank", F.col("eye.id").alias("eye_id")).distinct(), ["mesh_id", "rank"]).select("mesh_id", "face", "eye_id").persist()
-    lost = outside.join(gone, ["mesh_id", "face"]).filter(F.col("p.id") != F.col("eye_id")).select("mesh_id", "least", "p", "eye_id")
-    found = _farthest(lost.join(new.withColumn("eye_id", F.col("c.id")), ["mesh_id", "eye_id"]))
-    outside = materialize(outside.join(gone, ["mesh_id", "face"], "left_anti").unionByName(found), tidy=False)
-    faces = materialize(faces.join(gone, ["mesh_id", "face"], "left_anti").select(*new.columns).unionByName(new), tidy=False)
+    gone = gone.join(by_sort(put.select("mesh_id", "rank", F.col("eye.id").alias("eye_id")).distinct()), ["mesh_id", "rank"]).select("mesh_id", "face", "eye_id").persist()
+    lost = outside.join(by_sort(gone), ["mesh_id", "face"]).filter(F.col("p.id") != F.col("eye_id")).select("mesh_id", "least", "p", "eye_id")
+    found = _farthest(lost.join(by_sort(new.withColumn("eye_id", F.col("c.id"))), ["mesh_id", "eye_id"]))
+    outside = materialize(outside.join(by_sort(gone), ["mesh_id", "face"], "left_anti").unionByName(found), tidy=False)
+    faces = materialize(faces.join(by_sort(gone), ["mesh_id", "face"], "left_anti").select(*new.columns).unionByName(new), tidy=False)
     for t in (sides, new, gone):
         t.unpersist()
     for t in old:
@@ -144,17 +144,17 @@ def hull_volumes(vertices: DataFrame, eyes: int = 8) -> DataFrame:
     """(mesh_id, hull_volume): 0 for a mesh that has no hull."""
     hulls = convex_hulls(vertices, eyes)
     for i in range(3):
-        hulls = hulls.join(vertices.select("mesh_id", F.col("vertex_id").cast("long").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")).dropDuplicates(["mesh_id", f"v{i}"]), ["mesh_id", f"v{i}"])
+        hulls = hulls.join(by_sort(vertices.select("mesh_id", F.col("vertex_id").cast("long").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")).dropDuplicates(["mesh_id", f"v{i}"])), ["mesh_id", f"v{i}"])
     # from a point of the hull, so that small meshes far from the origin keep their digits
     first = Window.partitionBy("mesh_id")
     hulls = hulls.withColumn("o", F.min(F.struct("v0", "p0")).over(first)["p0"])
     corner = [_sub(_at(f"p{i}"), _at("o")) for i in range(3)]
     found = hulls.groupBy("mesh_id").agg((F.sum(_dot(corner[0], _cross(corner[1], corner[2]))) / 6).alias("hull_volume"))
-    return vertices.select("mesh_id").distinct().join(found, "mesh_id", "left").fillna(0.0, ["hull_volume"])
+    return vertices.select("mesh_id").distinct().join(by_sort(found), "mesh_id", "left").fillna(0.0, ["hull_volume"])
 
 
 def hull_ratios(vertices: DataFrame, faces: DataFrame, eyes: int = 8) -> DataFrame:
     """(mesh_id, hull_volume, hull_ratio): the convex hull's volume and how much larger it is than the mesh's, in the mesh's
     volumes; null for a mesh without volume."""
-    both = hull_volumes(vertices, eyes).join(volume(face_geometry(vertices, faces)), "mesh_id")
+    both = hull_volumes(vertices, eyes).join(by_sort(volume(face_geometry(vertices, faces))), "mesh_id")
     return both.select("mesh_id", "hull_volume", F.try_divide(F.col("hull_volume") - F.col("volume"), F.col("volume")).alias("hull_ratio"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import by_sort
 from ..functions.vectors import rotation
 from .graph import connected_components
 from .mesh import face_geometry, hull_volume, junction_faces, volume
@@ -35,7 +36,7 @@ def sphere(spark: SparkSession, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
 def hull_ratios(vertices: DataFrame, faces: DataFrame, rounds: int = 3) -> DataFrame:
     """(mesh_id, hull_volume, hull_ratio): the directional hull and how much larger it is than the mesh, in the mesh's volumes."""
     hull = hull_volume(vertices, *sphere(vertices.sparkSession, rounds))
-    both = hull.join(volume(face_geometry(vertices, faces)), "mesh_id")
+    both = hull.join(by_sort(volume(face_geometry(vertices, faces))), "mesh_id")
     return both.select("mesh_id", "hull_volume", ((F.col("hull_volume") - F.col("volume")) / F.when(F.col("volume") != 0, F.col("volume"))).alias("hull_ratio"))
 
 
@@ -58,7 +59,7 @@ def oriented(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     flat = flat.select("mesh_id", (F.lit(np.pi / 2) - F.atan2(2 * F.col("xz"), "spread") / 2).alias("wide"))
     mean = Window.partitionBy("mesh_id")
     v = vertices.select("mesh_id", "vertex_id", "x", "y", "z", *(F.avg(c).over(mean).alias(f"m{c}") for c in "xyz"))
-    v = v.join(n, "mesh_id", "left").join(flat, "mesh_id")
+    v = v.join(by_sort(n), "mesh_id", "left").join(by_sort(flat), "mesh_id")
     at = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
     v = v.select("*", *(e.alias(f"t{c}") for e, c in zip(_turn(at, F.col("tilt"), (F.col("ux"), F.lit(0.0), F.col("uz"))), "xyz", strict=True)))
     end = _turn([F.col(f"t{c}") for c in "xyz"], F.col("wide"), (0.0, -1.0, 0.0))
@@ -72,16 +73,16 @@ def closed(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     side = F.explode(F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0")))))
     sides = faces.select("mesh_id", side.alias("s")).select("mesh_id", "s.a", "s.b")
-    border = sides.join(sides.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b")), ["mesh_id", "a", "b"], "left_anti")
+    border = sides.join(by_sort(sides.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))), ["mesh_id", "a", "b"], "left_anti")
     node = lambda c: F.struct("mesh_id", F.col(c).alias("v"))
     roots = connected_components(border.select(node("a").alias("x"), node("b").alias("y")), "x", "y")
-    loop = border.withColumn("node", node("a")).join(roots, "node", "left").select("mesh_id", "a", "b", F.coalesce("root.v", "a").alias("hole"))
+    loop = border.withColumn("node", node("a")).join(by_sort(roots), "node", "left").select("mesh_id", "a", "b", F.coalesce("root.v", "a").alias("hole"))
     last = vertices.groupBy("mesh_id").agg(F.max("vertex_id").alias("last"))
-    at = loop.join(vertices.withColumnRenamed("vertex_id", "a"), ["mesh_id", "a"]).groupBy("mesh_id", "hole").agg(*(F.avg(c).alias(c) for c in "xyz")).join(last, "mesh_id")
+    at = loop.join(by_sort(vertices.withColumnRenamed("vertex_id", "a")), ["mesh_id", "a"]).groupBy("mesh_id", "hole").agg(*(F.avg(c).alias(c) for c in "xyz")).join(by_sort(last), "mesh_id")
     number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("hole"))
     at = at.select("mesh_id", "hole", (F.col("last") + number).alias("vertex_id"), "x", "y", "z")
     top = faces.groupBy("mesh_id").agg(F.max("face_id").alias("top"))
     order = F.row_number().over(Window.partitionBy("mesh_id").orderBy("hole", "a", "b"))
-    fan = loop.join(at.select("mesh_id", "hole", "vertex_id"), ["mesh_id", "hole"]).join(top, "mesh_id")
+    fan = loop.join(by_sort(at.select("mesh_id", "hole", "vertex_id")), ["mesh_id", "hole"]).join(by_sort(top), "mesh_id")
     fan = fan.select("mesh_id", (F.col("top") + order).alias("face_id"), F.col("b").alias("v0"), F.col("a").alias("v1"), F.col("vertex_id").alias("v2"))
     return vertices.select("mesh_id", "vertex_id", "x", "y", "z").union(at.select("mesh_id", "vertex_id", "x", "y", "z")), faces.select("mesh_id", "face_id", "v0", "v1", "v2").union(fan)

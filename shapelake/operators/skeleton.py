@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import by_sort
 from ..functions.vectors import point_key
 from .graph import polyline_segments
 
@@ -71,9 +72,9 @@ def segment_by_distance(surface: DataFrame, path: DataFrame, sensitivity: float
     node). A mesh without backbone is all segment.
     """
     on = path.select("mesh_id", "node").distinct().withColumn("on", F.lit(True))
-    s = surface.select("mesh_id", "vertex_id", "node", "d").join(on, ["mesh_id", "node"], "left")
+    s = surface.select("mesh_id", "vertex_id", "node", "d").join(by_sort(on), ["mesh_id", "node"], "left")
     cut = s.filter("on").groupBy("mesh_id").agg(F.percentile("d", sensitivity).alias("cut"))
-    return s.join(cut, "mesh_id", "left").filter(F.col("on").isNull() | (F.col("d") > F.col("cut"))).select("mesh_id", "vertex_id")
+    return s.join(by_sort(cut), "mesh_id", "left").filter(F.col("on").isNull() | (F.col("d") > F.col("cut"))).select("mesh_id", "vertex_id")
 
 
 def points_of(vertices: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def vertex_groups(vertices: DataFrame, parts: DataFrame) -> DataFrame:
     """vertices with the smallest ``label`` of the parts (x, y, z, label) that hold the same rounded point, else null."""
     at = point_key(F.col("x"), F.col("y"), F.col("z"))
     first = parts.groupBy(at.alias("__p")).agg(F.min("label").alias("label"))
-    return vertices.withColumn("__p", at).join(first, "__p", "left").drop("__p")
+    return vertices.withColumn("__p", at).join(by_sort(first), "__p", "left").drop("__p")
 
 
 def interior_centres(vertices: DataFrame, segments: DataFrame | None = None) -> DataFrame:
@@ -95,11 +96,11 @@ def interior_centres(vertices: DataFrame, segments: DataFrame | None = None) ->
     own = box.select("mesh_id", *(F.col(f"c{c}").alias(c) for c in "xyz"))
     if segments is None:
         return own
-    s = segments.join(box, "mesh_id")
+    s = segments.join(by_sort(box), "mesh_id")
     along = {c: F.col(f"{c}1") - F.col(c) for c in "xyz"}
     square = sum((d * d for d in along.values()), F.lit(0.0))
     t = sum(((F.col(f"c{c}") - F.col(c)) * along[c] for c in "xyz"), F.lit(0.0)) / square
     foot = s.filter(square > 0).select("mesh_id", *(f"c{c}" for c in "xyz"), *((F.col(c) + t * along[c]).alias(c) for c in "xyz"))
     far = sum((F.pow(F.col(c) - F.col(f"c{c}"), 2) for c in "xyz"), F.lit(0.0))
     near = foot.groupBy("mesh_id").agg(F.min_by(F.struct(*"xyz"), F.struct(far, *"xyz")).alias("f"))
-    return own.join(near, "mesh_id", "left").select("mesh_id", *(F.coalesce(f"f.{c}", c).alias(c) for c in "xyz"))
+    return own.join(by_sort(near), "mesh_id", "left").select("mesh_id", *(F.coalesce(f"f.{c}", c).alias(c) for c in "xyz"))
