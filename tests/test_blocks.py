@@ -48,3 +48,44 @@ def test_few(spark, items):
         assert blocks.kth_neighbours(few, "item", "x", 3).count() == 0
         assert blocks.silhouette(few, "item", "x", "label").count() == 0
     assert blocks.silhouette(items.select("item", F.lit("a").alias("label"), "x"), "item", "x", "label").filter("s <> 0").count() == 0
+
+
+def test_zeros_have_one_sign(spark, tmp_path):
+    """Histograms that differ by a last digit: whether their kl rounds to 0 or to -0 was left to the order of a sum."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from shapelake import catalog
+
+    base = np.random.default_rng(3).normal(size=(4, 64)).astype("float32")
+    x = np.repeat(base, 40, axis=0)
+    for i in range(len(x)):
+        x[i, i % 40] = np.nextafter(x[i, i % 40], np.float32(9))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.zeros(len(x), "int32")}), tmp_path / "embeddings.parquet")
+    got = {(r["a"], r["b"]): str(r["d"]) for r in catalog.queries()["dist_kl"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert got == {(a, b): str(d) for a, b, d in c.sql(catalog.oracle_sql()["dist_kl"]).fetchall()}
+    assert "0.0" in got.values() and "-0.0" not in got.values()
+
+
+def test_near_vectors_by_table(spark):
+    """Distances of which a part is worked out once a vector, where rounding would show: equal and nearly equal histograms."""
+    rows = [(0, [0.5, 0.25, 0.25, 0.0]), (1, [0.5, 0.25, 0.25, 0.0]), (2, [0.5, 0.25 + 1e-9, 0.25 - 1e-9, 0.0]), (3, [0.0, 0.25, 0.25, 0.5])]
+    some = spark.createDataFrame(rows, "item long, x array<double>")
+    for name in blocks.TABLES:
+        want = {(r["a"], r["b"]): r["d"] for r in pairs.pair_table(some, "item", "x", V.DISTANCES[name]).collect()}
+        got = {(r["a"], r["b"]): r["d"] for r in blocks.block_pairs(some, "item", "x", name, blocks=2).collect()}
+        assert got == pytest.approx(want, abs=1e-9), name
+
+
+def test_kernel_kmeans_keeps_no_pairs(spark, items):
+    from shapelake.operators import cluster
+
+    f = items.filter("x is not null").select("item", F.coalesce("label", F.lit("z")).alias("label"), "x")
+    half = pairs.pair_table(f, "item", "x", V.gaussian).withColumnRenamed("d", "k")
+    kernel = half.union(half.select("b", "a", "k")).union(f.select("item", "item", F.lit(1.0)))
+    want = {tuple(r) for r in cluster.kernel_kmeans(kernel, f.select("item", "label"), rounds=3).collect()}
+    assert {tuple(r) for r in blocks.kernel_kmeans(f, "item", "x", "label", rounds=3).collect()} == want
