@@ -89,3 +89,64 @@ def test_kernel_kmeans_keeps_no_pairs(spark, items):
     kernel = half.union(half.select("b", "a", "k")).union(f.select("item", "item", F.lit(1.0)))
     want = {tuple(r) for r in cluster.kernel_kmeans(kernel, f.select("item", "label"), rounds=3).collect()}
     assert {tuple(r) for r in blocks.kernel_kmeans(f, "item", "x", "label", rounds=3).collect()} == want
+
+
+def test_copies_of_an_item_are_bounded():
+    """What is sent to cells grows as the items do from 32,768 items to 1,048,576; it grew as their square."""
+    assert {blocks._blocks(n) for n in (40_000, 102_560, 615_000, 1 << 20)} == {blocks.BLOCKS}
+    assert blocks._blocks(10) == 8 and blocks._blocks(1 << 22) == 128
+
+
+def test_far_from_the_origin(spark):
+    """Products alone would lose these distances, and equal vectors must tie exactly, in blocks of different sizes."""
+    rows = [(i, "ab"[i % 2], [1e6 + (i * k % 11) * 1e-3 for k in (1, 2, 3, 4, 5)]) for i in range(1, 40)]
+    rows += [(100 + i, "a", rows[i][2]) for i in range(0, 39, 3)]
+    far = spark.createDataFrame(rows, "item long, label string, x array<double>")
+    p = pairs.pair_table(far, "item", "x", V.euclidean, blocks=2)
+    want = {r["item"]: tuple(r) for r in pairs.nearest_and_farthest(p).collect()}
+    got = {r["item"]: tuple(r) for r in blocks.nearest_and_farthest(far, "item", "x", blocks=3).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(got[k][i] == pytest.approx(want[k][i], abs=1e-12) for k in want for i in (2, 4))
+    want = {r["item"]: r["kth"] for r in pairs.knn_elbow(p, 4).collect()}
+    assert {r["item"]: r["kth"] for r in blocks.kth_neighbours(far, "item", "x", 4, blocks=3).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_strips_fold_in_the_cell(spark, items, monkeypatch):
+    """A strip of two rows at a time: what is kept of the other block is folded over all of them."""
+    monkeypatch.setattr(blocks, "ROWS", 2)
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.table({"k": [r[0] for r in ROWS], "x": [np.array(r[2]).tobytes() for r in ROWS]})
+    side = blocks.Side(table)
+    assert np.concatenate([d for _, d in blocks._strips(side, side, "l2")]) == pytest.approx(np.sqrt(((side.x[:, None] - side.x) ** 2).sum(axis=2)))
+
+
+def test_rounded_as_spark(spark):
+    import numpy as np
+
+    x = [0.00005, 0.00015, 0.12345, 1.00005, 2.5e-5, -0.00004, 0.0, 1e13 + 0.12, float("inf"), float("nan"), 3.00025, 123456.78905, 1e30]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 4) + 0.0).collect()]
+    assert [str(v) for v in blocks.rounded(np.array(x), 4).tolist()] == [str(v) for v in want]
+
+
+def test_sql_distances_by_cells(spark, tmp_path):
+    """Distances within classes of different sizes, one of them a single item, one null."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from shapelake import catalog
+
+    x = np.random.default_rng(5).normal(size=(90, 64)).astype("float32")
+    x[7] = x[8]
+    label = pa.array([None if i % 11 == 0 else 9 if i == 89 else i % 3 for i in range(90)], pa.int32())
+    pq.write_table(pa.table({"vec_id": np.arange(90), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": label}), tmp_path / "embeddings.parquet")
+    for name in ("events", "lineitem", "part"):  # views that the statement leaves alone
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    found = catalog.queries()["sql_distances"](spark, str(tmp_path))
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "shape_l2" not in found._jdf.queryExecution().toString()
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(c.sql(catalog.oracle_sql()["sql_distances"]).fetchall())
