@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, stars
 from ..storage import discard, materialize, scratch_dir
 
 __all__ = ["binary_values", "connected_components", "discard", "free_name", "map_arrow", "materialize", "pieces", "runs", "scratch_dir", "ship", "stars"]
@@ -66,19 +66,6 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         at = end
 
 
-def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over the edges (i, j)."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        open_ = a != b
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(up := root[root], root):
-            root = up
-    return root
-
-
 def runs(batches, keys: list[str], most: int):
     """Cut batches sorted by ``keys`` into blocks of whole runs of equal keys.
 

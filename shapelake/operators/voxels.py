@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from ..storage import materialize
+from .graph import connected_components, stars
 
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
@@ -81,19 +84,48 @@ def spaced(points: DataFrame, density: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({c: F.col(a) * float(d) for c, a, d in zip("xyz", "ijk", density, strict=True)})
 
 
-def voxel_components(voxels: DataFrame, least: int = 10) -> DataFrame:
-    """(image_id, i, j, k, part): components of filled voxels over faces with at least ``least`` voxels."""
+def _blocks_labelled(rows: pa.Table) -> pa.Table:
+    """One block of an image: each voxel with ``first``, the smallest voxel that the block's own faces link it to."""
+    i, j, k = (rows.column(c).to_numpy().astype(np.int64) for c in "ijk")
+    order = np.lexsort((k, j, i))
+    rows, (i, j, k) = rows.take(pa.array(order)), (x[order] for x in (i, j, k))
+    deep, wide = k.max() - k.min() + 2, j.max() - j.min() + 2  # one more than there are, so that no row meets the next
+    place = ((i - i.min()) * wide + (j - j.min())) * deep + (k - k.min())
+    ends = []
+    for step in (0, 1, deep, wide * deep):  # 0: a voxel given twice
+        at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        here = np.flatnonzero(place[at] == place + step)
+        ends.append((here, at[here]))
+    root = pa.array(stars(len(place), *(np.concatenate(x) for x in zip(*ends, strict=True))))
+    for c in "ijk":
+        rows = rows.append_column(f"first_{c}", rows.column(c).take(root))
+    return rows.drop_columns(["bi", "bj", "bk"])
+
+
+def voxel_components(voxels: DataFrame, least: int = 10, block: int = 64) -> DataFrame:
+    """(image_id, i, j, k, part): components of filled voxels over faces with at least ``least`` voxels.
+
+    An image is cut into blocks of ``block``^3, whose voxels are joined within a task; only parts of blocks that touch each
+    other's faces are linked by rounds of joins. An image that fits a block needs none.
+    """
     filled = voxels.filter("value > 0").select("image_id", "i", "j", "k")
-    me = F.struct("image_id", "i", "j", "k")
+    cut = filled.withColumns({f"b{c}": F.floor(F.col(c) / block) for c in "ijk"})
+    firsts = [f"first_{c}" for c in "ijk"]
+    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in filled.schema), *(f"first_{c} {filled.schema[c].dataType.simpleString()}" for c in "ijk")])
+    local = materialize(cut.groupBy("image_id", "bi", "bj", "bk").applyInArrow(_blocks_labelled, kind))
+    me = F.struct("image_id", *(F.col(f).alias(c) for f, c in zip(firsts, "ijk", strict=True)))
     links = None
-    for a, b, c in FACES[::2]:
-        next_ = filled.select("image_id", (F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), (F.col("k") - c).alias("k"))
-        e = filled.join(next_, ["image_id", "i", "j", "k"], "left_semi").select(me.alias("x"), F.struct("image_id", (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), (F.col("k") + c).alias("k")).alias("y"))
+    for axis in "ijk":
+        at = F.pmod(axis, F.lit(block))
+        low = local.filter(at == block - 1).select("image_id", *((F.col(c) + int(c == axis)).alias(c) for c in "ijk"), me.alias("x"))
+        high = local.filter(at == 0).select("image_id", "i", "j", "k", me.alias("y"))
+        e = low.join(high, ["image_id", "i", "j", "k"]).select("x", "y")
         links = e if links is None else links.union(e)
-    roots = connected_components(links, "x", "y")
-    parts = filled.select(me.alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+    parts = local.select("image_id", "i", "j", "k", me.alias("first"))
+    roots = connected_components(links, "x", "y").select(F.col("node").alias("first"), "root")
+    parts = parts.join(roots, "first", "left").withColumn("part", F.coalesce("root", "first"))
     large = parts.groupBy("part").count().filter(F.col("count") >= least).select("part", F.col("count").alias("size"))
-    return parts.join(large, "part").select("node.*", F.col("part.i").alias("part_i"), F.col("part.j").alias("part_j"), F.col("part.k").alias("part_k"), "size")
+    return parts.join(large, "part").select("image_id", "i", "j", "k", F.col("part.i").alias("part_i"), F.col("part.j").alias("part_j"), F.col("part.k").alias("part_k"), "size")
 
 
 def to_bytes(voxels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapelake.operators import grid, harmonics, hull, rays, views
+from shapelake.operators import grid, harmonics, hull, rays, views, voxels
 
 from .test_queries import cube
 
@@ -184,3 +184,28 @@ def test_light_field_of_parts(spark):
         mask = largest(mask_by_hand(tri, 64)).ravel()[inside]
         want = values[mask].sum(axis=0).conj() / mask.sum() * scale
         assert np.allclose([complex(x["re"], x["im"]) for x in got], want)
+
+
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_components_over_blocks(spark, block):
+    """Snakes through several blocks, negative coordinates, two images: as by joins of all neighbours."""
+    from shapelake.operators.graph import connected_components
+
+    filled = [(m, i, j, k) for m in (1, 2) for i in range(-3, 5) for j in range(-2, 6) for k in range(3) if (i * 7 + j * 5 + k * 3 + m) % 4 < 2]
+    v = spark.createDataFrame([(*p, 9) for p in filled] + [(1, 20, 20, 20, 0)], "image_id int, i int, j int, k int, value int")
+    pairs = [(p, (p[0], p[1] + a, p[2] + b, p[3] + c)) for p in filled for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
+    edges = spark.createDataFrame([e for e in pairs if e[1] in set(filled)], "a struct<m int, i int, j int, k int>, b struct<m int, i int, j int, k int>")
+    root = {tuple(r["node"]): tuple(r["root"]) for r in connected_components(edges).collect()}
+    root = {p: root.get(p, p) for p in filled}
+    size = {r: list(root.values()).count(r) for r in root.values()}
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in voxels.voxel_components(v, least=2, block=block).collect()}
+    assert got == {p: (*r[1:], size[r]) for p, r in root.items() if size[r] >= 2} and len({g[:3] for g in got.values()}) > 1
+
+
+def test_components_of_small_images_need_no_joins(spark, monkeypatch):
+    """Links between voxels of one block don't reach the rounds of joins."""
+    seen = []
+    real = voxels.connected_components
+    monkeypatch.setattr(voxels, "connected_components", lambda e, *n: (seen.append(e.count()), real(e, *n))[1])
+    v = spark.createDataFrame([(1, i, j, 0, 1) for i in range(5) for j in range(5)], "image_id int, i int, j int, k int, value int")
+    assert {r["size"] for r in voxels.voxel_components(v).collect()} == {25} and seen == [0]
