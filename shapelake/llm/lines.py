@@ -126,35 +126,34 @@ def may_be_alike(n: np.ndarray, bits: np.ndarray, begin: np.ndarray, similarity:
     return test
 
 
-def common_words(docs: DataFrame, text_col: str, sample: int = 20_000, most: int = 1 << 16) -> np.ndarray:
-    """Hashes of the commonest words of about ``sample`` texts, rarest first. They only set an order: none is left out."""
-    stride = max(1, docs.count() // sample)
+#: Words are counted in slots by the upper bits of their hashes.
+SLOTS = 1 << 20
+
+
+def common_words(docs: DataFrame, text_col: str, most: int = 1 << 16) -> np.ndarray:
+    """The slots with the most words of all texts, rarest first. They only set an order: no word is left out."""
 
     def count(batches):
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
-                x, n = np.unique(folded_words(*text_bytes(part.column("text")))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], ["x", "n"])
+                x = folded_words(*text_bytes(part.column("text")))[0]
+                total += np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(total)
+        for at in range(0, len(slots), 1 << 16):
+            some = slots[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    taken = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(stride)) == 0)
-    rows = map_arrow(taken, count, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "x").limit(most).collect()
-    return np.array([r["x"] for r in reversed(rows)], np.int64).view(np.uint64)
+    found = map_arrow(docs.select(F.col(text_col).alias("text")), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = found.filter("n > 1").orderBy(F.desc("n"), "slot").limit(most).collect()
+    return np.array([r["slot"] for r in reversed(rows)], np.int64)
 
 
 def word_order(common: np.ndarray):
-    """A function of word hashes: 44 bits by which words are ordered, unknown ones first, then the common by rank.
-
-    Of common words that share a place in the table the commonest is known.
-    """
-    known, rank = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.uint64)
-    known[common >> np.uint64(44)] = common
-    rank[common >> np.uint64(44)] = np.arange(1, len(common) + 1, dtype=np.uint64) << np.uint64(27)
-
-    def order(x: np.ndarray) -> np.ndarray:
-        at = x >> np.uint64(44)
-        return x >> np.uint64(37) | np.where(known[at] == x, rank[at], np.uint64(0))
-
-    return order
+    """A function of word hashes: 44 bits by which words are ordered, those of other slots first, then the common by rank."""
+    rank = np.zeros(SLOTS, np.uint64)
+    rank[common] = np.arange(1, len(common) + 1, dtype=np.uint64) << np.uint64(27)
+    return lambda x: x >> np.uint64(37) | rank[(x >> np.uint64(44)).astype(np.int64)]
 
 
 def line_signatures(x: np.ndarray, line: np.ndarray, n: np.ndarray, order, similarity: float):

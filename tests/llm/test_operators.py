@@ -742,3 +742,21 @@ def test_pipeline(spark):
     place = mixing.mix_sources(d).toPandas().set_index("doc_id")["position"]
     order = pieces[pieces["start"] == 0].sort_values(["sequence_id", "offset"])["doc_id"].map(place)
     assert order.is_monotonic_increasing and len(order) == d.count()
+
+
+def test_common_words_are_counted_in_all_texts(spark):
+    """Of 40,000 texts no half is left out: every word that two of them share is known."""
+    import numpy as np
+    import pyarrow as pa
+
+    from shapelake.llm import lines
+    from shapelake.llm.hashed import folded_words, text_bytes
+
+    texts = [f"Pair{i // 2} all" for i in range(40_000)]
+    docs = spark.createDataFrame(enumerate([*texts, None]), "doc_id long, text string").repartition(3)
+    slots = folded_words(*text_bytes(pa.array(texts)))[0] >> np.uint64(44)
+    which, n = np.unique(slots, return_counts=True)
+    found = lines.common_words(docs, "text")
+    assert set(found.tolist()) == set(which[n > 1].tolist()) and found[-1] == which[n.argmax()]
+    order = lines.word_order(found)(folded_words(*text_bytes(pa.array(["pair7 all"])))[0])
+    assert order[0] < order[1]
