@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, connected_components, map_arrow, materialize, pieces, runs, stars
+from ..functions.columns import by_sort
+from .common import binary_values, connected_components, discard, map_arrow, materialize, pieces, runs, stars
 from .hashed import folded_words, mixed, powers, text_bytes
-from .substring import BASES, word_hashes
+from .substring import BASES
 
 
 def normalised(line: bytes) -> list[bytes]:
@@ -126,8 +127,8 @@ def may_be_alike(n: np.ndarray, bits: np.ndarray, begin: np.ndarray, similarity:
     return test
 
 
-#: Words are counted in slots by the upper bits of their hashes.
-SLOTS = 1 << 20
+#: Words are counted in slots by the upper bits of their hashes; a task hands on its counts so many slots a row.
+SLOTS, SPAN = 1 << 20, 1 << 12
 
 
 def common_words(docs: DataFrame, text_col: str, most: int = 1 << 16) -> np.ndarray:
@@ -139,13 +140,21 @@ def common_words(docs: DataFrame, text_col: str, most: int = 1 << 16) -> np.ndar
             for part in pieces(batch, "text"):
                 x = folded_words(*text_bytes(part.column("text")))[0]
                 total += np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-        slots = np.flatnonzero(total)
-        for at in range(0, len(slots), 1 << 16):
-            some = slots[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+        spans = total.reshape(-1, SPAN)
+        at = np.flatnonzero(spans.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([spans[i].tobytes() for i in at], pa.binary())], ["span", "counts"])
 
-    found = map_arrow(docs.select(F.col(text_col).alias("text")), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = found.filter("n > 1").orderBy(F.desc("n"), "slot").limit(most).collect()
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("span").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(counts, np.int64)
+        for i, n in total.items():
+            at = np.flatnonzero(n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(i * SPAN + at), pa.array(n[at])], ["slot", "n"])
+
+    spans = map_arrow(docs.select(F.col(text_col).alias("text")), count, "span long, counts binary")
+    rows = map_arrow(spans.repartition("span"), add, "slot long, n long").orderBy(F.desc("n"), "slot").limit(most).collect()
     return np.array([r["slot"] for r in reversed(rows)], np.int64)
 
 
@@ -250,7 +259,12 @@ def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int =
     columns = ["key", "n", "bits"]
 
     def meet(batches):
-        for table, starts, at in runs(batches, ["key"], most):
+        def keyed():
+            for batch in batches:
+                place = batch.column("place").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array((place >> 32).astype(np.int32)), pa.array((place & 0x7FFFFFFF).astype(np.int32)), batch.column("h"), batch.column("bits")], ["key", "n", "h", "bits"])
+
+        for table, starts, at in runs(keyed(), ["key"], most):
             if at is None:
                 a, b = stars_of(table, starts)
                 yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(a), table.schema.field(c).type) for c in columns), pa.nulls(len(a), pa.int64())], ["a", "b", *columns, "chunk"])
@@ -266,7 +280,8 @@ def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int =
     found = []
     for turn in range(passes):  # so that only a share of the rows dealt out is on disk at once
         dealt = distinct.select(F.explode("keys").alias("key"), "h", "n", "bits").filter(F.pmod("key", F.lit(passes)) == turn)
-        found.append(materialize(map_arrow(dealt.repartition("key").sortWithinPartitions("key", "n"), meet, kind)))
+        dealt = dealt.select(F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"), "h", "bits")  # sorted as one number
+        found.append(materialize(map_arrow(dealt.repartition(F.shiftright("place", 32)).sortWithinPartitions("place"), meet, kind)))
     met = functools.reduce(DataFrame.union, found)
     edges = met.filter("b is not null").select("a", "b")
     heavy = met.filter("b is null").select("key", F.col("a").alias("h"), "n", "bits", "chunk")
@@ -278,13 +293,34 @@ def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int =
     return edges.union(map_arrow(cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n"), cells, "a long, b long"))
 
 
+#: A set of marks is at most so many rows of 64 bits.
+MARKS = 1 << 20
+
+
+def of_texts(docs: DataFrame, id_col: str, mark_col: str, found: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined, "inner" or "left", with the other columns of ``found``, which has a row a text: __id, __hash.
+
+    Only rows whose mark may be in ``found`` are shuffled. Those are told by bits, of which MARKS rows at most are broadcast
+    whatever the number of texts; where two marks share a bit, a row is shuffled for nothing.
+    """
+    word = lambda mark: F.shiftrightunsigned(mark, 6).bitwiseAND(F.lit(MARKS - 1))
+    bits = found.groupBy(word("__hash").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__hash & 63 as int)))").alias("__bits"))
+    told = docs.join(F.broadcast(bits), word(mark_col) == F.col("__word"), "left")
+    may = F.expr(f"coalesce(shiftrightunsigned(__bits, cast(`{mark_col}` & 63 as int)) & 1, 0) = 1")
+    more = [c for c in found.columns if c not in ("__id", "__hash")]
+    joined = told.filter(may).join(by_sort(found), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark_col) == F.col("__hash")), how).select(*docs.columns, *more)
+    if how == "inner":
+        return joined
+    return joined.union(told.filter(~may).select(*docs.columns, *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more)))
+
+
 def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity: float, most: int) -> DataFrame:
     """(a, a2, b, b2): links between alike lines by both hashes. ``firsts``: h, h2, id, mark, line; ``loose``: node, root."""
     columns = ("line", "g", "h", "h2", "chunks", "chunk")
     grouped = firsts.join(loose, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("g"), "h", "h2", "id", "mark", "line")
     sizes = grouped.groupBy("g").count().filter("count > 1")
     cells = grouped.join(sizes, "g").withColumn("chunks", F.ceil(F.col("count") / most)).withColumn("chunk", F.pmod("h", "chunks"))
-    per_text = cells.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct(*columns)).alias("wanted"))  # of one text
+    per_text = materialize(cells.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__hash")).agg(F.collect_list(F.struct(*columns)).alias("wanted")))  # of one text
 
     def fetch(batches):
         for batch in batches:
@@ -302,12 +338,13 @@ def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity:
         for table, starts, _ in runs(batches, ["g", "lo", "hi"], 4 * most):
             chunk, h, h2 = (table.column(c).to_numpy() for c in ("chunk", "h", "h2"))
             whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
-            words = [t.split() for t in table.column("words").to_pylist()]
-            n = np.array([len(w) for w in words])
+            data, ends = text_bytes(table.column("words").combine_chunks())
+            x, at = folded_words(data, ends)
+            line = np.searchsorted(ends, at, side="right") - 1
+            n = np.bincount(line, minlength=table.num_rows)
             begin = np.cumsum(n) - n
-            x = word_hashes([w for line in words for w in line])
-            line = np.repeat(np.arange(len(n)), n)
-            bits, size = parities(numbered(x[np.lexsort((x, line))], line), begin, n)
+            sorted_ = np.sort(line.astype(np.uint64) << np.uint64(44) | x >> np.uint64(20)) & np.uint64((1 << 44) - 1)
+            bits, size = parities(numbered(sorted_, line), begin, n)
             test = may_be_alike(n, bits, np.cumsum(size) - size, similarity)
             up, left, right = list(range(len(n))), [], []
 
@@ -349,46 +386,58 @@ def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[i], h2[i], h[j], h2[j])], ["a", "a2", "b", "b2"])
 
     kind = "g long, h long, h2 long, chunks long, chunk long, words binary"
-    texts = map_arrow(docs.join(per_text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("text", "wanted"), fetch, kind)
+    texts = map_arrow(of_texts(docs, "id", "mark", per_text, "inner").select("text", "wanted"), fetch, kind)
     texts = texts.dropDuplicates(["h", "h2"])  # rows that share id and text
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("g", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "h", "h2", "words")
     return map_arrow(dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi"), link, "a long, a2 long, b long, b2 long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, most: int = 1024, cell: int = 256) -> DataFrame:
-    """One row per input row: id, mark (hash of the text as read), n_lines, n_removed, text (without the lines removed).
-
-    Lines (split at newlines) of ``min_words`` words or more are alike if the word edit similarity of
-    their normalised forms is ``similarity`` (above 0) or more; of each group that likeness connects, the occurrence
-    with the smallest (id, line number) stays. Shorter lines stay. A null text stays null with no lines.
-    Null ids come first in that order. Rows that share id and text are one document, each returned with the same
-    result. No rows give none. A text that loses all its lines becomes empty.
-    """
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    some = source.filter("text is not null")
-    lines = materialize(line_table(some, min_words, similarity, common_words(docs, text_col)))
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = 5, similarity: float = 0.8, most: int = 1024, cell: int = 256) -> DataFrame:
+    """(__id, __hash, gone): the numbers of the lines to go of each text, by id and hash of the text, that has any."""
+    some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).filter("text is not null")
+    full = materialize(line_table(some, min_words, similarity, common_words(docs, text_col)))
     place = F.struct("id", "line", "mark")
-    distinct = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("all"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
+    distinct = full.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("all"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
     distinct = materialize(distinct.select("h", "h2", "first.id", "first.mark", "first.line", F.col("all").alias("copies"), "n", "keys", "bits"))
+    lines = materialize(full.select("id", "mark", "line", "h", "h2"))
+    discard(full)
     loose = connected_components(loose_edges(distinct, similarity, most))
-    firsts = distinct.drop("n", "keys", "bits")
+    firsts = materialize(distinct.drop("n", "keys", "bits"))
+    discard(distinct)
     links = materialize(line_links(some, firsts, loose, similarity, cell))
     ends = links.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(links.select("b", "b2")).distinct()
     tight = ends.join(connected_components(links), F.col("h") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "h").alias("root"))
     linked = materialize(firsts.join(tight, ["h", "h2"], "left").filter("root is not null or copies > 1"))
     keep = linked.filter("root is not null").groupBy("root").agg(F.min(place).alias("keep"))
     often = linked.join(keep, "root", "left").select("h", "h2", F.coalesce("keep", place).alias("keep"))
-    gone = lines.join(often, ["h", "h2"]).filter(~place.eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("line").alias("gone"))  # of one text
-    joined = source.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
-    left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return joined.select(F.col("id").alias(id_col), "mark", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"))
+    gone = lines.join(often, ["h", "h2"]).filter(~place.eqNullSafe(F.col("keep")))
+    return materialize(gone.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__hash")).agg(F.collect_set("line").alias("gone")))  # of one text
+
+
+def lines_left(text_col: str, gone: str = "gone"):
+    """The text without the lines whose numbers are in ``gone``."""
+    left = F.concat_ws("\n", F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i)))
+    return F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per input row: id, mark (hash of the text as read), n_lines, n_removed, text (without the lines removed).
+
+    Lines (split at newlines) of ``min_words`` words (5) or more are alike if the word edit similarity of
+    their normalised forms is ``similarity`` (above 0; 0.8) or more; of each group that likeness connects, the occurrence
+    with the smallest (id, line number) stays. Shorter lines stay. A null text stays null with no lines.
+    Null ids come first in that order. Rows that share id and text are one document, each returned with the same
+    result. No rows give none. A text that loses all its lines becomes empty.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    joined = of_texts(source, "id", "mark", repeated_lines(docs, id_col, text_col, **how), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    return joined.select(F.col("id").alias(id_col), "mark", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), lines_left("text").alias("text"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with its text column as ``dedup_lines`` leaves it, all columns. The text is joined once, by id and hash."""
-    clean = dedup_lines(docs, id_col, text_col, **how).filter("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("mark").alias("__mark"), F.col("text").alias("__text")).dropDuplicates(["__id", "__mark"])
-    joined = docs.join(clean, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left")
-    return joined.select(*(F.coalesce("__text", c).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    gone = repeated_lines(docs, id_col, text_col, **how).withColumnRenamed("gone", "__gone")
+    joined = of_texts(docs.withColumn("__mark", F.xxhash64(text_col)), id_col, "__mark", gone, "left")
+    return joined.select(*(lines_left(text_col, "__gone").alias(c) if c == text_col else F.col(c) for c in docs.columns))

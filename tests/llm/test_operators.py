@@ -760,3 +760,38 @@ def test_common_words_are_counted_in_all_texts(spark):
     assert set(found.tolist()) == set(which[n > 1].tolist()) and found[-1] == which[n.argmax()]
     order = lines.word_order(found)(folded_words(*text_bytes(pa.array(["pair7 all"])))[0])
     assert order[0] < order[1]
+
+
+def test_large_tables_of_lines_are_deleted_and_texts_joined_once(spark, tmp_path, monkeypatch):
+    """What is on disk at once: no table of keys is kept, and a whole row is shuffled at most once."""
+    import uuid
+
+    import pyarrow.parquet as pq
+
+    from shapelake import storage
+
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    line = "a line of some ten words that is seen {} twice"
+    docs = spark.createDataFrame([(i if i else None, (line.format("quite") if i in (0, 7) else f"{i} " * 6) + "\nend", i) for i in range(30)] + [(50, None, 50)], "doc_id long, text string, other int")
+    out = lines.without_repeated_lines(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = {r["other"]: r["text"] for r in out.collect()}
+    again = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    assert rows[0] == line.format("quite") + "\nend" and rows[7] == "end" and rows[50] is None and again == {d: int(d == 7) for d in [None, *range(1, 30), 50]}
+    kept = [pq.read_schema(f).names for f in tmp_path.rglob("*.parquet")]
+    assert kept and not [names for names in kept if "keys" in names]
+    assert plan.count("hashpartitioning(coalesce(doc_id") == 1
+
+
+def test_texts_are_found_whatever_bits_their_marks_share(spark, monkeypatch):
+    """Few bits, many marks: the filter before the join leaves out nothing that the join would find."""
+    rnd = random.Random(4)
+    docs = [(rnd.choice([None, *range(40)]), rnd.choice([-1, 1]) * rnd.getrandbits(62), i) for i in range(400)]
+    found = [(*d[:2], d[2]) for d in rnd.sample(docs, 150)] + [(7, 5, -1)]
+    left, right = spark.createDataFrame(docs, "id long, m long, i long"), spark.createDataFrame(found, "__id long, __hash long, j long")
+    for most in (1 << 20, 2):
+        monkeypatch.setattr(lines, "MARKS", most)
+        have = {x[2]: x[2] for x in found if x[2] >= 0}
+        assert sorted(map(tuple, lines.of_texts(left, "id", "m", right, "inner").select("i", "j").collect())) == sorted(have.items())
+        got = lines.of_texts(left, "id", "m", right, "left").select("i", "j").collect()
+        assert len(got) == 400 and {r["i"]: r["j"] for r in got} == {x[2]: have.get(x[2]) for x in docs}
