@@ -1,5 +1,7 @@
 """Kernel features against the kernels, the grid's models against plain numpy, spectral vectors against an eigensolver."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,15 @@ def test_spectral_vectors(spark):
     assert np.allclose(np.abs((v * want).sum(axis=0)), 1, atol=1e-3)
     labels = {r["item"]: r["label"] for r in cluster.spectral(pairs, 2).collect()}
     assert sum(labels[i] == labels[0] for i in range(12)) >= 11 and sum(labels[i] != labels[0] for i in range(12, 24)) >= 11
+
+
+def test_a_label_is_ranked_in_parts(spark):
+    """Places are those of one sort by hash and key, but no task has all rows of a label."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(F.col("id").alias("key"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("label"))
+    want = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key", F.lit(3)), "key"))
+    got = models._ranked(rows, 3)
+    assert re.search(r"hashpartitioning\(label#\d+, __part#\d+L?, ", got._jdf.queryExecution().executedPlan().toString())
+    assert got.withColumn("want", want).filter("rank <> want").count() == 0 and got.count() == 6000
