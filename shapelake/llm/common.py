@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import connected_components, stars
@@ -58,7 +59,7 @@ def binary_values(column: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Slices of a batch whose values in ``column`` hold about ``most`` bytes, one row at least."""
-    size = np.cumsum([len(x) for x in binary_values(batch.column(column))])
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))

@@ -41,7 +41,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-def folded_words(data: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def folded_words(data: np.ndarray, ends: np.ndarray, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of each word (between ASCII blanks, A-Z lower-cased) of texts given by ``text_bytes``."""
     blank = _BLANK[data]
     edge = np.zeros(len(data) + 1, bool)

@@ -15,6 +15,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,33 @@ def edit_similarity(a: list, b: list, least: float) -> float:
     return 1 - distance / longer
 
 
+def alike(x: np.ndarray, begin: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, most: int = 1 << 20) -> np.ndarray:
+    """Whether ``edit_similarity`` of rows i and j is ``similarity`` or more, for many pairs at once: row r is n[r] words (their
+    hashes) from x[begin[r]] on. Most alike pairs differ by changed words and one gap: if the fewest edits of that kind are few
+    enough, so are the fewest of all. The others are compared one by one."""
+    a, b = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+    out = n[a] >= similarity * n[b]
+    pairs = np.flatnonzero(out & (n[a] > 0))
+    ends = np.cumsum(n[a[pairs]])
+    at = 0
+    while at < len(pairs):  # about ``most`` words at a time
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        some = pairs[at:stop]
+        at = stop
+        short, longer = n[a[some]], n[b[some]]
+        first = np.cumsum(short) - short
+        place = np.arange(int(short.sum())) - np.repeat(first, short)
+        own, other = x[np.repeat(begin[a[some]], short) + place], np.repeat(begin[b[some]], short) + place
+        right = own != x[other + np.repeat(longer - short, short)]
+        after = np.cumsum((own != x[other]).astype(np.int64) - right)  # edits more, if the gap comes after a word than before all
+        before = np.where(first > 0, after[first - 1], 0)
+        fewest = longer - short + np.add.reduceat(right.astype(np.int64), first) + np.minimum(np.minimum.reduceat(after, first) - before, 0)
+        for p in np.flatnonzero(1 - fewest / longer < similarity).tolist():
+            u, v = begin[a[some[p]]], begin[b[some[p]]]
+            out[some[p]] = edit_similarity(x[u : u + short[p]].tolist(), x[v : v + longer[p]].tolist(), similarity) >= similarity
+    return out
+
+
 #: Up to so many words a line has 64, 128, 256, ... parities; longer lines have twice the last.
 PARITIES = (32, 80, 180, 400)
 
@@ -165,6 +193,11 @@ def word_order(common: np.ndarray):
     return lambda x: x >> np.uint64(37) | rank[(x >> np.uint64(44)).astype(np.int64)]
 
 
+#: Keys are dealt out in so many passes, so that only a share of the rows is on disk at once; each has a field of its own.
+PASSES = 2
+KEYS = [f"_{turn}" for turn in range(PASSES)]
+
+
 def line_signatures(x: np.ndarray, line: np.ndarray, n: np.ndarray, order, similarity: float):
     """(h, h2, keys, parities) of lines as Arrow arrays: two hashes of the words' sequence, and, for the prefix filter,
     the first words in the order of all words. ``x`` (hashes) and ``line`` go by word, ``n`` by line."""
@@ -176,16 +209,36 @@ def line_signatures(x: np.ndarray, line: np.ndarray, n: np.ndarray, order, simil
         first = place <= edits(n, similarity)[line]
         first[1:] &= sorted_[1:] != sorted_[:-1]
         keys = ((sorted_[first] << np.uint64(20)) * np.uint64(BASES[0]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(line[first], minlength=len(n)))])
+    of, parts = line[first], []
+    for turn in range(PASSES):
+        mine = keys % PASSES == turn
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of[mine], minlength=len(n)))])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[mine])))
     bits, size = parities(numbered(sorted_ & np.uint64((1 << 44) - 1), line), starts, n)
     at = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
     bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(bits)])
-    return pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys)), bits
+    return pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.StructArray.from_arrays(parts, KEYS), bits
+
+
+def copies_of_firsts(ids: pa.Array, marks: np.ndarray, line: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """For the first row by (id, line, mark) of those with equal hashes their number, 0 for the others. Ids of types whose order
+    might not be Spark's make each row a first of its own."""
+    if not (pa.types.is_integer(ids.type) or pa.types.is_string(ids.type)):
+        return np.ones(len(h), np.int64)
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    order = np.lexsort((marks, line, rank, h2, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+    at = np.flatnonzero(new)
+    out = np.zeros(len(h), np.int64)
+    out[order[at]] = np.diff(np.append(at, len(h)))
+    return out
 
 
 def line_table(docs: DataFrame, min_words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, mark, line, h, h2, n, keys, bits): two hashes, the number of words, the first words in the order of all words
-    and the parities of each line of ``min_words`` words or more."""
+    """(id, mark, line, h, h2, copies, n, keys, bits): two hashes, the number of words, the first words in the order of all words
+    and the parities of each line of ``min_words`` words or more. Of alike lines by both hashes that a task reads together, the
+    first has ``copies``, their number, and the others 0 and no n, keys and bits."""
 
     def lines(batches):
         order = word_order(common)
@@ -207,14 +260,42 @@ def line_table(docs: DataFrame, min_words: int, similarity: float, common: np.nd
                     mine = new[line]
                     h, h2, keys, bits = line_signatures(x[mine >= 0], mine[mine >= 0], n[some], order, similarity)
                     where = pa.array(row[some])
-                    columns = [part.column("id").take(where), part.column("mark").take(where), pa.array(at[some].astype(np.int32)), h, h2, pa.array(n[some].astype(np.int32)), keys, bits]
+                    ids, marks = part.column("id").take(where), part.column("mark").take(where)
+                    copies = copies_of_firsts(ids, marks.to_numpy(), at[some], h.to_numpy(), h2.to_numpy())
+                    held = pa.array(np.arange(len(some)), mask=copies == 0)
+                    columns = [ids, marks, pa.array(at[some].astype(np.int32)), h, h2, pa.array(copies), pa.array(n[some].astype(np.int32)).take(held), keys.take(held), bits.take(held)]
                     for b in range(0, len(some), 8192):
-                        yield pa.RecordBatch.from_arrays([c.slice(b, 8192) for c in columns], ["id", "mark", "line", "h", "h2", "n", "keys", "bits"])
+                        yield pa.RecordBatch.from_arrays([c.slice(b, 8192) for c in columns], ["id", "mark", "line", "h", "h2", "copies", "n", "keys", "bits"])
+
+    keys_type = f"struct<{','.join(f'{k}:array<int>' for k in KEYS)}>"
+    return map_arrow(docs, lines, f"id {docs.schema['id'].dataType.simpleString()}, mark long, line int, h long, h2 long, copies long, n int, keys {keys_type}, bits binary")
+
 
-    return map_arrow(docs, lines, f"id {docs.schema['id'].dataType.simpleString()}, mark long, line int, h long, h2 long, n int, keys array<int>, bits binary")
+def lowest(root: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in components of two or more, and for each the row of its component with the least h."""
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    rows = np.union1d(moved, root[moved])
+    rows = rows[np.lexsort((h[rows], root[rows]))]
+    new = np.flatnonzero(np.diff(root[rows], prepend=-1))
+    return rows, np.repeat(rows[new], np.diff(np.append(new, len(rows))))
 
 
-def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int = 2) -> DataFrame:
+def components_of_stars(edges: DataFrame) -> DataFrame:
+    """``connected_components`` of edges (a, b) that are mostly stars around their smallest node: a star that shares no node
+    with another edge is a component as it is, only the others go through the rounds."""
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+    mixed_ = materialize(ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up = 1 and down > 0").select("node"))
+    touched = now.join(by_sort(mixed_), F.col("u") == F.col("node"), "left_semi").select("v").union(mixed_).distinct()
+    touched = materialize(touched)
+    settled = now.join(by_sort(touched.withColumnRenamed("v", "node")), F.col("v") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if touched.isEmpty():
+        return settled
+    rest = now.join(by_sort(touched.withColumnRenamed("v", "node")), F.col("v") == F.col("node"), "left_semi")
+    return settled.union(connected_components(rest, "u", "v"))
+
+
+def loose_edges(distinct: DataFrame, similarity: float, most: int) -> DataFrame:
     """(a, b): links between the hashes of lines that share a key and may be alike, by their components, not every pair."""
 
     def stars_of(table, starts, chunk=None):
@@ -252,9 +333,9 @@ def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int =
                 moved = np.flatnonzero(root != np.arange(len(n)))
                 left, right = [moved], [root[moved]]
             a = b
-        root = stars(len(n), np.concatenate(left), np.concatenate(right))
-        moved = np.flatnonzero(root != np.arange(len(n)))
-        return pa.array(h[moved]), pa.array(h[root[moved]])
+        rows, low = lowest(stars(len(n), np.concatenate(left), np.concatenate(right)), h)
+        a, b = h[rows], h[low]
+        return pa.array(a[a != b]), pa.array(b[a != b])
 
     columns = ["key", "n", "bits"]
 
@@ -278,8 +359,8 @@ def loose_edges(distinct: DataFrame, similarity: float, most: int, passes: int =
 
     kind = "a long, b long, key int, n int, bits binary, chunk long"
     found = []
-    for turn in range(passes):  # so that only a share of the rows dealt out is on disk at once
-        dealt = distinct.select(F.explode("keys").alias("key"), "h", "n", "bits").filter(F.pmod("key", F.lit(passes)) == turn)
+    for field in KEYS:
+        dealt = distinct.select(F.explode(f"keys.{field}").alias("key"), "h", "n", "bits")
         dealt = dealt.select(F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"), "h", "bits")  # sorted as one number
         found.append(materialize(map_arrow(dealt.repartition(F.shiftright("place", 32)).sortWithinPartitions("place"), meet, kind)))
     met = functools.reduce(DataFrame.union, found)
@@ -315,7 +396,10 @@ def of_texts(docs: DataFrame, id_col: str, mark_col: str, found: DataFrame, how:
 
 
 def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, a2, b, b2): links between alike lines by both hashes. ``firsts``: h, h2, id, mark, line; ``loose``: node, root."""
+    """(a, a2, b, b2): links between alike lines by both hashes. ``firsts``: h, h2, id, mark, line; ``loose``: node, root.
+
+    Where b2 is null, a's whole component was in one cell, and b is its root.
+    """
     columns = ("line", "g", "h", "h2", "chunks", "chunk")
     grouped = firsts.join(loose, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("g"), "h", "h2", "id", "mark", "line")
     sizes = grouped.groupBy("g").count().filter("count > 1")
@@ -336,7 +420,7 @@ def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity:
 
     def link(batches):
         for table, starts, _ in runs(batches, ["g", "lo", "hi"], 4 * most):
-            chunk, h, h2 = (table.column(c).to_numpy() for c in ("chunk", "h", "h2"))
+            chunk, chunks, h, h2 = (table.column(c).to_numpy() for c in ("chunk", "chunks", "h", "h2"))
             whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
             data, ends = text_bytes(table.column("words").combine_chunks())
             x, at = folded_words(data, ends)
@@ -346,16 +430,7 @@ def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity:
             sorted_ = np.sort(line.astype(np.uint64) << np.uint64(44) | x >> np.uint64(20)) & np.uint64((1 << 44) - 1)
             bits, size = parities(numbered(sorted_, line), begin, n)
             test = may_be_alike(n, bits, np.cumsum(size) - size, similarity)
-            up, left, right = list(range(len(n))), [], []
-
-            def root(i):
-                while up[i] != i:
-                    up[i] = i = up[up[i]]
-                return i
-
-            def alike(i, j):
-                return edit_similarity(*(x[begin[k] : begin[k] + n[k]].tolist() for k in (i, j)), similarity) >= similarity
-
+            root, left, right = np.arange(len(n)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             count = np.diff(np.append(starts, len(n)))
             run = np.repeat(np.arange(len(starts)), count)
             at = np.flatnonzero((count <= 64)[run])  # groups by the thousand: the same step of all of them at once
@@ -364,32 +439,42 @@ def line_links(docs: DataFrame, firsts: DataFrame, loose: DataFrame, similarity:
                 at = at[run[at] == run[at + step]]
                 if not len(at):
                     break
-                i = at[(whole[at] | (chunk[at] != chunk[at + step])) & test(at, at + step)]
-                for k in i.tolist():
-                    a, b = root(k), root(k + step)
-                    if a != b and alike(k, k + step):
-                        up[max(a, b)] = min(a, b)
-                        left.append(k)
-                        right.append(k + step)
+                i = at[root[at] != root[at + step]]
+                i = i[whole[i] | (chunk[i] != chunk[i + step])]
+                i = i[test(i, i + step)]
+                i = i[alike(x, begin, n, i, i + step, similarity)]
+                root = stars(len(n), root[i], root[i + step])[root]
+                left.append(i)
+                right.append(i + step)
             for r in np.flatnonzero(count > 64).tolist():
                 first, own = int(starts[r]), np.arange(count[r])
                 for i in range(len(own)):  # a line against those that are not yet in its group
                     other = np.flatnonzero(own[i + 1 :] != own[i]) + i + 1
                     if not whole[first]:  # pairs within a chunk belong to the chunk's own cell
                         other = other[chunk[first + other] != chunk[first + i]]
-                    for j in other[test(np.full(len(other), first + i), first + other)].tolist():
-                        if own[i] != own[j] and alike(first + i, first + j):
-                            own[own == own[j]] = own[i]
-                            left.append(first + i)
-                            right.append(first + j)
-            i, j = np.array(left, np.int64), np.array(right, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[i], h2[i], h[j], h2[j])], ["a", "a2", "b", "b2"])
+                    other = other[test(np.full(len(other), first + i), first + other)]
+                    other, most_ = other[np.argsort(own[other], kind="stable")], 1
+                    while len(other):  # one of each group first, then two, four
+                        now = np.arange(len(other)) - np.searchsorted(own[other], own[other]) < most_
+                        found = other[now][alike(x, begin, n, np.full(now.sum(), first + i), first + other[now], similarity)]
+                        left.append(np.full(len(found), first + i))
+                        right.append(first + found)
+                        joined = np.isin(own, own[found])
+                        other = other[~now & ~joined[other]]
+                        own[joined] = own[i]
+                        most_ *= 2
+            root = stars(len(n), np.concatenate(left), np.concatenate(right))
+            rows, low = lowest(root, h)
+            alone = chunks[rows] == 1  # no other cell has pairs of the group: its components are known
+            out = alone | (rows != low)
+            rows, low, alone = rows[out], low[out], alone[out]
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(h2[rows]), pa.array(h[low]), pa.array(h2[low], mask=alone)], ["a", "a2", "b", "b2"])
 
     kind = "g long, h long, h2 long, chunks long, chunk long, words binary"
     texts = map_arrow(of_texts(docs, "id", "mark", per_text, "inner").select("text", "wanted"), fetch, kind)
     texts = texts.dropDuplicates(["h", "h2"])  # rows that share id and text
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("g", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "h", "h2", "words")
+    dealt = dealt.select("g", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "chunks", "h", "h2", "words")
     return map_arrow(dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi"), link, "a long, a2 long, b long, b2 long")
 
 
@@ -398,16 +483,20 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int =
     some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).filter("text is not null")
     full = materialize(line_table(some, min_words, similarity, common_words(docs, text_col)))
     place = F.struct("id", "line", "mark")
-    distinct = full.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("all"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
+    firsts = full.filter("copies > 0").repartition("h")  # most lines have no copy: none are sought before the shuffle
+    distinct = firsts.groupBy("h", "h2").agg(F.min(place).alias("first"), F.sum("copies").alias("all"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
     distinct = materialize(distinct.select("h", "h2", "first.id", "first.mark", "first.line", F.col("all").alias("copies"), "n", "keys", "bits"))
     lines = materialize(full.select("id", "mark", "line", "h", "h2"))
     discard(full)
-    loose = connected_components(loose_edges(distinct, similarity, most))
+    loose = components_of_stars(loose_edges(distinct, similarity, most))
     firsts = materialize(distinct.drop("n", "keys", "bits"))
     discard(distinct)
     links = materialize(line_links(some, firsts, loose, similarity, cell))
-    ends = links.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(links.select("b", "b2")).distinct()
-    tight = ends.join(connected_components(links), F.col("h") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "h").alias("root"))
+    tight = links.filter("b2 is null").select(F.col("a").alias("h"), F.col("a2").alias("h2"), F.col("b").alias("root"))
+    rest = links.filter("b2 is not null")
+    if not rest.isEmpty():
+        ends = rest.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(rest.select("b", "b2")).distinct()
+        tight = tight.union(ends.join(components_of_stars(rest), F.col("h") == F.col("node"), "left").select("h", "h2", F.coalesce("root", "h").alias("root")))
     linked = materialize(firsts.join(tight, ["h", "h2"], "left").filter("root is not null or copies > 1"))
     keep = linked.filter("root is not null").groupBy("root").agg(F.min(place).alias("keep"))
     often = linked.join(keep, "root", "left").select("h", "h2", F.coalesce("keep", place).alias("keep"))

@@ -795,3 +795,54 @@ def test_texts_are_found_whatever_bits_their_marks_share(spark, monkeypatch):
         assert sorted(map(tuple, lines.of_texts(left, "id", "m", right, "inner").select("i", "j").collect())) == sorted(have.items())
         got = lines.of_texts(left, "id", "m", right, "left").select("i", "j").collect()
         assert len(got) == 400 and {r["i"]: r["j"] for r in got} == {x[2]: have.get(x[2]) for x in docs}
+
+
+def test_lines_alike_by_changed_words_or_one_gap_are_not_compared_word_by_word(monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(200):
+        own = [rnd.randint(0, 9) for _ in range(rnd.randint(1, 30) * rnd.choice((1, 1, 8)))]
+        other = list(own)
+        for _ in range(rnd.randint(0, len(own) // 3 + 1)):
+            other[rnd.randrange(len(other))] = 11
+        gap = rnd.randint(0, len(own) // 5)
+        at = rnd.randint(0, len(own) - gap)
+        rows += [own, other, own[:at] + own[at + gap :]]
+    n = np.array([len(r) for r in rows])
+    begin, x = np.cumsum(n) - n, np.array([w for r in rows for w in r], np.uint64)
+    i, j = np.repeat(np.arange(0, 600, 3), 5), np.concatenate([[k + 1, k + 2, rnd.randrange(600), rnd.randrange(600), k] for k in range(0, 600, 3)])
+    for least in (0.0, 0.5, 0.8, 1.0):
+        want = [lines.edit_similarity(rows[a], rows[b], least) >= least for a, b in zip(i, j, strict=True)]
+        assert all(lines.alike(x, begin, n, i, j, least, most).tolist() == want for most in (1 << 20, 50))
+    assert not len(lines.alike(x, begin, n, i[:0], j[:0], 0.8))
+    monkeypatch.setattr(lines, "edit_similarity", None)
+    gaps = np.arange(0, 600, 3)
+    assert lines.alike(x, begin, n, gaps, gaps + 2, 0.8).all()
+
+
+def test_groups_of_lines_in_one_cell_need_no_rounds(spark, monkeypatch):
+    """Pairs of alike lines, and copies: components are known from the cell, and stars that touch no other are left as they are."""
+    rounds = []
+    monkeypatch.setattr(lines, "connected_components", lambda *a: rounds.append(a))
+    line = "{0} a{0} b{0} c{0} d{0} e{0} f{0} g{0} h{0}"
+    texts = [(k, f"{line.format(k % 20)} {'x' if k < 20 else 'y'}\n{line.format(99)} z") for k in range(40)]
+    found = table(lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)))
+    assert not rounds and {k: r["n_removed"] for k, r in found.items()} == {k: (k >= 20) + (k > 0) for k in range(40)}
+
+
+def test_components_of_stars(spark):
+    rnd = random.Random(5)
+    edges = [(k, k + r) for k in range(0, 400, 10) for r in range(1, 4)] + [(rnd.randrange(400, 500), rnd.randrange(400, 500)) for _ in range(60)] + [(7, 7), (13, 11), (5, 3), (5, 0), (-2, 390), (-2, -1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(map(tuple, lines.connected_components(df).collect()))
+    assert sorted(map(tuple, lines.components_of_stars(df).collect())) == want and len(want) > 150
+    assert lines.components_of_stars(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[3, None, 1, 3, 2, None], ["b", None, "a", "b", "ab", None], [3.5, None, 1.0, 3.5, 2.0, None]])
+def test_first_of_copies_read_together(ids):
+    import pyarrow as pa
+
+    h, h2 = np.array([5, 5, 5, 5, 6, 6]), np.array([1, 1, 1, 2, 1, 1])
+    got = lines.copies_of_firsts(pa.array(ids), np.zeros(6, np.int64), np.array([0, 4, 0, 1, 2, 3]), h, h2).tolist()
+    assert got == ([1] * 6 if ids[0] == 3.5 else [0, 3, 0, 1, 0, 2])
