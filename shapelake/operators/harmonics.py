@@ -3,14 +3,18 @@
 Directions are (dir_id, azimuth, elevation), elevation from the z axis. Seen from a mesh's centre, triangles and
 directions lie in buckets of the sphere; both meet by an equi-join on the bucket, so that a ray is only tested with the
 triangles whose outline reaches its bucket. The directions' table is a parameter's size and broadcast behind a check of
-its rows; meshes never move but to meet their faces.
+its rows; meshes never move but to meet their faces. Coefficients are summed where a mesh's triangles lie: of its radii,
+one a direction, none is written or shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from .rays import triangles
 
 #: Slack of the buckets' borders, and relative slack of the crossing test.
 SLACK, EDGE = 1e-7, 1e-9
+#: Most directions of which a task keeps a mesh's radii, triangles it meets with them at a time, and radii it sums at once.
+HELD, STEP, ROOM = 1 << 16, 256, 1 << 19
 
 
 def basis_terms(l: int, m: int) -> tuple[list[float], float]:  # noqa: E741
@@ -49,6 +55,17 @@ def basis(degrees: int, azimuth: Column, elevation: Column) -> Column:
     return F.array(*(basis_value(d, m, azimuth, elevation) for d in range(degrees) for m in range(-d, d + 1)))
 
 
+def basis_table(degrees: int, azimuth: np.ndarray, elevation: np.ndarray) -> np.ndarray:
+    """``basis`` in numpy, a row a direction."""
+    out = []
+    for d in range(degrees):
+        for m in range(-d, d + 1):
+            terms, scale = basis_terms(d, m)
+            turn = np.cos(m * azimuth) if m > 0 else np.sin(-m * azimuth) if m < 0 else 1.0
+            out.append(np.polyval(terms, np.cos(elevation)) * np.sin(elevation) ** abs(m) * turn * scale)
+    return np.stack(out, axis=1)
+
+
 def sphere_sample(spark: SparkSession, side: int = 100, seed: int = 0) -> DataFrame:
     """(dir_id, azimuth, elevation): side x side directions, one at random in each of as many equal parts of the sphere."""
     md5 = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
@@ -72,8 +89,9 @@ def direction_buckets(directions: DataFrame, e: int) -> DataFrame:
     return v.withColumn("bucket", F.pmod(_azimuth_bucket(F.atan2("dy", "dx"), e), F.lit(2 * e)) * e + _height_bucket(F.col("dz"), e))
 
 
-def triangle_buckets(seen: DataFrame, e: int) -> DataFrame:
-    """seen (a0 .. c2: a triangle's corners from the centre) with ``bucket``, a row for each that its outline may reach.
+def triangle_ranges(seen: DataFrame, e: int) -> DataFrame:
+    """seen (a0 .. c2: a triangle's corners from the centre) with ``first`` to ``last``, parts of the azimuth, and ``bottom`` to
+    ``top``, parts of the height, that its outline may reach; the azimuths' may run over a whole turn's end.
 
     A triangle's heights end at corners or at the top or bottom of an edge's arc, or at the pole if that is inside; its
     azimuths, less than half a turn, end at corners, and are all of them if a pole is inside or on the border. Triangles
@@ -107,19 +125,22 @@ def triangle_buckets(seen: DataFrame, e: int) -> DataFrame:
     last = F.when(all_around, 2 * e - 1).otherwise(F.least(_azimuth_bucket(F.col("most"), e), first + 2 * e - 1))
     bottom = F.when(F.col("down"), 0).otherwise(_height_bucket(F.col("low") - SLACK, e))
     top = F.when(F.col("up"), e - 1).otherwise(_height_bucket(F.col("high") + SLACK, e))
-    seen = seen.withColumn("i", F.explode(F.sequence(first, last))).withColumn("j", F.explode(F.sequence(bottom, top)))
+    return seen.withColumns({"first": first, "last": last, "bottom": bottom, "top": top})
+
+
+def triangle_buckets(seen: DataFrame, e: int) -> DataFrame:
+    """seen with ``bucket``, a row for each of ``triangle_ranges``."""
+    seen = triangle_ranges(seen, e)
+    seen = seen.withColumn("i", F.explode(F.sequence("first", "last"))).withColumn("j", F.explode(F.sequence("bottom", "top")))
     return seen.withColumn("bucket", F.pmod("i", F.lit(2 * e)) * e + F.col("j"))
 
 
-def ray_candidates(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame, e: int | None = None) -> DataFrame:
-    """(mesh_id, planes, dir_id, dx, dy, dz): each triangle with each direction of the buckets it reaches.
+#: A triangle as four planes, see ``ray_candidates``.
+PLANES = [f"{c}{k}" for c in "fghk" for k in range(3)]
 
-    A triangle is four planes, facing it from the centre: a direction d meets it if d . f is above ``EDGE`` and d . g, d . h and d . k
-    aren't negative, at ``f`` . d = ``far`` from the centre. Those on an edge, within ``EDGE``, meet both its triangles.
-    Without ``e`` a bucket has about 4 of evenly spread directions. Triangles, not meshes, are dealt to the tasks.
-    """
-    e = e or max(2, round(math.sqrt(directions.count() / 8)))
-    tri = spread(triangles(vertices, faces).join(by_sort(centres), "mesh_id"), "mesh_id", "face_id")
+
+def _seen(tri: DataFrame) -> DataFrame:
+    """tri (mesh_id, p0, p1, p2, o: the centre) as corners a0 .. c2 from there, planes and ``far``."""
     seen = once(tri, {f"{n}{k}": F.col(f"p{i}.{c}") - F.col(f"o.{c}") for i, n in enumerate("abc") for k, c in enumerate("xyz")})
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     p = [[F.col(f"{n}{k}") for k in range(3)] for n in "abc"]
@@ -129,9 +150,24 @@ def ray_candidates(vertices: DataFrame, faces: DataFrame, directions: DataFrame,
     up = sum((x * y for x, y in zip(p[0], n, strict=True)), F.lit(0.0))
     size = F.signum(up) * F.sqrt(sum((x * x for x in n), F.lit(0.0)))
     edges = {f"{g}{k}": F.try_divide(x + EDGE * n[k], size) for g, i, j in (("g", 0, 1), ("h", 1, 2), ("k", 2, 0)) for k, x in enumerate(cross(p[i], p[j]))}
-    seen = once(seen, {"size": size}).filter("size <> 0").select("mesh_id", *(f"{c}{k}" for c in "abc" for k in range(3)), *(c.alias(k) for k, c in edges.items()), *((F.col(f"n{k}") / F.col("size")).alias(f"f{k}") for k in range(3)), (up / F.col("size")).alias("far"))
-    planes = [f"{c}{k}" for c in "fghk" for k in range(3)]
-    return join_counted(triangle_buckets(seen, e).select("mesh_id", *planes, "far", "bucket"), direction_buckets(directions, e), "bucket").drop("bucket")
+    return once(seen, {"size": size}).filter("size <> 0").select("mesh_id", *(f"{c}{k}" for c in "abc" for k in range(3)), *(c.alias(k) for k, c in edges.items()), *((F.col(f"n{k}") / F.col("size")).alias(f"f{k}") for k in range(3)), (up / F.col("size")).alias("far"))
+
+
+def _middles(vertices: DataFrame) -> DataFrame:
+    middle = F.struct(*(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(c) for c in "xyz"))
+    return bounding_boxes(vertices).select("mesh_id", middle.alias("o"))
+
+
+def ray_candidates(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame, e: int | None = None) -> DataFrame:
+    """(mesh_id, planes, dir_id, dx, dy, dz): each triangle with each direction of the buckets it reaches.
+
+    A triangle is four planes, facing it from the centre: a direction d meets it if d . f is above ``EDGE`` and d . g, d . h and d . k
+    aren't negative, at ``f`` . d = ``far`` from the centre. Those on an edge, within ``EDGE``, meet both its triangles.
+    Without ``e`` a bucket has about 4 of evenly spread directions. Triangles, not meshes, are dealt to the tasks.
+    """
+    e = e or max(2, round(math.sqrt(directions.count() / 8)))
+    tri = spread(triangles(vertices, faces).join(by_sort(centres), "mesh_id"), "mesh_id", "face_id")
+    return join_counted(triangle_buckets(_seen(tri), e).select("mesh_id", *PLANES, "far", "bucket"), direction_buckets(directions, e), "bucket").drop("bucket")
 
 
 def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres: DataFrame | None = None, e: int | None = None) -> DataFrame:
@@ -141,8 +177,7 @@ def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres:
     rows are written once, and only meshes that lack some direction are filled up.
     """
     if centres is None:
-        middle = F.struct(*(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(c) for c in "xyz"))
-        centres = bounding_boxes(vertices).select("mesh_id", middle.alias("o"))
+        centres = _middles(vertices)
     along = lambda f: F.col(f"{f}0") * F.col("dx") + F.col(f"{f}1") * F.col("dy") + F.col(f"{f}2") * F.col("dz")
     hit = ray_candidates(vertices, faces, directions, centres, e).filter((along("f") > EDGE) & (along("g") >= 0) & (along("h") >= 0) & (along("k") >= 0))
     near = hit.groupBy("mesh_id", "dir_id").agg(F.min(F.try_divide(F.col("far"), along("f"))).alias("r"))
@@ -152,8 +187,114 @@ def radii(vertices: DataFrame, faces: DataFrame, directions: DataFrame, centres:
     return near.unionByName(lacking.join(by_sort(near), ["mesh_id", "dir_id"], "left_anti").select("mesh_id", "dir_id", F.col("mean").alias("r")))
 
 
-def coefficients(vertices: DataFrame, faces: DataFrame, directions: DataFrame, degrees: int = 10, centres: DataFrame | None = None) -> DataFrame:
-    """(mesh_id, coefficients): 4 pi / N times the sum of radius times harmonic over the N directions."""
+class _Directions:
+    """Directions by bucket: of one part of the azimuth, those of a range of heights lie side by side."""
+
+    def __init__(self, azimuth: np.ndarray, elevation: np.ndarray, degrees: int, e: int):
+        d = np.stack([np.sin(elevation) * np.cos(azimuth), np.sin(elevation) * np.sin(azimuth), np.cos(elevation)])
+        self.e, self.high = e, 8 * e
+        bucket = np.floor(np.arctan2(d[1], d[0]) * (e / math.pi)).astype(np.int64) % (2 * e) * self.high + self._height(d[2])
+        order = np.argsort(bucket, kind="stable")
+        self.d, self.start = d[:, order], np.searchsorted(bucket[order], np.arange(2 * e * self.high + 1))
+        self.basis = basis_table(degrees, azimuth[order], elevation[order]) * (4 * math.pi / len(order))
+        middle = (np.arange(2 * e) + 0.5) * (math.pi / e)
+        self.cos, self.sin, self.half = np.cos(middle), np.sin(middle), math.pi / (2 * e)
+
+    def _height(self, z: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((z + 1) * (self.high / 2)).astype(np.int64), 0, self.high - 1)
+
+    def _heights(self, planes: np.ndarray, t: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest height that triangles t may have in parts of the azimuth: where z / |(x, y)| fits their edges."""
+        low, high = np.full(len(t), -np.inf), np.full(len(t), np.inf)
+        cos, sin = self.cos[turn], self.sin[turn]
+        for plane in (3, 6, 9):
+            x, y, z = (planes[plane + k][t] for k in range(3))
+            at, slope = x * cos + y * sin, y * cos - x * sin
+            most = np.maximum(at, at * math.cos(self.half)) + np.abs(slope) * math.sin(self.half) + SLACK * (np.abs(x) + np.abs(y) + np.abs(z))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                end = -most / z
+            low = np.where(z > 0, np.maximum(low, end), low)
+            high = np.where(z < 0, np.minimum(high, end), np.where((z == 0) & (most < 0), -np.inf, high))
+        return tuple(np.sign(c) / np.sqrt(1 + 1 / np.maximum(np.abs(c), 1e-300) ** 2) for c in (low, high))
+
+    def meet(self, first: np.ndarray, last: np.ndarray, planes: np.ndarray, mesh: np.ndarray, radii: np.ndarray) -> None:
+        """Lowers radii (mesh, direction) to the crossings with some triangles."""
+        turns = last - first + 1
+        t = np.repeat(np.arange(len(mesh)), turns)
+        turn = (first[t] + np.arange(len(t)) - np.repeat(np.cumsum(turns) - turns, turns)) % (2 * self.e)
+        low, high = self._heights(planes, t, turn)
+        keep = np.flatnonzero(low <= high + 2 * SLACK)
+        t, turn, low, high = t[keep], turn[keep], low[keep], high[keep]
+        start = self.start[turn * self.high + self._height(low - SLACK)]
+        size = self.start[turn * self.high + self._height(high + SLACK) + 1] - start
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        t = np.repeat(t, size)
+        for plane in (3, 6, 9):
+            keep = np.flatnonzero(sum(planes[plane + k][t] * self.d[k][at] for k in range(3)) >= 0)
+            t, at = t[keep], at[keep]
+        along = sum(planes[k][t] * self.d[k][at] for k in range(3))
+        t, at, along = (x[along > EDGE] for x in (t, at, along))
+        np.minimum.at(radii.reshape(-1), mesh[t] * radii.shape[1] + at, planes[12][t] / along)
+
+    def sums(self, radii: np.ndarray) -> np.ndarray:
+        """Coefficients of meshes that some ray crosses; a direction without a crossing has the mean of the others."""
+        real = np.isfinite(radii)
+        mean = np.where(real, radii, 0).sum(axis=1) / real.sum(axis=1)
+        return np.where(real, radii, mean[:, None]) @ self.basis
+
+
+def _summed(found: _Directions) -> Callable:
+    """Batches of triangles, a mesh's side by side -> (mesh_id, coefficients). Radii of the mesh at hand, and of some that are
+    over, are held."""
+
+    def rows(over: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, radii = pa.concat_arrays([x for x, _ in over]), np.concatenate([x for _, x in over])
+        over.clear()
+        any_ = np.isfinite(radii).any(axis=1)
+        sums = found.sums(radii[any_])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(any_)), lists], ["mesh_id", "coefficients"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, over = None, None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                few = batch.slice(at, STEP)
+                ids = few.column("mesh_id")
+                new = np.append(True, pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False))
+                mesh, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+                radii = np.full((len(begin), found.d.shape[1]), np.inf)
+                if last is not None and last[0].equals(ids[0]):
+                    radii[0] = held
+                elif last is not None:
+                    over.append((last, held[None]))
+                number = lambda names: np.stack([few.column(c).to_numpy(zero_copy_only=False) for c in names])  # noqa: B023, E731
+                found.meet(*number(["first", "last"]).astype(np.int64), number([*PLANES, "far"]), mesh, radii)
+                over.append((ids.take(pa.array(begin[:-1])), radii[:-1]))
+                last, held = ids.take(pa.array(begin[-1:])), radii[-1].copy()
+                if sum(x.size for _, x in over) >= ROOM:
+                    yield from rows(over)
+        if last is not None:
+            yield from rows([*over, (last, held[None])])
+
+    return step
+
+
+def coefficients(vertices: DataFrame, faces: DataFrame, directions: DataFrame, degrees: int = 10, centres: DataFrame | None = None, held: int = HELD) -> DataFrame:
+    """(mesh_id, coefficients): 4 pi / N times the sum of radius times harmonic over the N directions.
+
+    Up to ``held`` directions, a task goes through its meshes' triangles and keeps the radii of one mesh; beyond, radii are
+    rows (``radii``).
+    """
+    many = directions.count()
+    if many <= held:
+        az, el = np.array(directions.select("azimuth", "elevation").collect(), float).reshape(-1, 2).T  # a parameter
+        e = max(2, round(math.sqrt(many / 8)))
+        tri = spread(triangles(vertices, faces).join(by_sort(_middles(vertices) if centres is None else centres), "mesh_id"), "mesh_id").sortWithinPartitions("mesh_id")
+        seen = triangle_ranges(_seen(tri), e).select("mesh_id", *PLANES, "far", "first", "last")
+        kind = seen.schema["mesh_id"].dataType
+        step = _summed(_Directions(az, el, degrees, e))
+        return seen.mapInArrow(step, f"mesh_id {kind.simpleString()}, coefficients array<double>")
     table = directions.select("dir_id", basis(degrees, F.col("azimuth"), F.col("elevation")).alias("b"))
     each = join_counted(radii(vertices, faces, directions, centres), table, "dir_id")
     total = [F.sum(F.col("r") * F.get("b", F.lit(i))).alias(f"s{i}") for i in range(degrees * degrees)]

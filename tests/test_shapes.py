@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapelake.operators import graph, mesh, shape, skeleton, views
+from shapelake.operators import graph, harmonics, mesh, shape, skeleton, views
 from shapelake.plans import tables as T
 
 from .test_queries import SF, cube
@@ -82,3 +82,21 @@ def test_skeleton(spark):
     assert len(nodes) == 6 and {nodes[0], nodes[-1]} == {"0.0 0.0 0.0", "5.0 0.0 0.0"}
     s = spark.createDataFrame([("m", i, "1.0 0.0 0.0", float(i)) for i in range(5)] + [("m", 9, "3.0 1.0 0.0", 0.0)], "mesh_id string, vertex_id int, node string, d double")
     assert {r["vertex_id"] for r in skeleton.segment_by_distance(s, path).collect()} == {4, 9}
+
+
+def test_coefficients_keep_no_radii(spark, monkeypatch):
+    """No direction's radius is written; a mesh's triangles over several batches and steps, and directions as rows, give the same."""
+    v, f = cube(spark)
+    v = v.unionByName(v.withColumn("mesh_id", F.concat("mesh_id", F.lit("!"))).withColumn("z", F.col("z") * 3))
+    f = f.unionByName(f.withColumn("mesh_id", F.concat("mesh_id", F.lit("!")))).unionByName(spark.createDataFrame([("q", 0, 0, 1, 2)], f.schema))
+    d = harmonics.sphere_sample(spark, 30)
+    rows = lambda df: {r["mesh_id"]: r["coefficients"] for r in df.collect()}
+    want = rows(harmonics.coefficients(v, f, d, held=0))
+    monkeypatch.setattr(harmonics, "materialize", None)
+    monkeypatch.setattr(harmonics, "STEP", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows(harmonics.coefficients(v, f, d))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) == 2 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
