@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapelake.operators import graph, harmonics, mesh, shape, skeleton, views
+from shapelake.operators import graph, harmonics, mesh, rays, shape, skeleton, views
 from shapelake.plans import tables as T
 
 from .test_queries import SF, cube
@@ -100,3 +100,20 @@ def test_coefficients_keep_no_radii(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got.keys() == want.keys() and len(got) == 2 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_chords_of_small_meshes_are_no_rows(spark):
+    """Chords worked off in a task, by joins, and both at once: the same; only a mesh's bins leave the task."""
+    v, f = T.prisms(spark, SF)
+    v, f = (t.filter("mesh_id <= 3").withColumn("mesh_id", F.col("mesh_id").cast("string")) for t in (v, f))
+    cv, cf = cube(spark)
+    v, f = v.unionByName(cv), f.unionByName(cf)
+    rows = lambda df: {(r["mesh_id"], r["chord"]): r["length"] for r in df.collect()}
+    want = rows(rays.mesh_chords(v, f, 40, most=0))
+    for most in (256, 20):
+        got = rows(rays.mesh_chords(v, f, 40, most=most))
+        assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
+    one = rays.chord_distribution(v, f, chords=40, bins=10)
+    assert "hashpartitioning(mesh_id, bin" not in one._jdf.queryExecution().toString() and "Window" not in one._jdf.queryExecution().toString()
+    bins = lambda df: sorted((r["mesh_id"], r["bin"], r["n"], round(r["density"], 9)) for r in df.collect())
+    assert bins(one) == bins(rays.chord_distribution(v, f, chords=40, bins=10, most=0))
