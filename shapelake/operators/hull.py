@@ -5,18 +5,22 @@ eyes; an eye sees the faces that it is outside of, and those of them whose faces
 farther out claims are put in together: their faces go, new ones join the border to the eye, and the points of the faces
 that went look for a new face. The farthest eye always goes in, so every round brings a mesh nearer its end.
 
+A mesh of few vertices needs no rounds: the task that holds it puts in its points one by one, the farthest first.
+
 To be in general position, points are moved by up to 1e-9 of the mesh's size, by hash, for every decision; volumes are
 those of the points as they were.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_sort, spread
 from ..storage import discard, materialize
 from .mesh import face_geometry, volume
+from .packed import MOST, Meshes, larger, packed, split, work
 
 #: How far points are moved, and how far outside a face a point must be, in the mesh's sizes.
 MOVE, LEAST = 1e-9, 1e-14
@@ -87,15 +91,91 @@ def _edges(faces: DataFrame, *more: str) -> DataFrame:
     return faces.select("mesh_id", "face", *more, side.alias("e")).select("mesh_id", "face", *more, "e.u", "e.v")
 
 
-def convex_hulls(vertices: DataFrame, eyes: int = 8) -> DataFrame:
+def _moves() -> list[Column]:
+    """How far a point is moved along each axis, in ``MOVE`` of its mesh's size."""
+    return [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) / (1 << 19) - 1 for k in range(3)]
+
+
+def _put_in(p: np.ndarray, size: float) -> np.ndarray:
+    """The hull's triangles of points that are in general position, as places in p, facing out; none for a flat mesh."""
+    none, least, thin = np.zeros((0, 3), int), size * LEAST, size * 10 * MOVE
+    if len(p) < 4:
+        return none
+    norm = lambda v: np.einsum("ij,ij->i", v, v)
+    s0 = np.lexsort(p.T[::-1])[0]
+    away = p - p[s0]
+    s1 = norm(away).argmax()
+    off = np.cross(away[s1], away)
+    s2 = norm(off).argmax()
+    wide = off[s2]
+    high = away @ wide
+    s3 = np.abs(high).argmax()
+    if not (norm(wide[None])[0] ** 0.5 > thin * norm(away[s1][None])[0] ** 0.5 and abs(high[s3]) > thin * norm(wide[None])[0] ** 0.5):
+        return none
+    x, y = (s1, s2) if high[s3] < 0 else (s2, s1)
+    faces = np.array([(s0, x, y), (x, s0, s3), (y, x, s3), (s0, y, s3)])
+
+    def out(few: np.ndarray) -> np.ndarray:  # how far each point is outside of some faces
+        a = p[few[:, 0]]
+        u, v = p[few[:, 1]] - a, p[few[:, 2]] - a
+        n = np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], axis=1)
+        n /= np.maximum(np.sqrt(norm(n)), 1e-300)[:, None]
+        return n @ p.T - np.einsum("ij,ij->i", n, a)[:, None]
+
+    far, put = out(faces), np.zeros(len(p), bool)
+    put[[s0, s1, s2, s3]] = True
+    while True:
+        beyond = far.max(axis=0)
+        beyond[put] = -np.inf
+        eye = beyond.argmax()
+        if not beyond[eye] > least:
+            return faces
+        put[eye] = True
+        seen = far[:, eye] > least
+        sides = [e for a, b, c in faces[seen].tolist() for e in ((a, b), (b, c), (c, a))]
+        inner = set(sides)
+        new = np.array([(a, b, eye) for a, b in sides if (b, a) not in inner])
+        faces, far = np.concatenate([faces[~seen], new]), np.concatenate([far[~seen], out(new)])
+
+
+def _hull_of(meshes: Meshes, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triangles as places, the points' ids, the points) of a packed mesh; points at one place or with one id count once."""
+    at = slice(meshes.at[i], meshes.at[i + 1])
+    ids, p, move = meshes.id[at], meshes.xyz[at], meshes.more[at]
+    order = np.argsort(ids, kind="stable")
+    order = order[~np.isnan(p[order]).any(axis=1)]
+    order = order[np.unique(ids[order], return_index=True)[1]]
+    _, first = np.unique(p[order] + 0.0, axis=0, return_index=True)
+    size = np.ptp(p[order], axis=0).max() if len(order) else 0.0
+    order = order[np.sort(first)]
+    ids, p = ids[order], p[order]
+    return _put_in(p + size * MOVE * move[order], size), ids, p
+
+
+def _packed(vertices: DataFrame) -> DataFrame:
+    v = vertices.withColumn("id", F.col("vertex_id").cast("long"))
+    return packed(v.withColumns({f"m{k}": m for k, m in enumerate(_moves())}), None, "m0", "m1", "m2")
+
+
+def convex_hulls(vertices: DataFrame, eyes: int = 8, most: int = MOST) -> DataFrame:
     """(mesh_id, v0, v1, v2): the hulls' triangles, facing out. ``eyes`` points of a mesh at most are put in in a round.
 
     Vertices at one place, or with the same id in a mesh, count once; those with a null are left out. A mesh that is flat,
     or has fewer than four vertices, has no hull. The state is written every round and a round's former state deleted.
+    Meshes of up to ``most`` vertices take no part in the rounds.
     """
+    if most:
+
+        def find(meshes: Meshes, i: int, name: str):
+            faces, ids, _ = _hull_of(meshes, i)
+            return list(ids[faces].T) if len(faces) else None
+
+        (few,), rest = split(larger(vertices, None, most), vertices)
+        found = work(_packed(few), find, "v0 long, v1 long, v2 long")
+        return found.unionByName(convex_hulls(*rest, eyes, 0)) if rest else found
     v = vertices.select("mesh_id", F.col("vertex_id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna().dropDuplicates(["mesh_id", "id"])
     box = v.groupBy("mesh_id").agg(F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("size")).filter("size > 0")
-    moved = [(F.col(c) + F.col("size") * MOVE * (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) / (1 << 19) - 1)).alias(c) for k, c in enumerate("xyz")]
+    moved = [(F.col(c) + F.col("size") * MOVE * m).alias(c) for m, c in zip(_moves(), "xyz", strict=True)]
     points = v.dropDuplicates(["mesh_id", "x", "y", "z"]).join(by_sort(box), "mesh_id").select("mesh_id", (F.col("size") * LEAST).alias("least"), F.struct("id", *moved).alias("p"))
     points = materialize(points)
     faces = materialize(_with_plane(_first(points)))
@@ -140,9 +220,19 @@ def _round(faces: DataFrame, outside: DataFrame, eyes: int, old: tuple) -> tuple
     return faces, outside
 
 
-def hull_volumes(vertices: DataFrame, eyes: int = 8) -> DataFrame:
+def hull_volumes(vertices: DataFrame, eyes: int = 8, most: int = MOST) -> DataFrame:
     """(mesh_id, hull_volume): 0 for a mesh that has no hull."""
-    hulls = convex_hulls(vertices, eyes)
+    if most:
+
+        def find(meshes: Meshes, i: int, name: str):
+            faces, _, p = _hull_of(meshes, i)
+            a, b, c = (p[faces] - p[:1]).transpose(1, 0, 2) if len(faces) else np.zeros((3, 0, 3))
+            return [np.array([np.einsum("ij,ij->", a, np.cross(b, c)) / 6])]
+
+        (few,), rest = split(larger(vertices, None, most), vertices)
+        found = few.select("mesh_id").distinct().join(by_sort(work(_packed(few), find, "hull_volume double")), "mesh_id", "left").fillna(0.0, ["hull_volume"])
+        return found.unionByName(hull_volumes(*rest, eyes, 0)) if rest else found
+    hulls = convex_hulls(vertices, eyes, 0)
     for i in range(3):
         hulls = hulls.join(by_sort(vertices.select("mesh_id", F.col("vertex_id").cast("long").alias(f"v{i}"), F.struct("x", "y", "z").alias(f"p{i}")).dropDuplicates(["mesh_id", f"v{i}"])), ["mesh_id", f"v{i}"])
     # from a point of the hull, so that small meshes far from the origin keep their digits
@@ -153,8 +243,8 @@ def hull_volumes(vertices: DataFrame, eyes: int = 8) -> DataFrame:
     return vertices.select("mesh_id").distinct().join(by_sort(found), "mesh_id", "left").fillna(0.0, ["hull_volume"])
 
 
-def hull_ratios(vertices: DataFrame, faces: DataFrame, eyes: int = 8) -> DataFrame:
+def hull_ratios(vertices: DataFrame, faces: DataFrame, eyes: int = 8, most: int = MOST) -> DataFrame:
     """(mesh_id, hull_volume, hull_ratio): the convex hull's volume and how much larger it is than the mesh's, in the mesh's
     volumes; null for a mesh without volume."""
-    both = hull_volumes(vertices, eyes).join(by_sort(volume(face_geometry(vertices, faces))), "mesh_id")
+    both = hull_volumes(vertices, eyes, most).join(by_sort(volume(face_geometry(vertices, faces))), "mesh_id")
     return both.select("mesh_id", "hull_volume", F.try_divide(F.col("hull_volume") - F.col("volume"), F.col("volume")).alias("hull_ratio"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapelake.operators import graph, harmonics, mesh, rays, shape, skeleton, views
+from shapelake.operators import graph, harmonics, hull, mesh, rays, shape, skeleton, views
 from shapelake.plans import tables as T
 
 from .test_queries import SF, cube
@@ -117,3 +117,24 @@ def test_chords_of_small_meshes_are_no_rows(spark):
     assert "hashpartitioning(mesh_id, bin" not in one._jdf.queryExecution().toString() and "Window" not in one._jdf.queryExecution().toString()
     bins = lambda df: sorted((r["mesh_id"], r["bin"], r["n"], round(r["density"], 9)) for r in df.collect())
     assert bins(one) == bins(rays.chord_distribution(v, f, chords=40, bins=10, most=0))
+
+
+def test_small_hulls_need_no_rounds(spark, monkeypatch):
+    """Against all triples of points with the others on one side. Copies, a flat mesh, a null, one far away."""
+    r = np.random.default_rng(6)
+    rows = [(m, i, *map(float, p)) for m in range(4) for i, p in enumerate(r.normal(size=(12 + 4 * m, 3)) + 1e4 * m)]
+    more = [(9, i, float(i % 3), float(i // 3), 0.0) for i in range(9)] + [(0, 90, *rows[3][2:]), (1, 91, None, 0.0, 0.0)]
+    v = spark.createDataFrame([*rows, *more], "mesh_id long, vertex_id int, x double, y double, z double")
+    want, size = set(), {9: 0.0}
+    for m in range(4):
+        p = np.array([q[2:] for q in rows if q[0] == m])
+        for t in itertools.combinations(range(len(p)), 3):
+            a, b, c = p[list(t)]
+            away = np.delete((p - a) @ np.cross(b - a, c - a), t)
+            if (away < 0).all() or (away > 0).all():
+                want.add((m, *t))
+                size[m] = size.get(m, 0.0) + abs((a - p.mean(axis=0)) @ np.cross(b - p.mean(axis=0), c - p.mean(axis=0))) / 6
+    monkeypatch.setattr(hull, "_round", None)
+    got = {x["mesh_id"]: x["hull_volume"] for x in hull.hull_volumes(v).collect()}
+    assert got == pytest.approx(size, rel=1e-7)
+    assert {(x["mesh_id"], *sorted(x[f"v{k}"] for k in range(3))) for x in hull.convex_hulls(v.filter("vertex_id < 90")).collect()} == want
