@@ -138,3 +138,31 @@ def test_small_hulls_need_no_rounds(spark, monkeypatch):
     got = {x["mesh_id"]: x["hull_volume"] for x in hull.hull_volumes(v).collect()}
     assert got == pytest.approx(size, rel=1e-7)
     assert {(x["mesh_id"], *sorted(x[f"v{k}"] for k in range(3))) for x in hull.convex_hulls(v.filter("vertex_id < 90")).collect()} == want
+
+
+def test_light_field_of_small_meshes_writes_no_rows(spark, monkeypatch):
+    """A small mesh's rows of pixels don't leave its task: two cubes apart count as the larger, with moments as the old way gave."""
+    v, f = cube(spark)
+    small, far = (v.select("mesh_id", (F.col("vertex_id") + 8 * k).alias("vertex_id"), *((F.col(c) * size + at).alias(c) for c in "xyz")) for k, size, at in ((0, 1.0, 0.0), (1, 0.4, 5.0)))
+    f2 = f.unionByName(f.select("mesh_id", (F.col("face_id") + 20).alias("face_id"), *((F.col(f"v{i}") + 8).alias(f"v{i}") for i in range(3))))
+    monkeypatch.setattr(views, "silhouette_rows", None)
+    rows = lambda *m: {r["view"]: np.array(r["moments"]) for r in views.light_field(*m, views=3, order=6, side=60).collect()}
+    both, apart = rows(small.unionByName(far), f2), rows(small.unionByName(far), f)  # the same circle, one cube drawn
+    assert both.keys() == {0, 1, 2} and all(both[k] == pytest.approx(apart[k], abs=1e-12) for k in both)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_largest_part_of_a_mask(seed):
+    mask = np.random.default_rng(seed).random((20, 30)) < 0.55
+    seen, parts = set(), []
+    for i, p in zip(*np.nonzero(mask), strict=True):
+        part, todo = set(), [(int(i), int(p))]
+        while todo:
+            at = todo.pop()
+            if at not in seen and 0 <= at[0] < 20 and 0 <= at[1] < 30 and mask[at]:
+                seen.add(at)
+                part.add(at)
+                todo += [(at[0] + a, at[1] + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+        parts.append(part)
+    runs = zip(*views._largest(mask), strict=True)
+    assert {(int(i), p) for i, lo, hi in runs for p in range(lo, hi + 1)} == max(parts, key=len)
