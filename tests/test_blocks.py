@@ -150,3 +150,37 @@ def test_sql_distances_by_cells(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
     assert sorted(tuple(r) for r in found.collect()) == sorted(c.sql(catalog.oracle_sql()["sql_distances"]).fetchall())
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_cluster_distances(spark, monkeypatch, n):
+    """Clusters of one to six items over strips of a few rows: the greatest distance of their items, the nearest of a cluster."""
+    import numpy as np
+
+    monkeypatch.setattr(blocks, "ROWS", 8)
+    monkeypatch.setattr(blocks, "VALUES", 64)
+    r = np.random.default_rng(8)
+    x, c = r.normal(size=(60, 3)), np.sort(r.integers(0, 25, 60)) * 5
+    items = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(60)], "item long, c long, x array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    names = np.unique(c).tolist()
+    want = {(a, b): d[np.ix_(c == a, c == b)].max() for a in names for b in names if a < b}
+    got = blocks.cluster_distances(items, "item", "x", "c", nearest=False, blocks=n).collect()
+    assert len(got) == len(want) and {(g["a"], g["b"]): g["d"] for g in got} == pytest.approx(want)
+    least = {a: min((want[min(a, b), max(a, b)], b) for b in names if b != a) for a in names}
+    found = {}
+    for g in blocks.cluster_distances(items, "item", "x", "c", blocks=n).collect():
+        found[g["a"]] = min(found.get(g["a"], (9e9, 0)), (g["d"], g["b"]))
+    assert {a: b for a, (_, b) in found.items()} == {a: b for a, (_, b) in least.items()}
+
+
+def test_linkage_keeps_no_pairs_of_items(spark, monkeypatch):
+    import numpy as np
+
+    from shapelake.operators import cluster
+
+    rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(40)]
+    items = spark.createDataFrame([*rows, (41, rows[3][1]), (42, None)], "item long, x array<double>")
+    want = {tuple(r) for r in cluster.complete_linkage(blocks.block_pairs(items, "item", "x"), 4).collect()}
+    monkeypatch.setattr(blocks, "block_pairs", None)
+    assert {tuple(r) for r in cluster.linkage(items, "item", "x", 4, few=12).collect()} == want and len(want) == 41
