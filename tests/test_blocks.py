@@ -184,3 +184,17 @@ def test_linkage_keeps_no_pairs_of_items(spark, monkeypatch):
     want = {tuple(r) for r in cluster.complete_linkage(blocks.block_pairs(items, "item", "x"), 4).collect()}
     monkeypatch.setattr(blocks, "block_pairs", None)
     assert {tuple(r) for r in cluster.linkage(items, "item", "x", 4, few=12).collect()} == want and len(want) == 41
+
+
+def test_dbscan_keeps_no_pairs(spark, monkeypatch):
+    """Cells pass on forests: fewer rows than pairs, the labels of all pairs; an item at just the limit, one without a vector."""
+    from shapelake.operators import cluster
+
+    rows = [(i, [float(i * 7 % 20), float(i % 3)]) for i in range(70)] + [(80, [40.0, 0.0]), (81, [42.0, 0.0]), (82, [44.0, 0.0]), (83, None)]
+    items = spark.createDataFrame(rows, "item long, x array<double>")
+    eps = [1.0, 2.0]
+    want = {tuple(r) for r in cluster.dbscan(items, pairs.pair_table(items.filter("x is not null"), "item", "x", V.euclidean, blocks=2), spark.createDataFrame([(e,) for e in eps], "eps double"), least=3).collect()}
+    links = blocks.near_links(items.withColumn("c", F.lit(3)), "item", "x", "c", eps, blocks=1)
+    assert links.filter("inner and e = 1").count() < 73 < blocks.block_pairs(items, "item", "x", within=2.0).count()
+    monkeypatch.setattr(blocks, "block_pairs", None)
+    assert {tuple(r) for r in cluster.dbscan_of_vectors(items, "x", eps, least=3).collect()} == want and (2.0, 80, 81) in {(w[0], w[1], w[2]) for w in want}
